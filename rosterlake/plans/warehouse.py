@@ -27,6 +27,10 @@ class Warehouse:
     def many(self, *names: str) -> list[DataFrame]:
         return [self[n] for n in names]
 
+    def path(self, name: str) -> str:
+        """The folder that a written table lies in."""
+        return self[name].inputFiles()[0].rsplit("/", 1)[0]
+
     def base(self, name: str) -> DataFrame:
         """A given table as it is."""
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -20,7 +20,9 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    # Blanks around values belong to the data; the writer would strip them by default.
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(header=True, **keep).csv(path)
 
 
 def read_query(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

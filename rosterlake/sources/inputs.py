@@ -177,6 +177,19 @@ select o_orderkey as request_seq, o_custkey as employee_id, o_orderkey % 500 as
 from {orders}
 """
 
+# Versions with faults for the checks to find: repeated keys, overlaps, other open ends, starts
+# after ends, missing current versions and blank reasons.
+DIRTY_VERSIONS = """
+select employee_id, Email,
+ case when employee_id % 30 = 1 then employee_sk - employee_sk % 2 else employee_sk end as employee_sk,
+ case when employee_id % 43 = 2 and is_current = 0 then date '1999-01-01' else effective_start_date end as effective_start_date,
+ case when employee_id % 40 = 2 and is_current = 0 then date '1998-01-01'
+  when employee_id % 41 = 3 and is_current = 1 then date '2099-12-31' else effective_end_date end as effective_end_date,
+ cast(case when employee_id % 47 = 5 then 0 else is_current end as int) as is_current,
+ case when employee_id % 20 = 11 then ' ' when employee_id % 20 = 12 then null else change_reason end as change_reason
+from {staging_employees}
+"""
+
 INPUTS: dict[str, str] = {
     "people": PEOPLE,
     "raw_people": RAW_PEOPLE,
@@ -184,6 +197,7 @@ INPUTS: dict[str, str] = {
     "reviews": REVIEWS,
     "projects": PROJECTS,
     "assignments": ASSIGNMENTS,
+    "dirty_versions": DIRTY_VERSIONS,
     "changes": CHANGES,
     "review_requests": REVIEW_REQUESTS,
     "hires": HIRES,
@@ -198,6 +212,5 @@ def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input as a DataFrame over the parquet files in sf_dir."""
     text = INPUTS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _BASE if f"{{{t}}}" in text}
-    if "{people}" in text:
-        tables["people"] = derive(spark, sf_dir, "people")
+    tables |= {t: derive(spark, sf_dir, t) for t in ("people", "staging_employees") if f"{{{t}}}" in text}
     return spark.sql(text, **tables)

@@ -6,6 +6,7 @@ batch counts once. One stream writes to one table.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +26,12 @@ class BatchTable:
     def read(self, before: int | None = None) -> DataFrame:
         """All rows with their batch_id, or only those of batches before the given one."""
         stored = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(jvm_path):
-            return self.spark.createDataFrame([], stored)
-        rows = self.spark.read.schema(stored).parquet(self.path)
+        try:
+            rows = self.spark.read.schema(stored).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], stored)
         return rows if before is None else rows.filter(F.col("batch_id") < before)
 
     def rows(self, before: int | None = None) -> DataFrame:
