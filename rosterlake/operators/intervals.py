@@ -59,9 +59,12 @@ def match_valid(
     never compared all against all. A (key, year) with very many events is split.
     """
     bounds = day_bounds(events if measure is None else measure, day)
+    intervals = intervals.filter(F.col(key).isNotNull())
     if bounds is None:
-        bounds = (dt.date(1, 1, 1), dt.date(1, 1, 1))
-    clipped = by_year(intervals.filter(F.col(key).isNotNull()), start, end, bounds)
+        nothing = {"_year": F.lit(0), "_from": F.col(start), "_to": F.col(start)}
+        clipped = intervals.filter(F.lit(False)).withColumns(nothing)
+    else:
+        clipped = by_year(intervals, start, end, bounds)
     dated = events.withColumn("_year", F.year(day))
     joined = skew_join(
         dated,

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rosterlake.session import written
 
+# A table of at most this many rows may be numbered by a single task.
+LOOKUP_ROWS = 100_000
+
 
 def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: int = 1) -> DataFrame:
     """Add start, start+1, … in the given order, without sorting the table in one task.
@@ -36,6 +39,17 @@ def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: i
     )
 
 
+def number_lookup(
+    df: DataFrame, order_by: list[str | Column], name: str, start: int = 1, window_rows: int = LOOKUP_ROWS
+) -> DataFrame:
+    """number_rows for a table expected to be small: counted first, and numbered by one window
+    only when it has at most window_rows rows."""
+    if df.count() > window_rows:
+        return number_rows(df, order_by, name, start)
+    place = F.row_number().over(Window.orderBy(*order_by)).cast("long")
+    return df.withColumn(name, place + F.lit(start - 1))
+
+
 def next_key(df: DataFrame, key: str) -> int:
     """One more than the highest key in the table, or 1 when it is empty."""
     return df.agg(F.coalesce(F.max(key), F.lit(0)) + 1).first()[0]

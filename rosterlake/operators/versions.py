@@ -12,6 +12,7 @@ from rosterlake.functions import pay
 from rosterlake.operators.numbering import next_key, number_rows
 from rosterlake.operators.ordering import in_order, latest
 from rosterlake.operators.skew import lookup_join, skew_join, with_group_values
+from rosterlake.session import written
 
 
 def last_change_per_day(changes: DataFrame) -> DataFrame:
@@ -56,7 +57,8 @@ def judge_changes(
         .when(F.col("current_start").isNull(), "no current version")
         .when((F.col("change_date") < F.col("current_start")) & F.col("seen").isNull(), "late change")
     )
-    judged = resolved.withColumn("reject_reason", reason)
+    # Written once: the accepted rows are read several times from here.
+    judged = written(resolved.withColumn("reject_reason", reason), "judged")
     return JudgedChanges(
         accepted=judged.filter(F.col("reject_reason").isNull() & (F.col("change_date") >= F.col("current_start"))).drop(
             "reject_reason", "seen"

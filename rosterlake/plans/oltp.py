@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from rosterlake import schemas as S
 from rosterlake.functions import pay, text
 from rosterlake.operators import rules
-from rosterlake.operators.numbering import next_key, number_rows
+from rosterlake.operators.numbering import next_key, number_lookup, number_rows
 from rosterlake.operators.skew import lookup_join
+from rosterlake.session import written
 
 # Staging column → column of employees, where they are more than a matter of case.
 _EMPLOYEE_FIELDS = {
@@ -60,14 +61,14 @@ def _field(name: str) -> Column:
 
 def load_departments(staging: DataFrame) -> DataFrame:
     names = staging.filter(text.not_blank(F.col("Department"))).select(F.trim("Department").alias("department_name"))
-    return S.shaped(number_rows(names.distinct(), ["department_name"], "department_id"), S.DEPARTMENTS)
+    return S.shaped(number_lookup(names.distinct(), ["department_name"], "department_id"), S.DEPARTMENTS)
 
 
 def load_job_roles(staging: DataFrame) -> DataFrame:
     roles = staging.filter(text.not_blank(F.col("JobRole")) & F.col("JobLevel").isNotNull()).select(
         F.trim("JobRole").alias("job_role_name"), F.col("JobLevel").alias("job_level")
     )
-    return S.shaped(number_rows(roles.distinct(), ["job_role_name", "job_level"], "job_role_id"), S.JOB_ROLES)
+    return S.shaped(number_lookup(roles.distinct(), ["job_role_name", "job_level"], "job_role_id"), S.JOB_ROLES)
 
 
 def with_lookups(staging: DataFrame, departments: DataFrame, job_roles: DataFrame) -> DataFrame:
@@ -100,6 +101,7 @@ def load_job_history(staging: DataFrame, departments: DataFrame, job_roles: Data
     """All versions of all employees."""
     versions = with_lookups(staging, departments, job_roles)
     kept = versions.select(*[_field(n) for n in S.JOB_HISTORY.names if n != "job_history_id"])
+    kept = kept.withColumn("effective_end_date", S.normalise_open_end(F.col("effective_end_date")))
     keyed = number_rows(kept, ["employee_id", "effective_start_date", "employee_sk"], "job_history_id")
     return S.shaped(keyed, S.JOB_HISTORY)
 
@@ -162,7 +164,7 @@ def onboard(
     hires: DataFrame, history: DataFrame, departments: DataFrame, job_roles: DataFrame, as_of: dt.date
 ) -> Onboarded:
     """New rows for employees, job history (a Day-1 version) and the dimension, and the rejects."""
-    checked = check_hires(hires, departments, job_roles)
+    checked = written(check_hires(hires, departments, job_roles), "checked")
     rejected = checked.filter(F.col("first_broken").isNotNull()).select(*hires.columns, "first_broken")
     good = checked.filter(F.col("first_broken").isNull())
     missing = {n: F.lit(v) for n, v in _HIRE_DEFAULTS.items() if n not in hires.columns}

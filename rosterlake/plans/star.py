@@ -11,7 +11,7 @@ from rosterlake import schemas as S
 from rosterlake.functions import dates
 from rosterlake.operators import checks
 from rosterlake.operators.intervals import latest_valid, match_valid
-from rosterlake.operators.numbering import number_rows
+from rosterlake.operators.numbering import number_lookup, number_rows
 from rosterlake.operators.ordering import latest, ranked
 from rosterlake.operators.skew import lookup_join, skew_join, with_group_values
 from rosterlake.operators.versions import compare_with_previous
@@ -26,7 +26,7 @@ def load_dim_department(departments: DataFrame, deduplicate: bool = False) -> Da
     )
     if deduplicate:
         named = latest(named, ["department_name"], ["department_id"], smallest=True)
-    return S.shaped(number_rows(named, ["department_id"], "department_sk"), S.DIM_DEPARTMENT)
+    return S.shaped(number_lookup(named, ["department_id"], "department_sk"), S.DIM_DEPARTMENT)
 
 
 def load_dim_project(projects: DataFrame, sentinel: bool = False) -> DataFrame:
@@ -35,7 +35,7 @@ def load_dim_project(projects: DataFrame, sentinel: bool = False) -> DataFrame:
     if sentinel and rows.isEmpty():
         none = projects.sparkSession.createDataFrame([(-1, "No Project Assigned", None, None, None)], rows.schema)
         rows = rows.unionByName(none)
-    return S.shaped(number_rows(rows, ["project_id"], "project_sk"), S.DIM_PROJECT)
+    return S.shaped(number_lookup(rows, ["project_id"], "project_sk"), S.DIM_PROJECT)
 
 
 def calendar_rows(days: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rosterlake import schemas as S
 from rosterlake.functions import chance, pay, text
 from rosterlake.operators import checks
-from rosterlake.operators.numbering import first_n, number_rows
+from rosterlake.operators.numbering import first_n, number_lookup, number_rows
 from rosterlake.operators.ordering import in_order
 from rosterlake.operators.skew import lookup_join
 
@@ -113,7 +113,6 @@ def add_identity(df: DataFrame, key: str = "EmployeeNumber") -> DataFrame:
             "_last": chance.pick_of(entity, "last", LAST_NAMES),
         }
     )
-    # Should ids repeat after all, later rows get a running number before the @.
     return named.withColumns(
         {
             "EmployeeName": text.full_name(F.col("_first"), F.col("_last")),
@@ -147,7 +146,7 @@ def _another(df: DataFrame, column: str, salt: str, values: DataFrame) -> DataFr
 
     The distinct values are numbered; a row draws a number among those that are not its own.
     """
-    listed = number_rows(values.select(column).filter(F.col(column).isNotNull()).distinct(), [column], "_own")
+    listed = number_lookup(values.select(column).filter(F.col(column).isNotNull()).distinct(), [column], "_own")
     size = listed.count()
     if size < 2:
         return df.withColumn(f"_other_{column}", F.col(column))
@@ -354,13 +353,22 @@ def make_projects(staging: DataFrame, departments: DataFrame) -> DataFrame:
             "kind.status",
         )
     )
-    return S.shaped(number_rows(rows, ["department_id", "project_name"], "project_id"), S.PROJECTS)
+    return S.shaped(number_lookup(rows, ["department_id", "project_name"], "project_id"), S.PROJECTS)
 
 
 def spread_over_projects(
-    employees: DataFrame, projects: DataFrame, job_roles: DataFrame, staging: DataFrame
+    employees: DataFrame,
+    projects: DataFrame,
+    job_roles: DataFrame,
+    staging: DataFrame,
+    as_percent: bool = False,
 ) -> DataFrame:
-    """One assignment per employee: to the project of their department whose rank fits their id."""
+    """One assignment per employee: to the project of their department whose rank fits their id.
+
+    Allocations are shares from 0.50 to 1.00, or percentages with as_percent, the form that the
+    batch writes and reports use.
+    """
+    share = pay.allocation_share(F.col("employee_id"))
     places = in_order(projects.select("project_id", "department_id"), ["department_id"], ["project_id"], number="place")
     current = staging.filter("is_current = 1").select(
         "employee_id",
@@ -373,5 +381,5 @@ def spread_over_projects(
     rows = lookup_join(people, places, ["department_id", "place"], spread_by=["employee_id"])
     roles = job_roles.select("job_role_id", F.col("job_role_name").alias("role_on_project"))
     rows = lookup_join(rows, roles, ["job_role_id"], spread_by=["employee_id"], measure=employees)
-    rows = rows.join(current, "employee_id").withColumn("allocation_ratio", pay.allocation_share(F.col("employee_id")))
+    rows = rows.join(current, "employee_id").withColumn("allocation_ratio", share * 100 if as_percent else share)
     return S.shaped(number_rows(rows, ["employee_id", "assigned_date"], "assignment_id"), S.ASSIGNMENTS)
