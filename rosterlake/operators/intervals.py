@@ -7,8 +7,19 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.operators.ordering import largest_group
 from rosterlake.operators.skew import DEFAULT, SkewPolicy, skew_join
 
+# Up to these sizes per key, events and intervals are matched directly by key.
+FEW_EVENTS = 1_000_000
+FEW_INTERVALS = 1_000
+
+
+def few_per_key(key: str, events: DataFrame, *intervals: DataFrame) -> bool:
+    """Whether every key has few enough rows on all sides to be matched in one piece."""
+    small = all(largest_group(i, [key]) <= FEW_INTERVALS for i in intervals)
+    return small and largest_group(events, [key]) <= FEW_EVENTS
+
 
 def day_bounds(df: DataFrame, day: str) -> tuple[dt.date, dt.date] | None:
     """First and last day, or None for no dates at all."""
@@ -50,30 +61,37 @@ def match_valid(
     *,
     spread_by: list[str] | None = None,
     measure: DataFrame | None = None,
+    few: bool | None = None,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Every pair of an event and an interval with the same key whose days contain the event's.
 
-    The join is an equi-join on (key, calendar year) with the days as a residual test. Intervals
-    of one key that do not overlap number at most 366 a year, so even a key with many rows is
-    never compared all against all. A (key, year) with very many events is split.
+    While every key is small (few, checked unless given) this is one equi-join on the key with the
+    days as a residual test. Otherwise the join is on (key, calendar year), with intervals clipped
+    to years: those of one key that do not overlap number at most 366 a year, so even a key with
+    many rows is never compared all against all, and a (key, year) with very many events is split.
+    `measure` is a cheaper table with the same key and day columns as events.
     """
-    bounds = day_bounds(events if measure is None else measure, day)
+    base = events if measure is None else measure
     intervals = intervals.filter(F.col(key).isNotNull())
+    if few_per_key(key, base, intervals) if few is None else few:
+        right = intervals.withColumnRenamed(key, "_key")
+        valid = (F.col(day) >= F.col(start)) & (F.col(end).isNull() | (F.col(day) <= F.col(end)))
+        return events.join(right, (F.col(key) == F.col("_key")) & valid, how).drop("_key")
+    bounds = day_bounds(base, day)
     if bounds is None:
         nothing = {"_year": F.lit(0), "_from": F.col(start), "_to": F.col(start)}
         clipped = intervals.filter(F.lit(False)).withColumns(nothing)
     else:
         clipped = by_year(intervals, start, end, bounds)
-    dated = events.withColumn("_year", F.year(day))
     joined = skew_join(
-        dated,
+        events.withColumn("_year", F.year(day)),
         clipped,
         [key, "_year"],
         how,
         condition=F.col(day).between(F.col("_from"), F.col("_to")),
         spread_by=spread_by,
-        measure=None if measure is None else measure.withColumn("_year", F.year(day)),
+        measure=base.withColumn("_year", F.year(day)),
         policy=policy,
     )
     return joined.drop("_year", "_from", "_to")
@@ -91,25 +109,40 @@ def latest_valid(
     *,
     spread_by: list[str] | None = None,
     measure: DataFrame | None = None,
+    few: bool | None = None,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """For each event the valid interval that is last by `order`, with its `take` columns or NULLs.
 
-    The answer only depends on (key, day), so it is worked out once per distinct pair. Intervals
-    are reduced beforehand to the last one per (key, year, first day, last day in that year). Both
-    reductions combine on the map side and bound what one key can bring into one year, whatever
-    its number of rows. The days are then joined back to the events, split where hot. `measure` is
-    a cheaper table with the same key and day columns as events.
+    While every key is small (few, checked unless given), a key's intervals become one list, and
+    each event picks from the list of its key: one join, and events keep their partitioning.
+
+    Otherwise the answer, which only depends on (key, day), is worked out once per distinct pair.
+    Intervals are reduced beforehand to the last one per (key, year, first day, last day in that
+    year). Both reductions combine on the map side and bound what one key can bring into one year,
+    whatever its number of rows. The days are then joined back to the events, split where hot.
+    `measure` is a cheaper table with the same key and day columns as events.
     """
     base = events if measure is None else measure
+    intervals = intervals.filter(F.col(key).isNotNull())
+    kept = [*order, *[c for c in take if c not in order]]
+    if few_per_key(key, base, intervals) if few is None else few:
+        span = F.struct(*kept, F.col(start).alias("_start"), F.col(end).alias("_end"))
+        lists = intervals.groupBy(key).agg(F.collect_list(span).alias("_spans"))
+        valid = F.filter(
+            "_spans", lambda s: (F.col(day) >= s["_start"]) & (s["_end"].isNull() | (F.col(day) <= s["_end"]))
+        )
+        best = F.array_max(F.transform(valid, lambda s: F.struct(*[s[c].alias(c) for c in kept])))
+        found = events.join(lists, key, "left").withColumn("_best", best)
+        return found.select(*events.columns, *[F.col(f"_best.{c}").alias(c) for c in take])
+
     bounds = day_bounds(base, day)
     if bounds is None:
         return events.withColumns({c: F.lit(None).cast(intervals.schema[c].dataType) for c in take})
-    candidate = F.max(F.struct(*order, *[c for c in take if c not in order])).alias("_best")
     reduced = (
-        by_year(intervals.filter(F.col(key).isNotNull()), start, end, bounds)
+        by_year(intervals, start, end, bounds)
         .groupBy(key, "_year", "_from", "_to")
-        .agg(candidate)
+        .agg(F.max(F.struct(*kept)).alias("_best"))
         .withColumnRenamed(key, "_key")
     )
     days = base.select(F.col(key).alias("_k"), F.col(day).alias("_d")).distinct()

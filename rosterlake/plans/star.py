@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rosterlake import schemas as S
 from rosterlake.functions import dates
 from rosterlake.operators import checks
-from rosterlake.operators.intervals import latest_valid, match_valid
+from rosterlake.operators.intervals import few_per_key, latest_valid, match_valid
 from rosterlake.operators.numbering import number_lookup, number_rows
 from rosterlake.operators.ordering import latest, ranked
 from rosterlake.operators.skew import lookup_join, skew_join, with_group_values
@@ -161,7 +161,13 @@ def load_dim_assignment(assignments: DataFrame, dim_employee: DataFrame, dim_pro
     return S.shaped(number_rows(keyed, ["assignment_id", "employee_sk"], "assignment_sk"), S.DIM_ASSIGNMENT)
 
 
-def latest_assignment(reviews: DataFrame, assignments: DataFrame, take: list[str], measure: DataFrame | None = None):
+def latest_assignment(
+    reviews: DataFrame,
+    assignments: DataFrame,
+    take: list[str],
+    measure: DataFrame | None = None,
+    few: bool | None = None,
+) -> DataFrame:
     """Each review with the assignment valid on its day that started last."""
     return latest_valid(
         reviews,
@@ -174,6 +180,7 @@ def latest_assignment(reviews: DataFrame, assignments: DataFrame, take: list[str
         take=take,
         spread_by=["review_id"],
         measure=measure,
+        few=few,
     )
 
 
@@ -187,8 +194,9 @@ def fact_rows(
 ) -> DataFrame:
     """Reviews with the keys of the version, department, day and project valid at their date.
 
-    Departments are resolved on the versions and projects on the assignments, so the reviews
-    themselves are shuffled for two joins only. Reviews without a version, department or day drop
+    Departments are resolved on the versions and projects on the assignments. Unless some employee
+    has very many rows, versions and projects are then both joined by employee, so the reviews are
+    shuffled once. Reviews without a version, department or day drop
     out; a missing project stays NULL.
     """
     versions = lookup_join(
@@ -207,7 +215,10 @@ def fact_rows(
         spread_by=["assignment_id"],
     )
     rows = reviews.select("review_id", "employee_id", "review_date", "performance_rating")
-    rows = match_valid(rows, versions, "employee_id", "review_date", spread_by=["review_id"], measure=reviews)
+    few = few_per_key("employee_id", reviews, dim_employee, assignments)
+    rows = match_valid(
+        rows, versions, "employee_id", "review_date", spread_by=["review_id"], measure=reviews, few=few
+    )
     rows = lookup_join(
         rows,
         dim_date.select(F.col("full_date").alias("review_date"), "date_sk"),
@@ -215,7 +226,7 @@ def fact_rows(
         spread_by=["review_id"],
         measure=reviews,
     )
-    return latest_assignment(rows, worked, ["project_sk"], measure=reviews)
+    return latest_assignment(rows, worked, ["project_sk"], measure=reviews, few=few)
 
 
 def load_fact_reviews(

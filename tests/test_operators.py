@@ -180,11 +180,15 @@ def brute(events, spans):
         yield e, [s for s in spans if e[1] is not None and s[1] == e[1] and s[2] <= e[2] and (s[3] is None or e[2] <= s[3])]
 
 
-@pytest.mark.parametrize("policy", [skew.DEFAULT, EAGER])
+# Small keys at once, years without a hot key, years with hot keys split.
+PATHS = [(True, skew.DEFAULT), (False, skew.DEFAULT), (False, EAGER)]
+
+
+@pytest.mark.parametrize("few, policy", PATHS)
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_match_valid_equals_brute_force(spark, policy, how):
+def test_match_valid_equals_brute_force(spark, few, policy, how):
     events, spans, e, s = dated(spark)
-    got = intervals.match_valid(e, s, "k", "day", "start", "end", how, spread_by=["id"], policy=policy)
+    got = intervals.match_valid(e, s, "k", "day", "start", "end", how, spread_by=["id"], few=few, policy=policy)
     want = []
     for event, found in brute(events, spans):
         want += [(event[0], f[0]) for f in found]
@@ -193,20 +197,22 @@ def test_match_valid_equals_brute_force(spark, policy, how):
     assert sorted(map(str, rows(got, "id", "span"))) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("policy", [skew.DEFAULT, EAGER])
-def test_latest_valid_equals_brute_force(spark, policy):
+@pytest.mark.parametrize("few, policy", PATHS)
+def test_latest_valid_equals_brute_force(spark, few, policy):
     events, spans, e, s = dated(spark, seed=5)
     got = intervals.latest_valid(
-        e, s, "k", "day", "start", "end", order=["start", "span"], take=["span"], spread_by=["id"], policy=policy
+        e, s, "k", "day", "start", "end", order=["start", "span"], take=["span"], spread_by=["id"], few=few,
+        policy=policy,
     )
     want = [(ev[0], max(found, key=lambda f: (f[2], f[0]))[0] if found else None) for ev, found in brute(events, spans)]
     assert sorted(map(str, rows(got, "id", "span"))) == sorted(map(str, want))
 
 
-def test_interval_edges_are_closed(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_interval_edges_are_closed(spark, few):
     e = spark.createDataFrame([(1, 1, D(2020, 1, 1)), (2, 1, D(2020, 12, 31)), (3, 1, D(2021, 1, 1))], "id long, k int, day date")
     s = spark.createDataFrame([(5, 1, D(2020, 1, 1), D(2020, 12, 31)), (6, 1, D(2021, 1, 1), D(9999, 12, 31))], "span long, k int, start date, end date")
-    got = intervals.match_valid(e, s, "k", "day", "start", "end")
+    got = intervals.match_valid(e, s, "k", "day", "start", "end", few=few)
     assert rows(got, "id", "span") == [(1, 5), (2, 5), (3, 6)]
 
 
@@ -220,11 +226,22 @@ def test_open_intervals_are_clipped_to_the_data(spark):
     ]
 
 
-def test_no_events_at_all(spark):
+def test_path_is_chosen_by_the_largest_key(spark, monkeypatch):
+    _, _, e, s = dated(spark)
+    assert intervals.few_per_key("k", e, s)
+    monkeypatch.setattr(intervals, "FEW_INTERVALS", 10)
+    assert not intervals.few_per_key("k", e, s)
+    got = intervals.match_valid(e, s, "k", "day", "start", "end", spread_by=["id"])
+    assert rows(got, "id", "span") == rows(intervals.match_valid(e, s, "k", "day", "start", "end", few=True), "id", "span")
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_no_events_at_all(spark, few):
     _, _, e, s = dated(spark)
     none = e.filter("id < 0")
-    assert intervals.match_valid(none, s, "k", "day", "start", "end").count() == 0
-    assert intervals.latest_valid(none, s, "k", "day", "start", "end", ["start", "span"], ["span"]).columns == ["id", "k", "day", "span"]
+    assert intervals.match_valid(none, s, "k", "day", "start", "end", few=few).count() == 0
+    got = intervals.latest_valid(none, s, "k", "day", "start", "end", ["start", "span"], ["span"], few=few)
+    assert got.columns == ["id", "k", "day", "span"] and got.count() == 0
 
 
 # Checks
