@@ -3,22 +3,48 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.operators.ordering import largest_group
-from rosterlake.operators.skew import DEFAULT, SkewPolicy, skew_join
+from rosterlake.operators.skew import BROADCAST_ROWS, DEFAULT, SkewPolicy, skew_join
+from rosterlake.session import written
 
-# Up to these sizes per key, events and intervals are matched directly by key.
+# Keys with at most this many events and intervals are matched in one piece.
 FEW_EVENTS = 1_000_000
 FEW_INTERVALS = 1_000
 
+# Run on part of the events and intervals: (events, intervals, measure, few).
+Matching = Callable[[DataFrame, list[DataFrame], DataFrame, bool], DataFrame]
 
-def few_per_key(key: str, events: DataFrame, *intervals: DataFrame) -> bool:
-    """Whether every key has few enough rows on all sides to be matched in one piece."""
-    small = all(largest_group(i, [key]) <= FEW_INTERVALS for i in intervals)
-    return small and largest_group(events, [key]) <= FEW_EVENTS
+
+def by_key_size(
+    key: str, events: DataFrame, intervals: list[DataFrame], measure: DataFrame, run: Matching
+) -> DataFrame:
+    """Run a matching with few=True on keys of ordinary size, and with few=False on big ones.
+
+    A big key has more events or intervals than fit one piece. While the big keys are few enough
+    to be broadcast, which is checked, only their rows take the other way; should there be more,
+    all rows do.
+    """
+    big = None
+    for df, most in ((measure, FEW_EVENTS), *((i, FEW_INTERVALS) for i in intervals)):
+        if largest_group(df, [key]) > most:
+            found = df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > most).select(key)
+            big = found if big is None else big.union(found)
+    if big is None:
+        return run(events, intervals, measure, True)
+    big = written(big.distinct(), "big-keys")
+    if big.count() > BROADCAST_ROWS:
+        return run(events, intervals, measure, False)
+
+    def part(how: str, few: bool) -> DataFrame:
+        cut = [df.join(F.broadcast(big), key, how) for df in (events, measure, *intervals)]
+        return run(cut[0], cut[2:], cut[1], few)
+
+    return part("left_anti", True).unionByName(part("left_semi", False))
 
 
 def day_bounds(df: DataFrame, day: str) -> tuple[dt.date, dt.date] | None:
@@ -66,15 +92,23 @@ def match_valid(
 ) -> DataFrame:
     """Every pair of an event and an interval with the same key whose days contain the event's.
 
-    While every key is small (few, checked unless given) this is one equi-join on the key with the
-    days as a residual test. Otherwise the join is on (key, calendar year), with intervals clipped
-    to years: those of one key that do not overlap number at most 366 a year, so even a key with
-    many rows is never compared all against all, and a (key, year) with very many events is split.
-    `measure` is a cheaper table with the same key and day columns as events.
+    Keys of ordinary size (few, see by_key_size) are matched by one equi-join on the key with the
+    days as a residual test. For big ones the join is on (key, calendar year), with intervals
+    clipped to years: those of one key that do not overlap number at most 366 a year, so even a key
+    with many rows is never compared all against all, and a (key, year) with very many events is
+    split. `measure` is a cheaper table with the same key and day columns as events.
     """
     base = events if measure is None else measure
     intervals = intervals.filter(F.col(key).isNotNull())
-    if few_per_key(key, base, intervals) if few is None else few:
+    if few is None:
+
+        def run(e: DataFrame, i: list[DataFrame], m: DataFrame, small: bool) -> DataFrame:
+            return match_valid(
+                e, i[0], key, day, start, end, how, spread_by=spread_by, measure=m, few=small, policy=policy
+            )
+
+        return by_key_size(key, events, [intervals], base, run)
+    if few:
         right = intervals.withColumnRenamed(key, "_key")
         valid = (F.col(day) >= F.col(start)) & (F.col(end).isNull() | (F.col(day) <= F.col(end)))
         return events.join(right, (F.col(key) == F.col("_key")) & valid, how).drop("_key")
@@ -114,19 +148,28 @@ def latest_valid(
 ) -> DataFrame:
     """For each event the valid interval that is last by `order`, with its `take` columns or NULLs.
 
-    While every key is small (few, checked unless given), a key's intervals become one list, and
-    each event picks from the list of its key: one join, and events keep their partitioning.
+    For keys of ordinary size (few, see by_key_size) a key's intervals become one list, and each
+    event picks from the list of its key: one join, and events keep their partitioning.
 
-    Otherwise the answer, which only depends on (key, day), is worked out once per distinct pair.
-    Intervals are reduced beforehand to the last one per (key, year, first day, last day in that
-    year). Both reductions combine on the map side and bound what one key can bring into one year,
-    whatever its number of rows. The days are then joined back to the events, split where hot.
-    `measure` is a cheaper table with the same key and day columns as events.
+    For big ones the answer, which only depends on (key, day), is worked out once per distinct
+    pair. Intervals are reduced beforehand to the last one per (key, year, first day, last day in
+    that year), and of those with one first day only such remain as reach further than every later
+    one. The reductions bound what one key can bring into one year, whatever its number of rows.
+    The days are then joined back to the events, split where hot. `measure` is a cheaper table with
+    the same key and day columns as events.
     """
     base = events if measure is None else measure
     intervals = intervals.filter(F.col(key).isNotNull())
     kept = [*order, *[c for c in take if c not in order]]
-    if few_per_key(key, base, intervals) if few is None else few:
+    if few is None:
+
+        def run(e: DataFrame, i: list[DataFrame], m: DataFrame, small: bool) -> DataFrame:
+            return latest_valid(
+                e, i[0], key, day, start, end, order, take, spread_by=spread_by, measure=m, few=small, policy=policy
+            )
+
+        return by_key_size(key, events, [intervals], base, run)
+    if few:
         span = F.struct(*kept, F.col(start).alias("_start"), F.col(end).alias("_end"))
         lists = intervals.groupBy(key).agg(F.collect_list(span).alias("_spans"))
         valid = F.filter(
@@ -139,11 +182,16 @@ def latest_valid(
     bounds = day_bounds(base, day)
     if bounds is None:
         return events.withColumns({c: F.lit(None).cast(intervals.schema[c].dataType) for c in take})
+    # At most 366 rows have one first day here, so this window stays small.
+    later = Window.partitionBy("_key", "_year", "_from").orderBy(F.desc("_best"))
+    reach = F.max("_to").over(later.rowsBetween(Window.unboundedPreceding, -1))
     reduced = (
         by_year(intervals, start, end, bounds)
-        .groupBy(key, "_year", "_from", "_to")
+        .groupBy(F.col(key).alias("_key"), "_year", "_from", "_to")
         .agg(F.max(F.struct(*kept)).alias("_best"))
-        .withColumnRenamed(key, "_key")
+        .withColumn("_reach", reach)
+        .filter(F.col("_reach").isNull() | (F.col("_to") > F.col("_reach")))
+        .drop("_reach")
     )
     days = base.select(F.col(key).alias("_k"), F.col(day).alias("_d")).distinct()
     found = (

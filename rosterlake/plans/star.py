@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rosterlake import schemas as S
 from rosterlake.functions import dates
 from rosterlake.operators import checks
-from rosterlake.operators.intervals import few_per_key, latest_valid, match_valid
+from rosterlake.operators.intervals import by_key_size, latest_valid, match_valid
 from rosterlake.operators.numbering import number_lookup, number_rows
 from rosterlake.operators.ordering import latest, ranked
 from rosterlake.operators.skew import lookup_join, skew_join, with_group_values
@@ -194,9 +194,9 @@ def fact_rows(
 ) -> DataFrame:
     """Reviews with the keys of the version, department, day and project valid at their date.
 
-    Departments are resolved on the versions and projects on the assignments. Unless some employee
-    has very many rows, versions and projects are then both joined by employee, so the reviews are
-    shuffled once. Reviews without a version, department or day drop
+    Departments are resolved on the versions and projects on the assignments. Versions and projects
+    are then both joined by employee, so the reviews of all but the biggest employees are shuffled
+    once. Reviews without a version, department or day drop
     out; a missing project stays NULL.
     """
     versions = lookup_join(
@@ -215,18 +215,16 @@ def fact_rows(
         spread_by=["assignment_id"],
     )
     rows = reviews.select("review_id", "employee_id", "review_date", "performance_rating")
-    few = few_per_key("employee_id", reviews, dim_employee, assignments)
-    rows = match_valid(
-        rows, versions, "employee_id", "review_date", spread_by=["review_id"], measure=reviews, few=few
-    )
-    rows = lookup_join(
-        rows,
-        dim_date.select(F.col("full_date").alias("review_date"), "date_sk"),
-        ["review_date"],
-        spread_by=["review_id"],
-        measure=reviews,
-    )
-    return latest_assignment(rows, worked, ["project_sk"], measure=reviews, few=few)
+    days = dim_date.select(F.col("full_date").alias("review_date"), "date_sk")
+
+    def run(part: DataFrame, tables: list[DataFrame], measure: DataFrame, few: bool) -> DataFrame:
+        found = match_valid(
+            part, tables[0], "employee_id", "review_date", spread_by=["review_id"], measure=measure, few=few
+        )
+        found = lookup_join(found, days, ["review_date"], spread_by=["review_id"], measure=measure)
+        return latest_assignment(found, tables[1], ["project_sk"], measure=measure, few=few)
+
+    return by_key_size("employee_id", rows, [versions, worked], reviews, run)
 
 
 def load_fact_reviews(

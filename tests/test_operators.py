@@ -226,13 +226,19 @@ def test_open_intervals_are_clipped_to_the_data(spark):
     ]
 
 
-def test_path_is_chosen_by_the_largest_key(spark, monkeypatch):
-    _, _, e, s = dated(spark)
-    assert intervals.few_per_key("k", e, s)
-    monkeypatch.setattr(intervals, "FEW_INTERVALS", 10)
-    assert not intervals.few_per_key("k", e, s)
-    got = intervals.match_valid(e, s, "k", "day", "start", "end", spread_by=["id"])
-    assert rows(got, "id", "span") == rows(intervals.match_valid(e, s, "k", "day", "start", "end", few=True), "id", "span")
+@pytest.mark.parametrize("most", [10_000, 20, 0])
+@pytest.mark.parametrize("broadcast_rows", [100, 0])
+def test_only_big_keys_take_the_other_way(spark, monkeypatch, most, broadcast_rows):
+    """No big key, one big key of several, only big keys; with and without room to split."""
+    events, spans, e, s = dated(spark, seed=8)
+    monkeypatch.setattr(intervals, "FEW_INTERVALS", most)
+    monkeypatch.setattr(intervals, "BROADCAST_ROWS", broadcast_rows)
+    got = intervals.match_valid(e, s, "k", "day", "start", "end", "left", spread_by=["id"])
+    want = [(ev[0], f[0]) for ev, found in brute(events, spans) for f in found or [(None,)]]
+    assert sorted(map(str, rows(got, "id", "span"))) == sorted(map(str, want))
+    best = intervals.latest_valid(e, s, "k", "day", "start", "end", ["start", "span"], ["span"], spread_by=["id"])
+    want = [(ev[0], max(found, key=lambda f: (f[2], f[0]))[0] if found else None) for ev, found in brute(events, spans)]
+    assert sorted(map(str, rows(best, "id", "span"))) == sorted(map(str, want))
 
 
 @pytest.mark.parametrize("few", [True, False])
