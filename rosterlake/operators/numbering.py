@@ -11,7 +11,9 @@ from rosterlake.session import written
 LOOKUP_ROWS = 100_000
 
 
-def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: int = 1) -> DataFrame:
+def number_rows(
+    df: DataFrame, order_by: list[str | Column], name: str, start: int = 1, *, costly: bool = False
+) -> DataFrame:
     """Add start, start+1, … in the given order, without sorting the table in one task.
 
     The rows are range-partitioned and sorted, and written once together with their slice and
@@ -19,8 +21,12 @@ def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: i
     agree. One total per slice then gives each slice its first number. Those totals are as many
     as there are slices, so their window and their broadcast stay small.
 
-    order_by must tell all rows apart for the numbers to be reproducible.
+    order_by must tell all rows apart for the numbers to be reproducible. Sampling computes df
+    once more; for a costly one (joins of large tables) it is written before.
     """
+    columns = df.columns
+    if costly:
+        df = written(df, "unnumbered")
     laid_out = written(
         df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
@@ -35,7 +41,7 @@ def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: i
         .select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
     )
     return laid_out.join(F.broadcast(firsts), "_slice").select(
-        *df.columns, (F.lit(start) + F.col("_first") + F.col("_place")).alias(name)
+        *columns, (F.lit(start) + F.col("_first") + F.col("_place")).alias(name)
     )
 
 

@@ -158,7 +158,8 @@ def load_dim_assignment(assignments: DataFrame, dim_employee: DataFrame, dim_pro
         measure=assignments,
         spread_by=["assignment_id"],
     )
-    return S.shaped(number_rows(keyed, ["assignment_id", "employee_sk"], "assignment_sk"), S.DIM_ASSIGNMENT)
+    numbered = number_rows(keyed, ["assignment_id", "employee_sk"], "assignment_sk", costly=True)
+    return S.shaped(numbered, S.DIM_ASSIGNMENT)
 
 
 def latest_assignment(
@@ -236,7 +237,7 @@ def load_fact_reviews(
     dim_project: DataFrame,
 ) -> DataFrame:
     rows = fact_rows(reviews, dim_employee, dim_department, dim_date, assignments, dim_project)
-    return S.shaped(number_rows(rows, ["review_id", "employee_sk"], "review_sk"), S.FACT_REVIEWS)
+    return S.shaped(number_rows(rows, ["review_id", "employee_sk"], "review_sk", costly=True), S.FACT_REVIEWS)
 
 
 def load_fact_reviews_ranked(reviews: DataFrame, dim_employee: DataFrame, dim_date: DataFrame) -> DataFrame:
