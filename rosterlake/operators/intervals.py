@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.operators.ordering import largest_group
 from rosterlake.operators.skew import BROADCAST_ROWS, DEFAULT, SkewPolicy, skew_join
 from rosterlake.session import written
 
@@ -20,18 +19,39 @@ FEW_INTERVALS = 1_000
 Matching = Callable[[DataFrame, list[DataFrame], DataFrame, bool], DataFrame]
 
 
+def _key_sizes(df: DataFrame, key: str) -> tuple[int, int]:
+    """Rows of the most frequent key, and rows without a key."""
+    rows, unset = F.col("count"), F.col(key).isNull()
+    largest, nulls = df.groupBy(key).count().agg(F.max(F.when(~unset, rows)), F.max(F.when(unset, rows))).first()
+    return largest or 0, nulls or 0
+
+
 def by_key_size(
-    key: str, events: DataFrame, intervals: list[DataFrame], measure: DataFrame, run: Matching
+    key: str,
+    events: DataFrame,
+    intervals: list[DataFrame],
+    measure: DataFrame,
+    run: Matching,
+    keep_unmatched: bool,
 ) -> DataFrame:
     """Run a matching with few=True on keys of ordinary size, and with few=False on big ones.
 
     A big key has more events or intervals than fit one piece. While the big keys are few enough
     to be broadcast, which is checked, only their rows take the other way; should there be more,
-    all rows do.
+    all rows do. Many events without a key, which match nothing, are kept out of the joins.
     """
+    largest, nulls = _key_sizes(measure, key)
+    if nulls > FEW_EVENTS:
+        with_key = [df.filter(F.col(key).isNotNull()) for df in (events, measure)]
+        found = by_key_size(key, with_key[0], intervals, with_key[1], run, keep_unmatched)
+        if not keep_unmatched:
+            return found
+        added = {f.name: F.lit(None).cast(f.dataType) for f in found.schema if f.name not in events.columns}
+        return found.unionByName(events.filter(F.col(key).isNull()).withColumns(added))
+    sizes = [(measure, largest, FEW_EVENTS), *((i, _key_sizes(i, key)[0], FEW_INTERVALS) for i in intervals)]
     big = None
-    for df, most in ((measure, FEW_EVENTS), *((i, FEW_INTERVALS) for i in intervals)):
-        if largest_group(df, [key]) > most:
+    for df, size, most in sizes:
+        if size > most:
             found = df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > most).select(key)
             big = found if big is None else big.union(found)
     if big is None:
@@ -107,7 +127,7 @@ def match_valid(
                 e, i[0], key, day, start, end, how, spread_by=spread_by, measure=m, few=small, policy=policy
             )
 
-        return by_key_size(key, events, [intervals], base, run)
+        return by_key_size(key, events, [intervals], base, run, keep_unmatched=how == "left")
     if few:
         right = intervals.withColumnRenamed(key, "_key")
         valid = (F.col(day) >= F.col(start)) & (F.col(end).isNull() | (F.col(day) <= F.col(end)))
@@ -168,7 +188,7 @@ def latest_valid(
                 e, i[0], key, day, start, end, order, take, spread_by=spread_by, measure=m, few=small, policy=policy
             )
 
-        return by_key_size(key, events, [intervals], base, run)
+        return by_key_size(key, events, [intervals], base, run, keep_unmatched=True)
     if few:
         span = F.struct(*kept, F.col(start).alias("_start"), F.col(end).alias("_end"))
         lists = intervals.groupBy(key).agg(F.collect_list(span).alias("_spans"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import pay, text
 from rosterlake.operators.ordering import top_by_dense_rank
-from rosterlake.operators.skew import lookup_join
+from rosterlake.operators.skew import lookup_join, skew_join
 
 # The two status labels of a version.
 CURRENT_LABEL = "✅ Current"
@@ -295,7 +295,7 @@ def version_history(dim_employee: DataFrame, employee_id: int) -> DataFrame:
 def income_journeys(dim_employee: DataFrame) -> DataFrame:
     """Income over time of every employee with more than one version."""
     several = dim_employee.groupBy("employee_id").count().filter("count > 1").select("employee_id")
-    return dim_employee.join(several, "employee_id", "left_semi").select(
+    return skew_join(dim_employee, several, ["employee_id"], "left_semi", spread_by=["employee_sk"]).select(
         "employee_id",
         text.full_name(F.col("first_name"), F.col("last_name")).alias("name"),
         "effective_start_date",
@@ -377,8 +377,6 @@ def project_listing(projects: DataFrame, departments: DataFrame) -> DataFrame:
 
 
 def assignment_listing(assignments: DataFrame, employees: DataFrame, projects: DataFrame) -> DataFrame:
-    from rosterlake.operators.skew import skew_join
-
     people = employees.select(
         "employee_id", text.full_name(F.col("first_name"), F.col("last_name")).alias("employee_name")
     )

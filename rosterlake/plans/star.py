@@ -225,7 +225,7 @@ def fact_rows(
         found = lookup_join(found, days, ["review_date"], spread_by=["review_id"], measure=measure)
         return latest_assignment(found, tables[1], ["project_sk"], measure=measure, few=few)
 
-    return by_key_size("employee_id", rows, [versions, worked], reviews, run)
+    return by_key_size("employee_id", rows, [versions, worked], reviews, run, keep_unmatched=False)
 
 
 def load_fact_reviews(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rosterlake import schemas as S
 from rosterlake.functions import chance, dates, pay, text
+from rosterlake.operators.skew import lookup_join
 from rosterlake.plans import analytics, synthesis
 from rosterlake.registry.core import add
 
@@ -211,7 +212,7 @@ add(
 )
 add(
     "h03_concat",
-    lambda w: w["projects"].join(F.broadcast(w["departments"]), "department_id").select(
+    lambda w: lookup_join(w["projects"], w["departments"], ["department_id"]).select(
         "project_id", F.concat("department_name", F.lit(" - "), "project_name").alias("label")
     ),
     """select project_id, department_name || ' - ' || project_name as label

@@ -41,6 +41,10 @@ class BatchTable:
         """The last written row of each key: how a changing table is stored as additions only."""
         return latest(self.read(before), [key], ["batch_id"]).drop("batch_id")
 
+    def compact_into(self, other: BatchTable, key: str) -> None:
+        """Start another table with the newest row of each key, to read fewer files from then on."""
+        other.write(self.newest(key), START)
+
 
 def run_available(stream: DataFrame, process, checkpoint: str) -> None:
     """Run process(batch, batch_id) over everything that is there now, then stop."""

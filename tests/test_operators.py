@@ -241,6 +241,19 @@ def test_only_big_keys_take_the_other_way(spark, monkeypatch, most, broadcast_ro
     assert sorted(map(str, rows(best, "id", "span"))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_many_events_without_a_key(spark, monkeypatch, how):
+    events, spans, e, s = dated(spark, seed=9)
+    lost = [(1000 + i, None, D(2019, 1, 1)) for i in range(30)]
+    e = e.union(spark.createDataFrame(lost, e.schema))
+    monkeypatch.setattr(intervals, "FEW_EVENTS", 20)
+    got = intervals.match_valid(e, s, "k", "day", "start", "end", how, spread_by=["id"])
+    want = [(ev[0], f[0]) for ev, found in brute(events + lost, spans) for f in found or [(None,)] * (how == "left")]
+    assert sorted(map(str, rows(got, "id", "span"))) == sorted(map(str, want))
+    best = intervals.latest_valid(e, s, "k", "day", "start", "end", ["start", "span"], ["span"], spread_by=["id"])
+    assert best.count() == e.count()
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_no_events_at_all(spark, few):
     _, _, e, s = dated(spark)

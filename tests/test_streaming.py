@@ -46,6 +46,9 @@ def test_changes_in_three_batches_equal_one(spark, warehouse):
     keys = ["employee_sk", "job_history_id"]
     same(out.newest("employee_sk").drop(*keys), whole.drop(*keys))
     assert bad.rows().count() == judged.rejected.count()
+    compacted = table(spark, S.JOB_HISTORY)
+    out.compact_into(compacted, "employee_sk")
+    same(compacted.rows(), out.newest("employee_sk"))
     # Keys go on without a gap across batches.
     n, low, high, kinds = out.newest("employee_sk").filter("effective_start_date >= '2024-01-01'").agg(
         F.count("*"), F.min("job_history_id"), F.max("job_history_id"), F.countDistinct("employee_sk")
