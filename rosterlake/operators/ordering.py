@@ -78,11 +78,16 @@ def ranked(
 ) -> DataFrame:
     """Add RANK or DENSE_RANK inside each group; `by` lists (column, "asc" or "desc").
 
-    Ranks only depend on how often each ordering value occurs, so the rows are first counted per
-    (group, value) with map-side combining. The counts are ordered, and joined back to the rows.
+    While the largest group fits one task this is a plain window. Beyond that: ranks only depend on
+    how often each ordering value occurs, so the rows are counted per (group, value) with map-side
+    combining. The counts are ordered, and joined back to the rows.
     """
     columns = [c for c, _ in by]
     order = [F.col(c).asc() if way == "asc" else F.col(c).desc() for c, way in by]
+    if largest_group(df, group) <= window_rows:
+        whole = Window.partitionBy(*group).orderBy(*order)
+        added = {rank: F.rank(), dense_rank: F.dense_rank()}
+        return df.withColumns({n: f.over(whole).cast("long") for n, f in added.items() if n})
     values = df.groupBy(*group, *columns).agg(F.count("*").alias("_rows"))
     if largest_group(values, group) <= window_rows:
         w = Window.partitionBy(*group).orderBy(*order)

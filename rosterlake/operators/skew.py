@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -123,11 +123,28 @@ def _with_parts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_group_values(
-    df: DataFrame, keys: list[str], values: dict[str, Column], policy: SkewPolicy = DEFAULT
+    df: DataFrame,
+    keys: list[str],
+    values: dict[str, Column],
+    *,
+    broadcast_rows: int = BROADCAST_ROWS,
+    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Add aggregates of each row's group to the row (count, average, … over a partition).
 
-    The aggregates are combined on the map side and joined back, so no task holds a whole group.
+    With few groups their aggregates are broadcast to the rows. With many groups, none of them
+    large, a window does it in one shuffle. With many groups of which some are large, the aggregates
+    are joined back, split where hot. The groups are counted first.
     """
+    found, largest = df.groupBy(*keys).count().agg(F.count("*"), F.max("count")).first()
+    if found > broadcast_rows and largest <= policy.rows:
+        return df.withColumns({n: v.over(Window.partitionBy(*keys)) for n, v in values.items()})
     groups = df.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()])
-    return skew_join(df, groups, keys, null_safe=True, policy=policy)
+    if found > broadcast_rows:
+        return skew_join(df, groups, keys, null_safe=True, policy=policy)
+    named = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *values)
+    same = None
+    for k in keys:
+        test = F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+        same = test if same is None else same & test
+    return df.join(F.broadcast(named), same).drop(*[f"_g_{k}" for k in keys])

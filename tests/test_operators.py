@@ -105,9 +105,11 @@ def test_lookup_join_broadcasts_only_small_tables(spark):
     assert rows(few, "id", "one") == rows(many, "id", "one")
 
 
-def test_group_values_keep_null_groups(spark):
+@pytest.mark.parametrize("broadcast_rows", [100, 0])
+@pytest.mark.parametrize("policy", [skew.DEFAULT, EAGER])
+def test_group_values_keep_null_groups(spark, broadcast_rows, policy):
     df = skewed(spark)
-    got = skew.with_group_values(df, ["k"], {"n": F.count("*")}, policy=EAGER)
+    got = skew.with_group_values(df, ["k"], {"n": F.count("*")}, broadcast_rows=broadcast_rows, policy=policy)
     want = df.withColumn("n", F.count("*").over(Window.partitionBy("k")))
     assert rows(got, "id", "n") == rows(want, "id", "n")
 
@@ -131,6 +133,15 @@ def test_in_order_equals_window(spark, window_rows):
     assert sorted(map(str, rows(got, *columns))) == sorted(map(str, rows(want, *columns)))
 
 
+@pytest.mark.parametrize("window_rows", [10_000, 50])
+def test_ranks_of_few_values_in_large_groups(spark, window_rows):
+    df = skewed(spark)
+    got = ordering.ranked(df, ["k"], [("rating", "desc")], rank="r", dense_rank="d", window_rows=window_rows, policy=EAGER)
+    w = Window.partitionBy("k").orderBy(F.desc("rating"))
+    want = df.select("id", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("d"))
+    assert rows(got, "id", "r", "d") == rows(want, "id", "r", "d")
+
+
 @pytest.mark.parametrize("window_rows", [10_000, 3])
 def test_ranked_equals_window(spark, window_rows):
     df = skewed(spark)
