@@ -11,7 +11,7 @@ from rosterlake import schemas as S
 from rosterlake.functions import pay
 from rosterlake.operators.numbering import next_key, number_rows
 from rosterlake.operators.ordering import in_order, latest
-from rosterlake.operators.skew import lookup_join, skew_join, with_group_values
+from rosterlake.operators.skew import lookup_join, with_group_values
 from rosterlake.session import written
 
 
@@ -20,6 +20,12 @@ def last_change_per_day(changes: DataFrame) -> DataFrame:
     return latest(changes, ["employee_id", "change_date"], ["change_seq"])
 
 
+def of_employees(versions: DataFrame, named: DataFrame) -> DataFrame:
+    """The versions of the employees that occur in another table; a small one is broadcast."""
+    ids = named.select("employee_id").distinct()
+    return lookup_join(versions, ids, ["employee_id"], "left_semi", spread_by=["employee_sk"])
+
+
 @dataclass
 class JudgedChanges:
     accepted: DataFrame
@@ -35,7 +41,8 @@ def judge_changes(
     current version, and late ones: older than the current version's start. A change whose day
     already starts an older version has been applied before and is passed over.
     """
-    daily = last_change_per_day(changes)
+    daily = written(last_change_per_day(changes), "daily-changes")
+    history = of_employees(history, daily)
     roles = job_roles.select("job_role_id", "job_role_name", "job_level")
     known = departments.select("department_id", "department_name")
     current = latest(
@@ -97,7 +104,8 @@ def _closed(df: DataFrame, summary: DataFrame, instead: dict[str, Column]) -> Da
 
     Adds _touched. `instead` gives, per column, the value that a same-day change puts in place.
     """
-    joined = skew_join(df, summary, ["employee_id"], "left", spread_by=["employee_sk"], measure=df)
+    # A batch that concerns few employees is broadcast, and the table is not shuffled at all.
+    joined = lookup_join(df, summary, ["employee_id"], "left", spread_by=["employee_sk"], measure=df)
     current = F.col("is_current") == 1
     expire = current & F.col("_first_new").isNotNull()
     replace = current & F.col("_instead").isNotNull()
@@ -195,7 +203,7 @@ def apply_to_dimension(dim_employee: DataFrame, accepted: DataFrame, added: Data
         *("employee_sk employee_id department_name job_level monthly_income daily_rate hourly_rate".split()),
         *("change_reason effective_start_date effective_end_date is_current".split()),
     ]
-    before = latest(dim_employee, ["employee_id"], ["effective_end_date", "employee_sk"]).drop(
+    before = latest(of_employees(dim_employee, added), ["employee_id"], ["effective_end_date", "employee_sk"]).drop(
         *[c for c in named if c != "employee_id"], "job_role"
     )
     new = added.select(*named, F.col("job_role_name").alias("job_role")).join(before, "employee_id")
@@ -214,7 +222,7 @@ def update_rows(df: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame
     """Keyed update: rows found in changes take its other columns, NULLs included."""
     values = [c for c in changes.columns if c not in keys]
     marked = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values], F.lit(True).alias("_hit"))
-    joined = skew_join(df, marked, keys, "left", measure=df)
+    joined = lookup_join(df, marked, keys, "left", measure=df)
     return joined.select(
         *[
             F.when(F.col("_hit"), F.col(f"_new_{c}").cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c)

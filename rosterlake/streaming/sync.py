@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from rosterlake import schemas as S
 from rosterlake.operators.numbering import next_key, number_rows
 from rosterlake.operators.ordering import latest
-from rosterlake.operators.skew import lookup_join, skew_join
-from rosterlake.operators.versions import apply_to_history, judge_changes
+from rosterlake.operators.skew import skew_join
+from rosterlake.operators.versions import apply_to_history, judge_changes, of_employees
 from rosterlake.plans import oltp
 from rosterlake.streaming.tables import BatchTable
 
@@ -62,9 +62,7 @@ def attribute_changes(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         stored = history.read(batch_id)
-        named = batch.select("employee_id").distinct()
-        concerned = lookup_join(stored, named, ["employee_id"], "left_semi", spread_by=["employee_sk"])
-        affected = latest(concerned, ["employee_sk"], ["batch_id"]).drop("batch_id")
+        affected = latest(of_employees(stored, batch), ["employee_sk"], ["batch_id"]).drop("batch_id")
         judged = judge_changes(batch, affected, departments, job_roles)
         applied = apply_to_history(affected, judged.accepted, keys_from=stored)
         history.write(applied.touched, batch_id)
