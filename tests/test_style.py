@@ -5,7 +5,8 @@ from pathlib import Path
 
 import pytest
 
-SOURCES = sorted((Path(__file__).resolve().parent.parent / "rosterlake").rglob("*.py"))
+LIBRARY = Path(__file__).resolve().parent.parent / "rosterlake"
+SOURCES = sorted(p for p in LIBRARY.rglob("*.py") if LIBRARY / "llm" not in p.parents)
 
 
 @pytest.mark.parametrize("path", SOURCES, ids=lambda p: p.stem)
@@ -24,3 +25,8 @@ def test_broadcasts_are_only_made_where_the_size_is_checked():
 def test_collects_are_only_made_on_bounded_rows():
     found = {p.name for p in SOURCES if re.search(r"\.collect\(\)", p.read_text())}
     assert found == {"skew.py"}
+
+
+def test_nothing_imports_the_text_operators():
+    for path in SOURCES:
+        assert "rosterlake.llm" not in path.read_text(), path
