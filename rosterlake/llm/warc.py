@@ -5,9 +5,10 @@ metadata name the response in WARC-Concurrent-To. A record is a string that the
 two line breaks, which is just how a WARC file frames its records, so Spark's own writer, compression
 and commit protocol make the archives, in any store that Spark can write to.
 
-Reading splits the text where a record's end and the next one's version line meet, and checks each
-part against its Content-Length. A payload that happens to contain that very sequence makes parts
-too short; only files with such parts are read once more, whole, by length alone.
+Reading splits the text at version lines and checks each part against its Content-Length. A payload
+that happens to contain such a line makes parts too short; only files with such parts are read once
+more, whole, by length alone. (A separator that began with line breaks would be ambiguous, since blocks
+end with line breaks too, and Hadoop's reader misses some of those where its buffer ends.)
 
 Assembly brings request, response and metadata together by the identifier they share and gives one
 nested row for each capture.
@@ -35,8 +36,8 @@ from rosterlake.llm.common import workers_import
 VERSION = "WARC/1.1"
 BREAK = "\r\n"
 END = BREAK * 2
-#: Where one record ends and the next begins.
-BETWEEN = END + VERSION + BREAK
+#: What every record begins with.
+BEGIN = VERSION + BREAK
 REVISIT_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -147,21 +148,18 @@ def _whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(head, block) of every record: the header lines after the version line, and the block's text."""
     workers_import(spark)
-    parts = spark.read.option("lineSep", BETWEEN).text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    # The first part of a file still has its version line, the last one the end of its record.
-    value = F.when(F.col("value").startswith(VERSION + BREAK), F.expr(f"substring(value, {len(VERSION + BREAK) + 1})")).otherwise(F.col("value"))
+    parts = spark.read.option("lineSep", BEGIN).text(path).select("value", F.col("_metadata.file_path").alias("file"))
     cut = F.instr("value", END)
-    split = parts.withColumn("value", value).select(
+    split = parts.filter("value <> ''").select(  # what stands before the first record
         "file",
         F.when(cut > 0, F.substring("value", 1, cut - 1)).otherwise(F.lit("")).alias("head"),
         F.when(cut > 0, F.substring("value", cut + len(END), F.lit(1 << 30))).alias("block"),
     )
     length = F.regexp_extract("head", r"(?i)(?:^|\n)content-length:[ \t]*(\d+)", 1)
-    split = split.withColumn("over", F.octet_length("block") - F.when(length != "", length.cast("long")))
-    whole = (F.col("over") == 0) | ((F.col("over") == len(END)) & F.endswith("block", F.lit(END)))
-    whole = F.coalesce(whole, F.lit(False))
+    over = F.octet_length("block") - F.when(length != "", length.cast("long"))
+    whole = F.coalesce((over == len(END)) & F.endswith("block", F.lit(END)), F.lit(False))
+    cut_block = F.expr(f"left(block, char_length(block) - {len(END)})")
     broken = split.filter(~whole).select("file").distinct()
-    cut_block = F.when(F.col("over") == 0, F.col("block")).otherwise(F.expr(f"left(block, char_length(block) - {len(END)})"))
     if broken.isEmpty():
         return split.select("head", cut_block.alias("block"))
     good = split.join(broken, "file", "left_anti").select("head", cut_block.alias("block"))
