@@ -8,11 +8,10 @@ minimum of slices. Bands of coordinates are hashed; sets that share a band are c
 link counts only when the full sets reach the threshold.
 
 Steps: texts with equal sets are one node, so that any number of copies costs one row from there on.
-Buckets of one band with few members give all their pairs. In larger buckets some members are
-compared with all others in each round; those found to be linked share a component and need no
-further comparison among them, and the compared ones leave. So a group of near copies takes about
-one round and a few rows for each member, while every pair of different components in a bucket is
-still compared at some time. Components come from joins alone.
+Each bucket's smallest node is compared with the others first, which joins most of a group of near
+copies. All pairs of different components that share a bucket are then compared in blocks of nodes:
+exactly, by matrix products inside tasks, of which only the links come out. No bucket is capped, and no
+task gets more than a block. Components come from joins alone.
 
 With 26 bands of 5 coordinates, two sets at a Jaccard similarity of 0.85 share no band with a
 probability of 2.5e-7, at 0.9 of 6e-11.
@@ -41,8 +40,8 @@ from rosterlake.session import written
 
 BANDS, ROWS = 26, 5
 PLACES = 1 << 22
-#: Buckets of up to so many members give all pairs; in larger ones as many are compared with all in a round.
-SMALL = 16
+#: Nodes that are compared with as many others in one block, and columns of its 0/1 matrices.
+CHUNK, COLUMNS = 128, 16_384
 #: Candidate documents of at most so many (8 bytes each) are sent to all executors to pick their texts.
 BROADCAST_ROWS = 500_000
 MOST_WORDS = 1_000_000
@@ -163,56 +162,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _size_allows(a: str, b: str, percent: int):
-    """No two sets of these sizes can reach the threshold otherwise."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's smallest node with its other nodes, as far as sizes allow a link.
 
-
-def _pairs(members: DataFrame, first_round: bool, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b) to compare, members (key, node, n) left for later rounds).
-
-    members: (key, node, n, root). Buckets all of whose members have one root are done. In the first
-    round the smallest node of a bucket is compared with the others, so that the bands of a group
-    agree on their pairs. Later, small buckets give all their pairs of different roots, and in large
-    ones some members, picked by a hash, are compared with all others.
+    The smallest node is the same in most bands of a group, so a group of any size gives about one pair
+    for each member.
     """
-    row = ("node", "n", "root")
-    picks = [F.struct(*row)] if first_round else [F.struct(F.xxhash64("node", F.lit(i)).alias("by"), *row) for i in range(4)]
-    buckets = members.groupBy("key").agg(
-        F.count("*").alias("rows"),
-        F.min("root").alias("low"),
-        F.max("root").alias("high"),
-        *[F.min(p).alias(f"pick{i}") for i, p in enumerate(picks)],
-    )
-    hubs = F.array(*[F.struct(*[F.col(f"pick{i}")[c].alias(c) for c in row]) for i in range(len(picks))])
-    mixed = buckets.filter("low < high").select("key", "rows", hubs.alias("hubs"))
-    open_ = written(members.join(mixed, "key"), "buckets")
-    large = F.lit(True) if first_round else F.col("rows") > SMALL
-    by_hub = (
-        open_.filter(large)
-        .select("node", "n", "root", F.explode("hubs").alias("h"))
-        .filter((F.col("root") != F.col("h.root")) & _size_allows("n", "h.n", percent))
-        .select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
-    )
-    left = open_.filter(large & ~F.array_contains(F.col("hubs")["node"], F.col("node"))).select("key", "node", "n")
-    if first_round:
-        return by_hub, left
-    whole = open_.filter(~large).groupBy("key").agg(F.collect_list(F.struct(*row)).alias("all"))  # SMALL at most
-    by_pair = (
-        whole.select("all", F.explode("all").alias("x"))
-        .select("x", F.explode("all").alias("y"))
-        .filter((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _size_allows("x.n", "y.n", percent))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    )
-    return by_hub.union(by_pair), left
+    hubs = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
+    pairs = members.join(hubs, "key").filter(F.col("node") > F.col("hub.node"))
+    fits = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
+    return pairs.filter(fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _linked(pairs: DataFrame, df: DataFrame, size: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the threshold."""
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "compared")
-    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
-    few = nodes.count() <= BROADCAST_ROWS
-    sets = written(shingle_sets(texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi"), size, "node", "text"), "sets")
+def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose full sets reach the threshold."""
     second = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("other")), "b")
     both = second.join(sets.select(F.col("node").alias("a"), "own"), "a")
     common = F.size(F.array_intersect("own", "other"))
@@ -220,6 +183,88 @@ def _linked(pairs: DataFrame, df: DataFrame, size: int, percent: int, id_col: st
     return both.filter(common * 100 >= union * percent).select("a", "b").distinct()
 
 
+def common_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of the first sets with each of the second, exactly.
+
+    Only elements of both lists matter. They number the columns of 0/1 matrices, whose product counts;
+    columns are taken some at a time, so memory does not grow with the sets.
+    """
+    counts = np.zeros((len(first), len(second)), dtype=np.int64)
+    shared = np.intersect1d(np.concatenate(first), np.concatenate(second))
+    cells = [
+        (np.repeat(np.arange(len(of)), [len(s) for s in of]), np.searchsorted(shared, flat), flat)
+        for of in (first, second)
+        for flat in [np.concatenate(of)]
+    ]
+    kept = []
+    for rows, at, flat in cells:
+        at[at == len(shared)] = 0
+        on = shared[at] == flat if len(shared) else np.zeros(len(flat), dtype=bool)
+        kept.append((rows[on], at[on]))
+    for low in range(0, len(shared), COLUMNS):
+        sides = []
+        for (rows, at), of in zip(kept, (first, second)):
+            here = (at >= low) & (at < low + COLUMNS)
+            side = np.zeros((len(of), min(COLUMNS, len(shared) - low)), dtype=np.float32)
+            side[rows[here], at[here] - low] = 1
+            sides.append(side)
+        counts += (sides[0] @ sides[1].T).astype(np.int64)
+    return counts
+
+
+def _block_links(group: pa.Table, percent: int) -> pa.Table:
+    """Links between two chunks (columns a, b, chunk, node, root, own) that join different roots.
+
+    All pairs are compared; of the links, those that join what earlier ones have not are given.
+    """
+    chunk, a, b = (group.column(c).to_numpy() for c in ("chunk", "a", "b"))
+    node, root = group.column("node").to_pylist(), group.column("root").to_pylist()
+    own = [np.asarray(x, dtype=np.int64) for x in group.column("own").to_numpy(zero_copy_only=False)]
+    left = np.flatnonzero(chunk == a[0])
+    right = left if a[0] == b[0] else np.flatnonzero(chunk == b[0])
+    out: list[tuple[int, int]] = []
+    if len(left) and len(right) and len(set(root)) > 1:
+        sizes = np.array([len(x) for x in own])
+        common = common_counts([own[i] for i in left], [own[i] for i in right])
+        union = sizes[left][:, None] + sizes[right][None, :] - common
+        at = {r: r for r in root}
+
+        def find(r: int) -> int:
+            while at[r] != r:
+                at[r] = at[at[r]]
+                r = at[r]
+            return r
+
+        for i, j in zip(*np.nonzero(common * 100 >= union * percent)):
+            x, y = left[i], right[j]
+            p, q = find(root[x]), find(root[y])
+            if p != q:
+                at[p] = q
+                out.append((min(node[x], node[y]), max(node[x], node[y])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different roots among all pairs that share a bucket. members: (key, node, root).
+
+    Buckets all of whose members have one root are done. The nodes of the others are put into chunks of
+    about CHUNK, so that nodes of one large bucket stand together; chunks that share a bucket are
+    compared as blocks, which finds every link of two nodes that share a bucket. A block's pairs stay
+    inside its task, and only links come out.
+    """
+    buckets = members.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ = written(members.join(buckets.filter("low < high").select("key", "rows"), "key"), "buckets")
+    largest = F.max(F.struct("rows", "key")).alias("home")
+    homes = open_.groupBy("node", "root").agg(largest)
+    place = F.pmod(F.xxhash64("node"), F.ceil(F.col("home.rows") / CHUNK))
+    chunks = written(homes.select("node", "root", F.xxhash64("home.key", place).alias("chunk")), "chunks")
+    sides = written(open_.join(chunks.select("node", "chunk"), "node").select("key", "chunk").distinct(), "bucket-chunks")
+    pairs = sides.withColumnRenamed("chunk", "a").join(sides.withColumnRenamed("chunk", "b"), "key").filter("a <= b").select("a", "b").distinct()
+    both = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"))
+    rows = both.join(chunks.join(sets, "node"), "chunk")
+    return rows.groupBy("a", "b").applyInArrow(lambda group: _block_links(group, percent), "a long, b long")
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", *, size: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -236,23 +281,20 @@ def near_duplicates(
     )
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
-    members = written(banded.join(shared, "key"), "members").withColumn("root", F.col("node"))
-    links, labels, first_round = None, None, True
-    while not members.isEmpty():
-        found, left = _pairs(members, first_round, percent)
-        found = written(found.distinct(), "pairs")
-        if not found.isEmpty():
-            new = written(_linked(found, df, size, percent, id_col, text), "links")
-            links = new if links is None else links.union(new)
-            labels = components(links)
-        members = left.withColumn("root", F.col("node"))
-        if labels is not None:
-            roots = labels.withColumnRenamed("root", "found")
-            members = left.join(roots, "node", "left").select("key", "node", "n", F.coalesce("found", "node").alias("root"))
-        members, first_round = written(members, "members"), False
-    roots = nodes.select("digest", "node")
-    roots = roots.withColumn("root", F.col("node")) if labels is None else roots.join(labels, "node", "left")
-    known = signed.join(roots.select("digest", F.coalesce("root", "node").alias("root")), "digest", "left")
+    members = written(banded.join(shared, "key"), "members")
+    candidates = written(members.select("node").distinct(), "candidates")
+    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
+    few = candidates.count() <= BROADCAST_ROWS
+    texts = texts.join(F.broadcast(candidates) if few else candidates, "node", "left_semi")
+    sets = written(shingle_sets(texts, size, "node", "text"), "sets")
+    links = written(_linked_pairs(_hub_pairs(members, percent), sets, percent), "links")
+    roots = written(components(links), "roots")
+    rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    more = written(_links_across(rooted, sets, percent), "links")
+    if not more.isEmpty():
+        roots = components(links.union(more))
+    found = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    known = signed.join(found, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc")).otherwise(F.col("root"))
     return known.select(
         F.col("doc").alias(id_col),

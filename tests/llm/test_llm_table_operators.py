@@ -274,7 +274,10 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in docs.select("doc_id").exceptAll(named.select("doc_id")).collect()} == {-1, -2}
     single = corpus_pipeline.drop_near_duplicates(spark, named, SMALL)
     expected = brute_components([(r.doc_id, r.text) for r in named.collect()], 5, 80)
-    assert sorted(r.doc_id for r in single.collect()) == sorted(i for i, (_, root) in expected.items() if i == root)
+    kept = [expected[r.doc_id][1] for r in single.collect()]
+    assert sorted(kept) == sorted({root for _, root in expected.values()})  # one row of each component
+    again = corpus_pipeline.drop_near_duplicates(spark, single.union(single).union(spark.createDataFrame(extra[:1] * 2, docs.schema)), SMALL)
+    assert again.count() == single.count() + 2  # equal rows are one document, null texts are not duplicates
     clean = corpus_pipeline.redact_secrets(spark, single, SMALL)
     assert clean.count() == single.count() and clean.filter("doc_id = -3").first().text == "[secret] for the house of the man"
     assert clean.filter("n_chars <> length(text)").count() == 0
