@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from rosterlake.plans.warehouse import warehouse  # noqa: E402
 from rosterlake.registry import REGISTRY  # noqa: E402
-from rosterlake.session import local_session  # noqa: E402
+from rosterlake.session import clear_written, local_session  # noqa: E402
 
 HEADLINE = [
     "j03_employees",
@@ -68,13 +68,15 @@ def main() -> None:
             seconds[name] = round(time.perf_counter() - began, 3)
     line = {
         "metric": "headline_total",
-        "value": round(sum(seconds.values()), 3),
+        # What the loads and reports need first is part of the total.
+        "value": round(build + sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
         "sf": Path(sf_dir).name.removeprefix("sf"),
         "warehouse_build_cold": round(build, 3),
         "cpus": cpus,
     }
+    clear_written(spark)
     print(json.dumps(line))
 
 

@@ -15,6 +15,15 @@ def uniform(entity_id: Column, salt: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def position(entity_id: Column, salt: str, size: int) -> Column:
+    """A whole number from 0 to size - 1, drawn from the first 15 hex digits of md5(id:salt).
+
+    uniform has 32 bits, which cannot reach every row of a larger table; this has 60.
+    """
+    digest = F.md5(F.concat(entity_id.cast("string"), F.lit(f":{salt}")))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(max(size, 1)).cast("long"))
+
+
 def uniform_between(entity_id: Column, salt: str, low: float, high: float) -> Column:
     return F.lit(low) + (F.lit(high) - F.lit(low)) * uniform(entity_id, salt)
 

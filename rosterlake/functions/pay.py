@@ -29,7 +29,9 @@ def monthly_rate(income: Column) -> Column:
 
 def whole_or(text: Column, default: int) -> Column:
     """A whole number, or the default where the value cannot be read as a number."""
-    return F.coalesce(text.try_cast("double"), F.lit(default)).cast("int")
+    number = text.try_cast("double")
+    # NaN compares as larger than any number, so it takes the default like an overflow.
+    return F.coalesce(F.when(F.abs(number) <= 2_147_483_647, number), F.lit(default)).cast("int")
 
 
 def clamp(value: Column, low: int, high: int) -> Column:

@@ -25,7 +25,7 @@ def tidy_all(df: DataFrame) -> DataFrame:
 
 
 def not_blank(text: Column) -> Column:
-    return text.isNotNull() & (F.trim(text) != "")
+    return text.isNotNull() & (tidy(text) != "")
 
 
 def first_word(name: Column) -> Column:
@@ -49,9 +49,11 @@ def email_for(first: Column, last: Column, entity_id: Column) -> Column:
 
 
 def email_variant(email: Column, suffix: Column) -> Column:
-    """The same address with a running number before the @, for suffix > 0."""
-    tail = F.concat(F.lit("."), suffix.cast("string"), F.lit("@example.com"))
-    return F.when(suffix > 0, F.replace(email, F.lit("@example.com"), tail)).otherwise(email)
+    """The same address with a running number before its last @ (or at its end), for suffix > 0."""
+    host = F.regexp_extract(email, "(@[^@]*)$", 1)
+    name = F.left(email, F.length(email) - F.length(host))
+    numbered = F.concat(name, F.lit("."), suffix.cast("string"), host)
+    return F.when(suffix > 0, numbered).otherwise(email)
 
 
 def looks_like_email(email: Column) -> Column:

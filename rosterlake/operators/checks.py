@@ -174,6 +174,17 @@ def facts_outside_version(fact: DataFrame, dim_employee: DataFrame, dim_date: Da
     )
 
 
+def version_check(fact: DataFrame, dim_employee: DataFrame, dim_date: DataFrame) -> DataFrame:
+    """Facts of current and of expired versions, and how many of each lie outside their version's days."""
+    counted = fact.groupBy("employee_sk", "date_sk").agg(F.count("*").alias("n"))
+    dated = lookup_join(counted, dim_date.select("date_sk", "full_date"), ["date_sk"])
+    versions = dim_employee.select("employee_sk", "is_current", "effective_start_date", "effective_end_date")
+    outside = ~F.col("full_date").between(F.col("effective_start_date"), F.col("effective_end_date"))
+    return dated.join(versions, "employee_sk").groupBy("is_current").agg(
+        F.sum("n").alias("facts"), F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outside")
+    )
+
+
 def dropped_reviews(
     reviews: DataFrame, dim_employee: DataFrame, dim_department: DataFrame, dim_date: DataFrame
 ) -> DataFrame:

@@ -119,7 +119,8 @@ def match_valid(
     split. `measure` is a cheaper table with the same key and day columns as events.
     """
     base = events if measure is None else measure
-    intervals = intervals.filter(F.col(key).isNotNull())
+    # An interval without a start is valid on no day, whatever the size of its key.
+    intervals = intervals.filter(F.col(key).isNotNull() & F.col(start).isNotNull())
     if few is None:
 
         def run(e: DataFrame, i: list[DataFrame], m: DataFrame, small: bool) -> DataFrame:
@@ -179,7 +180,8 @@ def latest_valid(
     the same key and day columns as events.
     """
     base = events if measure is None else measure
-    intervals = intervals.filter(F.col(key).isNotNull())
+    # An interval without a start is valid on no day, whatever the size of its key.
+    intervals = intervals.filter(F.col(key).isNotNull() & F.col(start).isNotNull())
     kept = [*order, *[c for c in take if c not in order]]
     if few is None:
 
@@ -225,4 +227,28 @@ def latest_valid(
         .agg(F.max("_best").alias("_best"))
         .select(F.col("_k").alias(key), F.col("_d").alias(day), *[F.col(f"_best.{c}").alias(c) for c in take])
     )
-    return skew_join(events, found, [key, day], "left", spread_by=spread_by, measure=base, policy=policy)
+    joined = skew_join(events, found, [key, day], "left", spread_by=spread_by, measure=base, policy=policy)
+    return joined.select(*events.columns, *take)
+
+
+def count_valid(
+    events: DataFrame, intervals: DataFrame, key: str, day: str, start: str, end: str, name: str,
+    *, spread_by: list[str] | None = None, policy: SkewPolicy = DEFAULT,
+) -> DataFrame:
+    """events with the number of their key's intervals that contain the day.
+
+    No pairs are made: per key and day, intervals that begin count up and those that ended the day
+    before count down, and a running sum over a key's days, of which there are no more than there are
+    calendar days, gives the number on each. Events of one key and day share a row of the result.
+    """
+    given = intervals.filter(F.col(key).isNotNull() & F.col(start).isNotNull())
+    given = given.filter(F.col(end).isNull() | (F.col(end) >= F.col(start)))
+    steps = given.select(F.col(key).alias("_k"), F.col(start).alias("_d"), F.lit(1).alias("_step")).union(
+        given.filter(F.col(end).isNotNull()).select(key, F.date_add(end, 1), F.lit(-1))
+    )
+    asked = events.filter(F.col(key).isNotNull() & F.col(day).isNotNull()).select(key, day, F.lit(0))
+    days = steps.union(asked).groupBy("_k", "_d").agg(F.sum("_step").alias("_step"))
+    running = Window.partitionBy("_k").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+    found = days.select(F.col("_k").alias(key), F.col("_d").alias(day), F.sum("_step").over(running).alias(name))
+    joined = skew_join(events, found, [key, day], "left", spread_by=spread_by, policy=policy)
+    return joined.select(*events.columns, F.coalesce(name, F.lit(0)).cast("long").alias(name))

@@ -62,5 +62,19 @@ def next_key(df: DataFrame, key: str) -> int:
 
 
 def first_n(df: DataFrame, order_by: list[str | Column], n: int) -> DataFrame:
-    """Exactly the first n rows in the given order; n may be a large share of the table."""
+    """Exactly the first n rows in the given order; n may be a large share of the table.
+
+    Only the ordering columns are numbered and written; the n-th of them then filters the table. Where
+    expressions order the rows, or the n-th values occur twice, the rows themselves are numbered.
+    """
+    if n <= 0:
+        return df.limit(0)
+    if all(isinstance(c, str) for c in order_by):
+        last = number_rows(df.select(*order_by), order_by, "_position").filter(F.col("_position") == n).first()
+        if last is None:
+            return df
+        row = F.struct(*order_by)
+        bound = F.struct(*[F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order_by])
+        if df.filter(row == bound).limit(2).count() == 1:
+            return df.filter(row <= bound)
     return number_rows(df, order_by, "_position").filter(F.col("_position") <= n).drop("_position")

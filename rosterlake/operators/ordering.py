@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.operators.numbering import number_rows
-from rosterlake.operators.skew import DEFAULT, SkewPolicy, skew_join
+from rosterlake.operators.skew import DEFAULT, SkewPolicy, fits_broadcast, skew_join
+from rosterlake.session import written
 
 # A group up to this size is ordered by one task in a window.
 WINDOW_ROWS = 1_000_000
@@ -58,7 +59,7 @@ def in_order(
             out = out.join(beside, same, "left").drop(f"{mark}at", *[f"{mark}{g}" for g in group])
     if number:
         firsts = placed.groupBy(*group).agg(F.min("_at").alias("_group_first"))
-        policy = SkewPolicy(rows=window_rows, most_keys=DEFAULT.most_keys)
+        policy = SkewPolicy(rows=window_rows)
         out = skew_join(
             out, firsts, group, null_safe=True, spread_by=["_at"], measure=placed, policy=policy
         )
@@ -146,8 +147,8 @@ def top_by_dense_rank(
     """The rows whose DENSE_RANK in their group is at most n, ties kept.
 
     Only the n best distinct values of a group matter. They are found on distinct values, where
-    the row_number filter already cuts each group to n rows before the shuffle, and are joined
-    back: n rows per group, which Spark broadcasts when that is small.
+    the row_number filter already cuts each group to n rows before the shuffle, written, and sent to
+    the rows if they fit a broadcast. Otherwise they are joined back, split where a tied value is hot.
     """
     columns = [c for c, _ in by]
     order = [F.col(c).asc() if way == "asc" else F.col(c).desc() for c, way in by]
@@ -159,7 +160,10 @@ def top_by_dense_rank(
         .filter(F.col(name) <= n)
         .withColumn(name, F.col(name).cast("long"))
     )
-    right = best.select(*[F.col(c).alias(f"_b_{c}") for c in [*group, *columns]], name)
+    best = written(best, "best")
+    if not fits_broadcast(best, best.count()):
+        return skew_join(df, best, [*group, *columns], null_safe=True)
+    right = F.broadcast(best.select(*[F.col(c).alias(f"_b_{c}") for c in [*group, *columns]], name))
     same = None
     for c in [*group, *columns]:
         test = F.col(c).eqNullSafe(F.col(f"_b_{c}"))

@@ -52,6 +52,10 @@ def assignment_rules() -> dict[str, Column]:
     }
 
 
+def review_rules() -> dict[str, Column]:
+    return {"rating outside 1 to 5": ~F.col("performance_rating").between(1, 5)}
+
+
 def broken(rules: dict[str, Column]) -> Column:
     """The names of the broken rules, in order; a rule that cannot be decided is not broken."""
     return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))

@@ -4,45 +4,45 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.session import written
+
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """A key is hot above `rows` rows, and above the share 1/`most_keys` of its table.
-
-    The second rule bounds the list of hot keys: fewer than most_keys can exceed that share.
-    """
+    """A key is hot above `rows` rows, whatever the size of its table; it is split into parts of that size."""
 
     rows: int = 1_000_000
-    most_keys: int = 10_000
 
 
 DEFAULT = SkewPolicy()
 
-# A lookup of at most this many rows is sent to every executor whole.
+# A lookup of at most this many rows, and of about so many bytes, is sent to every executor whole.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    """What a row takes in memory, roughly: 8 bytes a column, and 64 for text and nested values."""
+    fixed = {"tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp"}
+    return sum(8 if kind in fixed or kind.startswith("decimal") else 64 for _, kind in df.dtypes)
+
+
+def fits_broadcast(df: DataFrame, rows: int, most_rows: int = BROADCAST_ROWS) -> bool:
+    return rows <= most_rows and rows * row_bytes(df) <= BROADCAST_BYTES
 
 
 def hot_keys(df: DataFrame, keys: list[str], policy: SkewPolicy = DEFAULT) -> DataFrame | None:
     """The hot keys with the number of parts to split each into, or None when there are none.
 
-    Counting combines on the map side, so a hot key costs one row per task here. At most
-    policy.most_keys rows reach the driver.
+    Counting combines on the map side, so a hot key costs one row per task here. The list is a
+    written table: it grows with the table's size over policy.rows.
     """
-    spark = df.sparkSession
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    # Two steps keep this cheap: without a key above the fixed bound there is nothing to list.
-    summary = counts.agg(F.max("_rows"), F.sum("_rows")).first()
-    largest, total = summary[0] or 0, summary[1] or 0
-    bound = max(policy.rows, total // policy.most_keys)
-    if largest <= bound:
-        return None
-    hot = counts.filter(F.col("_rows") > bound).select(
-        *keys, F.ceil(F.col("_rows") / F.lit(bound)).cast("int").alias("_parts")
-    )
-    return spark.createDataFrame(hot.collect(), hot.schema)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > policy.rows)
+    hot = written(counts.select(*keys, F.ceil(F.col("_rows") / F.lit(policy.rows)).cast("int").alias("_parts")), "hot-keys")
+    return None if hot.isEmpty() else hot
 
 
 def skew_join(
@@ -106,7 +106,7 @@ def lookup_join(
 
     A lookup with more rows than broadcast_rows goes through skew_join instead.
     """
-    if lookup.count() <= broadcast_rows:
+    if fits_broadcast(lookup, lookup.count(), broadcast_rows):
         return left.join(F.broadcast(lookup), keys, how)
     return skew_join(left, lookup, keys, how, spread_by=spread_by, measure=measure, policy=policy)
 
@@ -118,8 +118,8 @@ def _with_parts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     for c, n in names.items():
         test = F.col(c).eqNullSafe(F.col(n))
         same = test if same is None else same & test
-    # The list holds fewer than SkewPolicy.most_keys rows, so broadcasting it is safe.
-    return df.join(F.broadcast(listed), same, "left").drop(*names.values())
+    small = fits_broadcast(listed, listed.count())
+    return df.join(F.broadcast(listed) if small else listed, same, "left").drop(*names.values())
 
 
 def with_group_values(
@@ -132,15 +132,11 @@ def with_group_values(
 ) -> DataFrame:
     """Add aggregates of each row's group to the row (count, average, … over a partition).
 
-    With few groups their aggregates are broadcast to the rows. With many groups, none of them
-    large, a window does it in one shuffle. With many groups of which some are large, the aggregates
-    are joined back, split where hot. The groups are counted first.
+    Few groups are broadcast to the rows; many are joined back, split where a group is hot. The groups
+    are counted first. Both ways take any aggregate, count(distinct …) as well.
     """
-    found, largest = df.groupBy(*keys).count().agg(F.count("*"), F.max("count")).first()
-    if found > broadcast_rows and largest <= policy.rows:
-        return df.withColumns({n: v.over(Window.partitionBy(*keys)) for n, v in values.items()})
     groups = df.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()])
-    if found > broadcast_rows:
+    if not fits_broadcast(groups, groups.count(), broadcast_rows):
         return skew_join(df, groups, keys, null_safe=True, policy=policy)
     named = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *values)
     same = None

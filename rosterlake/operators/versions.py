@@ -38,8 +38,8 @@ def judge_changes(
     """Collapse a batch to one change per employee and day, and decide which can be applied.
 
     Rejected are changes to an unknown role or department, changes of an employee without a
-    current version, and late ones: older than the current version's start. A change whose day
-    already starts an older version has been applied before and is passed over.
+    current version, and late ones: older than the current version's start. A late change that an
+    older version, started on that day, states in full has been applied before and is passed over.
     """
     daily = written(last_change_per_day(changes), "daily-changes")
     history = of_employees(history, daily)
@@ -50,25 +50,29 @@ def judge_changes(
         ["employee_id"],
         ["effective_start_date", "employee_sk"],
     ).select("employee_id", F.col("effective_start_date").alias("current_start"))
-    starts = history.select("employee_id", F.col("effective_start_date").alias("change_date")).distinct()
+    # An employee has few versions that start on one day, so these lists are short.
+    content = ("department_id", "job_role_id", "monthly_income")
+    starts = history.groupBy("employee_id", F.col("effective_start_date").alias("change_date")).agg(
+        F.collect_set(F.struct(*[F.col(c).cast("long").alias(c) for c in content])).alias("stored")
+    )
 
     resolved = lookup_join(daily, roles, ["job_role_name", "job_level"], "left")
     resolved = lookup_join(resolved, known, ["department_id"], "left")
     # One change per employee and day at most, so no employee can be hot from here on.
-    resolved = resolved.join(current, "employee_id", "left").join(
-        starts.withColumn("seen", F.lit(True)), ["employee_id", "change_date"], "left"
-    )
+    resolved = resolved.join(current, "employee_id", "left").join(starts, ["employee_id", "change_date"], "left")
+    asked = F.struct(*[F.col(c).cast("long").alias(c) for c in content])
+    seen = F.coalesce(F.array_contains("stored", asked), F.lit(False))
     reason = (
         F.when(F.col("job_role_id").isNull(), "unknown job role")
         .when(F.col("department_name").isNull(), "unknown department")
         .when(F.col("current_start").isNull(), "no current version")
-        .when((F.col("change_date") < F.col("current_start")) & F.col("seen").isNull(), "late change")
+        .when((F.col("change_date") < F.col("current_start")) & ~seen, "late change")
     )
     # Written once: the accepted rows are read several times from here.
     judged = written(resolved.withColumn("reject_reason", reason), "judged")
     return JudgedChanges(
         accepted=judged.filter(F.col("reject_reason").isNull() & (F.col("change_date") >= F.col("current_start"))).drop(
-            "reject_reason", "seen"
+            "reject_reason", "stored"
         ),
         rejected=judged.filter(F.col("reject_reason").isNotNull()).select(*changes.columns, "reject_reason"),
     )

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions import pay, text
-from rosterlake.operators.ordering import top_by_dense_rank
-from rosterlake.operators.skew import lookup_join, skew_join
+from rosterlake.operators.ordering import ranked, top_by_dense_rank
+from rosterlake.operators.skew import lookup_join, skew_join, with_group_values
 
 # The two status labels of a version.
 CURRENT_LABEL = "✅ Current"
@@ -188,17 +188,21 @@ def income_rows(dim_employee: DataFrame) -> DataFrame:
 def income_spread(incomes: DataFrame) -> DataFrame:
     """Minimum, quartiles and maximum per department.
 
-    Equal incomes are counted first, so a department costs as much as it has distinct incomes.
+    Equal incomes are counted, and the counts are summed up in order of income, over several tasks
+    where a department has very many. Each distinct income then knows the places it covers, and a
+    quartile lies between the incomes that cover the two places around it.
     """
-    counted = incomes.groupBy("department_name", "monthly_income").agg(F.count("*").alias("n"))
-    quartile = {p: F.percentile("monthly_income", F.lit(p), F.col("n")) for p in (0.25, 0.5, 0.75)}
-    return counted.groupBy("department_name").agg(
-        F.min("monthly_income").alias("low"),
-        quartile[0.25].alias("q1"),
-        quartile[0.5].alias("median"),
-        quartile[0.75].alias("q3"),
-        F.max("monthly_income").alias("high"),
-    )
+    known = incomes.filter("monthly_income is not null").select("department_name", "monthly_income")
+    placed = ranked(known, ["department_name"], [("monthly_income", "asc")], rank="_first")
+    counted = placed.groupBy("department_name", "monthly_income", "_first").agg(F.count("*").alias("_n"))
+    sized = with_group_values(counted, ["department_name"], {"_total": F.sum("_n")})
+    aggregates = [F.min("monthly_income").alias("low")]
+    for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        place = (F.col("_total") - 1) * share
+        value = lambda at: F.max(F.when((F.col("_first") - 1 <= at) & (at < F.col("_first") - 1 + F.col("_n")), F.col("monthly_income")))
+        part = F.max(place - F.floor(place))
+        aggregates.append((value(F.floor(place)) * (1 - part) + value(F.ceil(place)) * part).alias(name))
+    return sized.groupBy("department_name").agg(*aggregates, F.max("monthly_income").alias("high"))
 
 
 def income_by_level(dim_employee: DataFrame) -> DataFrame:
@@ -219,7 +223,7 @@ def income_pivot(levels: DataFrame) -> DataFrame:
 def top_earners(employees: DataFrame, departments: DataFrame, job_roles: DataFrame, n: int = 20) -> DataFrame:
     """The n highest incomes; equal ones go by employee id.
 
-    The n rows are picked before the lookups, since every employee has a department and a role.
+    The lookups come first, because an employee without a department or role is not listed.
     """
     placed = employees.select("employee_id", "first_name", "last_name", "monthly_income", "department_id", "job_role_id")
     known = lookup_join(placed, departments.select("department_id", "department_name"), ["department_id"])

@@ -12,6 +12,7 @@ from rosterlake import schemas as S
 from rosterlake.functions import pay, text
 from rosterlake.operators import rules
 from rosterlake.operators.numbering import next_key, number_lookup, number_rows
+from rosterlake.operators.ordering import in_order
 from rosterlake.operators.skew import lookup_join
 from rosterlake.session import written
 
@@ -160,11 +161,42 @@ def check_hires(hires: DataFrame, departments: DataFrame, job_roles: DataFrame)
     return rules.check_rows(known, rules.onboarding_rules())
 
 
+def _taken(checked: DataFrame, columns: list[str], employees: DataFrame | None) -> DataFrame:
+    """Marks acceptable requests whose number or e-mail an employee or an earlier request of the batch has.
+
+    Which of several requests with one number comes first is decided by a hash of the whole request.
+    """
+    fine = F.col("first_broken").isNull()
+    rest = checked.filter(~fine)
+    for column, name in (("employee_number", "employee number"), ("email", "e-mail")):
+        good = checked.filter(fine)
+        whole = F.xxhash64(*columns)
+        good = in_order(good.withColumn("_whole", whole), [column], ["_whole"], number="_copy").drop("_whole")
+        again = F.when((F.col("_copy") > 1) & F.col(column).isNotNull(), f"{name} is repeated")
+        if employees is not None:
+            known = employees.select(column).distinct().withColumn("_known", F.lit(True))
+            good = lookup_join(good, known, [column], "left", spread_by=["employee_number"])
+            again = F.when(F.col("_known"), f"{name} is taken").otherwise(again)
+        good = written(good.withColumn("first_broken", again).select(*checked.columns), "checked")
+        rest = rest.unionByName(good.filter(~fine))
+        checked = good
+    return written(checked.filter(fine).unionByName(rest), "checked")
+
+
 def onboard(
-    hires: DataFrame, history: DataFrame, departments: DataFrame, job_roles: DataFrame, as_of: dt.date
+    hires: DataFrame,
+    history: DataFrame,
+    departments: DataFrame,
+    job_roles: DataFrame,
+    as_of: dt.date,
+    employees: DataFrame | None = None,
 ) -> Onboarded:
-    """New rows for employees, job history (a Day-1 version) and the dimension, and the rejects."""
+    """New rows for employees, job history (a Day-1 version) and the dimension, and the rejects.
+
+    Numbers and e-mails may not repeat, inside the batch and among the given employees.
+    """
     checked = written(check_hires(hires, departments, job_roles), "checked")
+    checked = _taken(checked, hires.columns, employees)
     rejected = checked.filter(F.col("first_broken").isNotNull()).select(*hires.columns, "first_broken")
     good = checked.filter(F.col("first_broken").isNull())
     missing = {n: F.lit(v) for n, v in _HIRE_DEFAULTS.items() if n not in hires.columns}
@@ -205,26 +237,62 @@ def onboard(
     )
 
 
-def _appended(good: DataFrame, existing: DataFrame, key: str, schema) -> DataFrame:
+def _appended(good: DataFrame, existing: DataFrame, key: str, schema, *more: str) -> DataFrame:
     keyed = number_rows(good, ["request_seq"], key, start=next_key(existing, key))
-    return S.shaped(keyed, schema)
+    return S.shaped(keyed, schema) if not more else keyed.select(*schema.names, *more)
 
 
-def create_projects(requests: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new project rows, rejected requests)."""
-    good, bad = rules.split_rows(requests, rules.project_rules())
+def _known(requests: DataFrame, column: str, parent: DataFrame, parent_column: str, mark: str) -> DataFrame:
+    """Adds mark: whether the parent has the request's value; a NULL refers to nothing and is none."""
+    keys = parent.select(F.col(parent_column).alias(column)).distinct().withColumn(mark, F.lit(True))
+    return lookup_join(requests, keys, [column], "left", spread_by=["request_seq"])
+
+
+def _judged(requests: DataFrame, given: dict[str, Column], parents: list[tuple[str, DataFrame, str, str]]):
+    """(good requests, rejected ones with first_broken): row rules first, then unknown references."""
+    rows, marks = requests, []
+    found = dict(given)
+    for i, (column, parent, parent_column, reason) in enumerate(parents):
+        rows = _known(rows, column, parent, parent_column, f"_known{i}")
+        marks.append(f"_known{i}")
+        found[reason] = F.col(column).isNotNull() & F.col(f"_known{i}").isNull()
+    good, bad = rules.split_rows(rows, found)
+    return good.drop(*marks).select(*requests.columns), bad.select(*requests.columns, "first_broken")
+
+
+def create_projects(
+    requests: DataFrame, projects: DataFrame, departments: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(new project rows, rejected requests); a department that is named must exist."""
+    parents = [] if departments is None else [("department_id", departments, "department_id", "unknown department")]
+    good, bad = _judged(requests, rules.project_rules(), parents)
     ended = good.withColumn("end_date", pay.closed_end(F.col("status"), F.col("end_date")))
     return _appended(ended, projects, "project_id", S.PROJECTS), bad
 
 
-def create_assignments(requests: DataFrame, assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new assignment rows, rejected requests)."""
-    good, bad = rules.split_rows(requests, rules.assignment_rules())
+def create_assignments(
+    requests: DataFrame, assignments: DataFrame, employees: DataFrame | None = None, projects: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(new assignment rows, rejected requests); employee and project must exist."""
+    parents = []
+    if employees is not None:
+        parents.append(("employee_id", employees, "employee_id", "unknown employee"))
+    if projects is not None:
+        parents.append(("project_id", projects, "project_id", "unknown project"))
+    good, bad = _judged(requests, rules.assignment_rules(), parents)
     return _appended(good, assignments, "assignment_id", S.ASSIGNMENTS), bad
 
 
-def submit_reviews(requests: DataFrame, reviews: DataFrame) -> DataFrame:
-    """New review rows; reviewer 0 means none, and the form's five scores are not stored."""
-    stored = requests.withColumn("reviewer_id", F.nullif(F.col("reviewer_id"), F.lit(0)))
-    scores = [n for n in S.REVIEWS.names if n not in [*stored.columns, "review_id"]]
-    return _appended(stored.withColumns({n: F.lit(None) for n in scores}), reviews, "review_id", S.REVIEWS)
+def submit_reviews(
+    requests: DataFrame, reviews: DataFrame, employees: DataFrame | None = None, *, keep: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(new review rows, rejected requests).
+
+    Reviewer 0 means none, and the form's five scores are not stored. The reviewed employee must
+    exist and the rating lie between 1 and 5. `keep` names request columns to carry along.
+    """
+    parents = [] if employees is None else [("employee_id", employees, "employee_id", "unknown employee")]
+    good, bad = _judged(requests, rules.review_rules(), parents)
+    stored = good.withColumn("reviewer_id", F.nullif(F.col("reviewer_id"), F.lit(0)))
+    scores = {f.name: F.lit(None).cast(f.dataType) for f in S.REVIEWS if f.name not in [*stored.columns, "review_id"]}
+    return _appended(stored.withColumns(scores), reviews, "review_id", S.REVIEWS, *keep), bad

@@ -60,7 +60,7 @@ def resample(base: DataFrame, n: int, first_number: int, key: str = "EmployeeNum
     size = base.count()
     drawn = base.sparkSession.range(n).select(
         (F.col("id") + F.lit(first_number)).alias("_number"),
-        (F.floor(chance.uniform(F.col("id"), salt) * F.lit(size)) + 1).alias("_row"),
+        (chance.position(F.col("id"), salt, size) + 1).alias("_row"),
     )
     return drawn.join(rows, "_row").withColumn(key, F.col("_number")).select(*base.columns)
 

@@ -70,10 +70,13 @@ add(
 )
 define(
     "department_summary",
-    """select de.department_name, count(distinct de.employee_id) as headcount, round(avg(de.monthly_income), 0) as avg_income,
- round(avg(f.performance_rating), 2) as avg_rating
-from dim_employee de left join fact_performance_reviews f on f.employee_sk = de.employee_sk
-where de.is_current = 1 group by de.department_name""",
+    """with marks as (select employee_sk, sum(performance_rating) as points, count(performance_rating) as rated, count(*) as facts
+ from fact_performance_reviews group by employee_sk),
+staff as (from dim_employee left join marks using (employee_sk) select *, greatest(coalesce(facts, 0), 1) as weight where is_current = 1)
+select department_name, count(distinct employee_id) as headcount,
+ round(cast(sum(monthly_income * weight) as double) / sum(case when monthly_income is not null then weight end), 0) as avg_income,
+ round(cast(sum(points) as double) / nullif(sum(rated), 0), 2) as avg_rating
+from staff group by department_name""",
 )
 add(
     "d08_distinct_and_averages",
@@ -82,13 +85,12 @@ add(
 )
 define(
     "project_load",
-    """select p.project_name, coalesce(d.department_name, 'Unknown') as department_name, p.status,
- count(a.assignment_id) as assigned_employees,
- round(coalesce(avg(cast(a.allocation_ratio as double)), 0), 2) as avg_allocation_pct,
- round(coalesce(cast(sum(a.allocation_ratio) as double), 0), 2) as total_allocation_pct
-from projects p left join departments d on d.department_id = p.department_id
-left join assignments a on a.project_id = p.project_id
-group by p.project_id, p.project_name, d.department_name, p.status""",
+    """with used as (select project_id, count(*) as n, avg(cast(allocation_ratio as double)) as mean, cast(sum(allocation_ratio) as double) as total
+ from assignments group by all)
+select project_name, coalesce((select min(department_name) from departments where department_id = projects.department_id), 'Unknown') as department_name,
+ status, coalesce(n, 0) as assigned_employees, round(coalesce(mean, 0), 2) as avg_allocation_pct,
+ round(coalesce(total, 0), 2) as total_allocation_pct
+from projects left join used using (project_id)""",
 )
 add(
     "d09_nullable_count_and_defaults",
@@ -207,10 +209,10 @@ add(
 )
 define(
     "yearly_change",
-    """select year, total_reviews, avg_performance, lag(avg_performance) over (order by year) as prev_year_avg,
- round(avg_performance - lag(avg_performance) over (order by year), 3) as performance_change
-from (select d.year, count(f.review_sk) as total_reviews, round(avg(f.performance_rating), 3) as avg_performance
- from fact_performance_reviews f join dim_date d on d.date_sk = f.date_sk group by d.year) y""",
+    """with y as (select cast(date_sk // 10000 as int) as year, count(*) as total_reviews, round(avg(performance_rating), 3) as avg_performance
+ from fact_performance_reviews group by 1),
+p as (select y.*, (select arg_max(e.avg_performance, e.year) from y e where e.year < y.year) as prev_year_avg from y)
+select *, round(avg_performance - prev_year_avg, 3) as performance_change from p""",
 )
 add(
     "e11_change_to_previous_year",
@@ -264,13 +266,14 @@ add(
 )
 define(
     "ranked_performers",
-    """select de.first_name || ' ' || de.last_name as employee_name, dd.department_name, de.job_role, de.job_level,
- de.monthly_income, round(avg(f.performance_rating), 2) as avg_rating,
- dense_rank() over (partition by dd.department_name order by avg(f.performance_rating) desc, de.monthly_income desc) as dept_rank
-from fact_performance_reviews f join dim_employee de on de.employee_sk = f.employee_sk
-join dim_department dd on dd.department_sk = f.department_sk
-where de.is_current = 1
-group by de.employee_sk, de.first_name, de.last_name, dd.department_name, de.job_role, de.job_level, de.monthly_income""",
+    """with means as (select employee_sk, department_sk, avg(performance_rating) as mean from fact_performance_reviews group by all),
+m as (select first_name || ' ' || last_name as employee_name,
+  (select max(department_name) from dim_department where department_sk = means.department_sk) as department_name, job_role, job_level,
+  monthly_income, mean, round(mean, 2) as avg_rating
+ from means join dim_employee using (employee_sk) where is_current = 1),
+steps as (select department_name, list_sort(list(distinct struct_pack(mean := mean, income := monthly_income)), 'desc') as best from m group by 1)
+select m.* exclude (mean), cast(list_position(best, struct_pack(mean := m.mean, income := m.monthly_income)) as bigint) as dept_rank
+from m join steps using (department_name)""",
 )
 add(
     "f04_top_n_per_group",

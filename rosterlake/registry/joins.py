@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import text
 from rosterlake.operators import checks
-from rosterlake.operators.intervals import match_valid
+from rosterlake.operators.intervals import count_valid, latest_valid, match_valid
 from rosterlake.operators.ordering import in_order, latest
 from rosterlake.operators.skew import lookup_join, skew_join
 from rosterlake.operators.versions import compare_with_previous
@@ -83,20 +83,24 @@ add(
     """select r.review_id, de.employee_sk from reviews r join dim_employee de on de.employee_id = r.employee_id
     and r.review_date >= de.effective_start_date and r.review_date <= de.effective_end_date""",
 )
+
+
+def _valid_assignments(w):
+    """How many assignments each review falls into, and the latest of them."""
+    given = w["assignments"].select("employee_id", "assignment_id", "assigned_date", "end_date")
+    spans = ("employee_id", "review_date", "assigned_date", "end_date")
+    reviews = w["reviews"].select("review_id", "employee_id", "review_date")
+    counted = count_valid(reviews, given, *spans, "valid_assignments", spread_by=["review_id"])
+    return latest_valid(counted, given, *spans, ["assigned_date", "assignment_id"], ["assignment_id"], spread_by=["review_id"])
+
+
 add(
     "c08_open_interval_left_join",
-    lambda w: match_valid(
-        w["reviews"].select("review_id", "employee_id", "review_date"),
-        w["assignments"].select("employee_id", "assignment_id", "assigned_date", "end_date"),
-        "employee_id",
-        "review_date",
-        "assigned_date",
-        "end_date",
-        "left",
-        spread_by=["review_id"],
-    ).select("review_id", "assignment_id"),
-    """select r.review_id, a.assignment_id from reviews r left join assignments a on a.employee_id = r.employee_id
-    and r.review_date >= a.assigned_date and (a.end_date is null or r.review_date <= a.end_date)""",
+    lambda w: _valid_assignments(w).select("review_id", "valid_assignments", "assignment_id"),
+    """select r.review_id, count(a.assignment_id) as valid_assignments,
+    arg_max(a.assignment_id, struct_pack(d := a.assigned_date, i := a.assignment_id)) as assignment_id
+    from reviews r left join assignments a on a.employee_id = r.employee_id and r.review_date >= a.assigned_date
+    and (a.end_date is null or r.review_date <= a.end_date) group by r.review_id""",
 )
 add(
     "c09_latest_assignment",
@@ -175,16 +179,10 @@ add(
 )
 add(
     "c18_outside_current_version",
-    lambda w: skew_join(
-        w["reviews"].select("review_id", "employee_id", "review_date"),
-        w["dim_employee"].filter("is_current = 1").select("employee_id", "effective_start_date", "effective_end_date"),
-        ["employee_id"],
-        condition=~c("review_date").between(c("effective_start_date"), c("effective_end_date")),
-        spread_by=["review_id"],
-    ).select("review_id", "review_date", "effective_start_date"),
-    """select r.review_id, r.review_date, de.effective_start_date from reviews r
-    join dim_employee de on de.employee_id = r.employee_id and de.is_current = 1
-    where r.review_date not between de.effective_start_date and de.effective_end_date""",
+    # Every fact against its version: the facts of each version status, and how many lie outside their version.
+    lambda w: checks.version_check(*w.many("fact_performance_reviews", "dim_employee", "dim_date")),
+    """select is_current, count(*) as facts, cast(count_if(full_date < effective_start_date or full_date > effective_end_date) as bigint) as outside
+    from fact_performance_reviews join dim_date using (date_sk) join dim_employee using (employee_sk) group by is_current""",
 )
 define(
     "key_figures",

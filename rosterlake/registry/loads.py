@@ -53,10 +53,9 @@ add(
 add("j07_dim_project", lambda w: star.load_dim_project(w["projects"]), "select * from dim_project")
 add(
     "j07_dim_project_sentinel",
-    lambda w: star.load_dim_project(w["projects"].filter("status = 'Cancelled'"), sentinel=True),
-    """select cast(1 as bigint) as project_sk, cast(-1 as bigint) as project_id, 'No Project Assigned' as project_name,
-    cast(null as date) as start_date, cast(null as date) as end_date, cast(null as varchar) as status
-    where not exists (select 1 from projects where status = 'Cancelled')""",
+    lambda w: star.load_dim_project(w["projects"], sentinel=True),
+    """select * from dim_project union all
+    select 1, -1, 'No Project Assigned', null, null, null where not exists (select 1 from projects)""",
 )
 add("j08_dim_date", lambda w: star.load_dim_date(w["reviews"]), "select * from dim_date")
 add(
@@ -120,7 +119,7 @@ add(
     "j13_fact_reviews_ranked",
     lambda w: star.load_fact_reviews_ranked(
         w["reviews"],
-        w["dim_employee"].join(w["dim_department"], "department_name"),
+        lookup_join(w["dim_employee"], w["dim_department"], ["department_name"]),
         w["dim_date"],
     ),
     """select review_id, employee_sk, department_sk, cast(null as bigint) as project_sk, date_sk, performance_rating, review_sequence,
@@ -148,7 +147,7 @@ add(
 
 
 def _onboarded(w):
-    return oltp.onboard(*w.many("hires", "employee_job_history", "departments", "job_roles"), AS_OF)
+    return oltp.onboard(*w.many("hires", "employee_job_history", "departments", "job_roles"), AS_OF, w["employees"])
 
 
 define(
@@ -172,6 +171,21 @@ add(
     "select employee_number, first_broken from checked_hires where first_broken is not null",
 )
 
+
+
+def _onboarded_again(w):
+    """The batch sent twice at once: every acceptable request is there twice, and one of the two is refused."""
+    hires = w["hires"]
+    return oltp.onboard(hires.unionByName(hires), *w.many("employee_job_history", "departments", "job_roles"), AS_OF, w["employees"])
+
+
+add(
+    "j15_onboarding_repeated",
+    lambda w: _onboarded_again(w).rejected.groupBy("first_broken").agg(F.count("*").alias("n_rows")),
+    """select coalesce(first_broken, 'employee number is repeated') as first_broken,
+    cast(sum(case when first_broken is null then 1 else 2 end) as bigint) as n_rows from checked_hires group by 1""",
+)
+
 define(
     "judged_changes",
     """select d.*, r.job_role_id, dep.department_name, cur.current_start
@@ -260,7 +274,10 @@ add(
     """select employee_id, change_date, change_seq, case when job_role_id is null then 'unknown job role'
     when department_name is null then 'unknown department' when current_start is null then 'no current version'
     else 'late change' end as reject_reason from judged_changes
-    where job_role_id is null or department_name is null or current_start is null or change_date < current_start""",
+    where job_role_id is null or department_name is null or current_start is null
+     or (change_date < current_start and not exists (select 1 from employee_job_history h where h.employee_id = judged_changes.employee_id
+      and h.effective_start_date = change_date and h.department_id = judged_changes.department_id
+      and h.job_role_id = judged_changes.job_role_id and h.monthly_income = judged_changes.monthly_income))""",
 )
 add(
     "j17_mark_attrition",
@@ -268,26 +285,82 @@ add(
     """select employee_id, case when employee_id in (select employee_id from changes where change_reason = 'Internal Move')
     then 'Yes' else attrition end as attrition from employees""",
 )
+define(
+    "judged_projects",
+    """select * replace (coalesce(first_broken, case when department_id not in (select department_id from departments)
+  then 'unknown department' end) as first_broken) from checked_projects""",
+)
+define(
+    "judged_assignments",
+    """select * replace (coalesce(first_broken, case when employee_id not in (select employee_id from employees) then 'unknown employee'
+  when project_id not in (select project_id from projects) then 'unknown project' end) as first_broken) from checked_assignments""",
+)
+define(
+    "judged_reviews",
+    """select *, case when performance_rating not between 1 and 5 then 'rating outside 1 to 5'
+ when employee_id not in (select employee_id from employees) then 'unknown employee' end as first_broken from review_requests""",
+)
+
+
+def _created_projects(w):
+    return oltp.create_projects(*w.many("project_requests", "projects", "departments"))
+
+
+def _created_assignments(w):
+    return oltp.create_assignments(*w.many("assignment_requests", "assignments", "employees", "projects"))
+
+
+def _submitted_reviews(w):
+    return oltp.submit_reviews(*w.many("review_requests", "reviews", "employees"))
+
+
+def _odd_reviews(w):
+    """The same requests with ratings up to 7, some of them for people who are not employed."""
+    odd = w["review_requests"].withColumns(
+        {
+            "performance_rating": (1 + F.pmod("request_seq", F.lit(7))).cast("int"),
+            "employee_id": F.when(F.pmod("request_seq", F.lit(10)) == 0, -1).otherwise(c("employee_id")),
+        }
+    )
+    return oltp.submit_reviews(odd, *w.many("reviews", "employees"))
+
+
 add(
     "j18_create_projects",
-    lambda w: oltp.create_projects(*w.many("project_requests", "projects"))[0],
+    lambda w: _created_projects(w)[0],
     """select (select max(project_id) from projects) + row_number() over (order by request_seq) as project_id, project_name,
     department_id, start_date, case when status in ('Completed', 'On Hold') then end_date end as end_date, status
-    from checked_projects where first_broken is null""",
+    from judged_projects where first_broken is null""",
+)
+add(
+    "j18_rejected",
+    lambda w: _created_projects(w)[1].select("request_seq", "first_broken"),
+    "select request_seq, first_broken from judged_projects where first_broken is not null",
 )
 add(
     "j19_create_assignments",
-    lambda w: oltp.create_assignments(*w.many("assignment_requests", "assignments"))[0],
+    lambda w: _created_assignments(w)[0],
     """select (select max(assignment_id) from assignments) + row_number() over (order by request_seq) as assignment_id, employee_id,
-    project_id, role_on_project, allocation_ratio, assigned_date, end_date from checked_assignments where first_broken is null""",
+    project_id, role_on_project, allocation_ratio, assigned_date, end_date from judged_assignments where first_broken is null""",
+)
+add(
+    "j19_rejected",
+    lambda w: _created_assignments(w)[1].select("request_seq", "first_broken"),
+    "select request_seq, first_broken from judged_assignments where first_broken is not null",
 )
 add(
     "j20_submit_reviews",
-    lambda w: oltp.submit_reviews(*w.many("review_requests", "reviews")).select(
-        "review_id", "employee_id", "reviewer_id", "review_date", "performance_rating"
-    ),
+    lambda w: _submitted_reviews(w)[0].select("review_id", "employee_id", "reviewer_id", "review_date", "performance_rating"),
     """select (select max(review_id) from reviews) + row_number() over (order by request_seq) as review_id, employee_id,
-    nullif(reviewer_id, 0) as reviewer_id, review_date, performance_rating from review_requests""",
+    nullif(reviewer_id, 0) as reviewer_id, review_date, performance_rating from judged_reviews where first_broken is null""",
+)
+add(
+    "j20_rejected",
+    lambda w: _odd_reviews(w)[1].select("request_seq", "first_broken"),
+    """select request_seq, first_broken from (
+     select request_seq, case when 1 + request_seq % 7 > 5 then 'rating outside 1 to 5'
+      when request_seq % 10 = 0 or employee_id not in (select employee_id from employees) then 'unknown employee' end as first_broken
+     from review_requests) x where first_broken is not null""",
 )
 add(
     "j21_version_history",

@@ -47,18 +47,35 @@ add(
     union all select employee_id, employee_sk, 'history without reason' from dirty_versions
      where is_current = 0 and (change_reason is null or trim(change_reason) = '')""",
 )
+
+
+def _repeated_keys(w):
+    """Every declared key of every table, and those of the damaged versions, with the values that repeat."""
+    given = [(t, w[t], k) for t, keys in S.UNIQUE_KEYS.items() for k in keys]
+    given += [("dirty_versions", w["dirty_versions"], ["employee_sk"]), ("current_versions", w["dirty_versions"].filter("is_current = 1"), ["Email"])]
+    out = None
+    for name, df, keys in given:
+        found = checks.repeated(df, keys).agg(F.count("*").alias("repeated_values"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n_rows"))
+        line = found.select(F.lit(name).alias("table_name"), F.lit(", ".join(keys)).alias("key"), "repeated_values", "n_rows")
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
+def _repeated_sql(name: str, source: str, keys: list[str]) -> str:
+    listed = ", ".join(keys)
+    present = " and ".join(f"{k} is not null" for k in keys)
+    return f"""select '{name}' as table_name, '{listed}' as key, count(*) as repeated_values, cast(coalesce(sum(n), 0) as bigint) as n_rows
+    from (select count(*) as n from {source} where {present} group by {listed} having count(*) > 1) x"""
+
+
 add(
     "l05_repeated_keys",
-    lambda w: checks.repeated(w["dirty_versions"], ["employee_sk"]).select(
-        F.lit("employee_sk").alias("key"), c("employee_sk").cast("string").alias("key_value"), "occurrences"
-    ).unionByName(
-        checks.repeated(w["dirty_versions"].filter("is_current = 0"), ["Email"]).select(
-            F.lit("email").alias("key"), c("Email").alias("key_value"), "occurrences"
-        )
+    _repeated_keys,
+    " union all ".join(
+        [_repeated_sql(t, t, k) for t, keys in S.UNIQUE_KEYS.items() for k in keys]
+        + [_repeated_sql("dirty_versions", "dirty_versions", ["employee_sk"])]
+        + [_repeated_sql("current_versions", "(select * from dirty_versions where is_current = 1) d", ["Email"])]
     ),
-    """select 'employee_sk' as key, cast(employee_sk as varchar) as key_value, count(*) as occurrences from dirty_versions
-    group by employee_sk having count(*) > 1
-    union all select 'email', Email, count(*) from dirty_versions where is_current = 0 group by Email having count(*) > 1""",
 )
 add(
     "l06_overlaps",
@@ -131,26 +148,28 @@ add(
     """select 'project' as kind, request_seq, first_broken from checked_projects
     union all select 'assignment', request_seq, first_broken from checked_assignments""",
 )
-_HIRE_LIKE = S.T.StructType(
-    [
-        S.T.StructField("employee_number", S.T.LongType(), False),
-        S.T.StructField("first_name", S.T.StringType(), True, {"length": 3}),
-        S.T.StructField("last_name", S.T.StringType(), False, {"length": 50}),
-        S.T.StructField("email", S.T.StringType(), True, {"length": 18}),
-    ]
-)
-add(
-    "l10_declared_schema",
-    lambda w: checks.schema_violations(w["hires"], _HIRE_LIKE).unionByName(
-        checks.type_violations(w["raw_people"], S.SOURCE).withColumn("violation", F.lit("type"))
-    ),
-    """select * from (
-     select 'first_name' as column_name, 'too long' as violation, count(*) as n_rows from hires where length(first_name) > 3
-     union all select 'last_name', 'null', count(*) from hires where last_name is null
-     union all select 'email', 'too long', count(*) from hires where length(email) > 18
-     union all select 'Age', 'type', count(*) from raw_people where Age is not null and try_cast(Age as int) is null) x
-    where n_rows > 0""",
-)
+
+
+def _declared(w):
+    """Every table against its declaration, and the raw source against its declared types."""
+    out = checks.type_violations(w["raw_people"], S.SOURCE).select(F.lit("raw_people").alias("table_name"), "column_name", F.lit("type").alias("violation"), "n_rows")
+    for name, schema in S.TABLES.items():
+        out = out.unionByName(checks.schema_violations(w[name], schema).withColumn("table_name", F.lit(name)))
+    return out
+
+
+def _declared_sql() -> str:
+    parts = ["select 'raw_people' as table_name, 'Age' as column_name, 'type' as violation, count(*) as n_rows from raw_people where Age is not null and try_cast(Age as int) is null"]
+    for name, schema in S.TABLES.items():
+        for f in schema.fields:
+            if not f.nullable:
+                parts.append(f"select '{name}', '{f.name}', 'null', count(*) from {name} where {f.name} is null")
+            if "length" in f.metadata:
+                parts.append(f"select '{name}', '{f.name}', 'too long', count(*) from {name} where length({f.name}) > {f.metadata['length']}")
+    return "select * from (" + " union all ".join(parts) + ") x where n_rows > 0"
+
+
+add("l10_declared_schema", _declared, _declared_sql())
 add(
     "l11_foreign_keys",
     lambda w: checks.all_orphans({t: w[t] for t in S.TABLES}),
@@ -175,10 +194,16 @@ add(
 )
 add(
     "l13_dropped_reviews",
-    lambda w: checks.dropped_reviews(*w.many("reviews", "dim_employee", "dim_department", "dim_date")),
-    """select r.review_id, r.employee_id, r.review_date, 'no version' as cause from reviews r where not exists (
-     select 1 from dim_employee de where de.employee_id = r.employee_id
-     and r.review_date between de.effective_start_date and de.effective_end_date)""",
+    # All reviews against dimensions that were loaded before the last year and the first department came.
+    lambda w: checks.dropped_reviews(
+        *w.many("reviews", "dim_employee"), w["dim_department"].filter("department_sk > 1"), w["dim_date"].filter("full_date < date '1998-01-01'")
+    ),
+    """select review_id, employee_id, review_date, cause from (
+     select r.review_id, r.employee_id, r.review_date, case when de.employee_sk is null then 'no version'
+      when de.department_name = (select department_name from dim_department where department_sk = 1) then 'no department'
+      when r.review_date >= date '1998-01-01' then 'no date' end as cause
+     from reviews r left join dim_employee de on de.employee_id = r.employee_id
+      and r.review_date between de.effective_start_date and de.effective_end_date) x where cause is not null""",
 )
 
 

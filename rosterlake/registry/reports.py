@@ -16,30 +16,32 @@ add(
 add(
     "k03_yearly_trend",
     lambda w: analytics.yearly_trend(*w.many(FACT, DATE, DEPT)),
-    """select d.year, dept.department_name, round(avg(f.performance_rating), 3) as avg_rating, count(*) as reviews
-    from fact_performance_reviews f join dim_date d on d.date_sk = f.date_sk
-    join dim_department dept on dept.department_sk = f.department_sk group by d.year, dept.department_name""",
+    """with t as (select date_sk // 10000 as y, department_sk, count(*) as n, sum(performance_rating) as points, count(performance_rating) as rated
+     from fact_performance_reviews group by all)
+    select cast(y as int) as year, department_name, round(cast(points as double) / rated, 3) as avg_rating, n as reviews
+    from t natural join (select department_sk, department_name from dim_department)""",
 )
 add("k04_yearly_change", lambda w: analytics.yearly_change(*w.many(FACT, DATE)), "select * from yearly_change")
 add(
     "k05_quarterly_trend",
     lambda w: analytics.quarterly_trend(*w.many(FACT, DATE)),
-    """select d.quarter, round(avg(f.performance_rating), 3) as avg_rating, count(*) as reviews
-    from fact_performance_reviews f join dim_date d on d.date_sk = f.date_sk group by d.quarter""",
+    """select cast(1 + (date_sk // 100 % 100 - 1) // 3 as int) as quarter, round(avg(performance_rating), 3) as avg_rating, count(*) as reviews
+    from fact_performance_reviews group by 1""",
 )
 add(
     "k06_attrition_counts",
     lambda w: analytics.attrition_counts(*w.many("employees", "departments")),
-    """select d.department_name, e.attrition, count(*) as employee_count from employees e
-    join departments d on d.department_id = e.department_id group by d.department_name, e.attrition""",
+    """with n as (select department_id, attrition, count(*) as employee_count from employees group by all)
+    select department_name, attrition, cast(sum(employee_count) as bigint) as employee_count
+    from departments join n using (department_id) group by all""",
 )
 add("k07_department_summary", lambda w: analytics.department_summary(*w.many(EMP, FACT)), "select * from department_summary")
 add(
     "k08_attrition_rate",
     lambda w: analytics.attrition_rate(*w.many("employees", "departments")),
-    """select d.department_name, count(*) as total, cast(sum(case when e.attrition = 'Yes' then 1 else 0 end) as bigint) as attrited,
-    round(100.0::double * sum(case when e.attrition = 'Yes' then 1 else 0 end) / count(*), 2) as attrition_rate_pct
-    from employees e join departments d on d.department_id = e.department_id group by d.department_name""",
+    """with n as (select department_id, count(*) as total, count_if(attrition = 'Yes') as attrited from employees group by department_id)
+    select department_name, total, cast(attrited as bigint) as attrited, round(attrited * 100.0::double / total, 2) as attrition_rate_pct
+    from n join departments using (department_id)""",
 )
 add(
     "k09_income_rows",
@@ -50,15 +52,18 @@ add("k10_income_by_level", lambda w: analytics.income_by_level(w[EMP]), "select
 add(
     "k11_top_earners",
     lambda w: analytics.top_earners(*w.many("employees", "departments", "job_roles"), 20),
-    """select e.first_name || ' ' || e.last_name as employee_name, d.department_name, j.job_role_name, j.job_level, e.monthly_income
-    from employees e join departments d on d.department_id = e.department_id join job_roles j on j.job_role_id = e.job_role_id
-    order by e.monthly_income desc, e.employee_id limit 20""",
+    """with best as (from employees select * order by monthly_income desc, employee_id limit 20)
+    select first_name || ' ' || last_name as employee_name,
+     (select max(department_name) from departments where department_id = best.department_id) as department_name,
+     (select max(job_role_name) from job_roles where job_role_id = best.job_role_id) as job_role_name,
+     (select max(job_level) from job_roles where job_role_id = best.job_role_id) as job_level, monthly_income from best""",
 )
 add(
     "k12_headcount_growth",
     lambda w: analytics.headcount_growth(w[EMP]),
-    """select cast(year(min_start) as int) as hire_year, count(distinct employee_id) as new_employees from (
-     select employee_id, min(effective_start_date) as min_start from dim_employee group by employee_id) x group by 1""",
+    """select cast(year(effective_start_date) as int) as hire_year, count(*) as new_employees from dim_employee d
+    where not exists (select 1 from dim_employee e where e.employee_id = d.employee_id
+     and (e.effective_start_date, e.employee_sk) < (d.effective_start_date, d.employee_sk)) group by 1""",
 )
 add(
     "k13_project_load",

@@ -243,7 +243,7 @@ add(
 )
 add(
     "h07_role_label",
-    lambda w: w["employee_job_history"].join(w["job_roles"].drop("job_level"), "job_role_id").select(
+    lambda w: lookup_join(w["employee_job_history"], w["job_roles"].drop("job_level"), ["job_role_id"]).select(
         "employee_sk", text.role_label(c("job_role_name"), c("job_level")).alias("label")
     ),
     """select employee_sk, job_role_name || ' (Lvl ' || h.job_level || ')' as label

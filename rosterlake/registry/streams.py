@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rosterlake import schemas as S
 from rosterlake.plans.warehouse import Warehouse
-from rosterlake.registry.core import add
+from rosterlake.registry.core import REGISTRY, add
 from rosterlake.registry.loads import AS_OF
 from rosterlake.session import new_path
 from rosterlake.streaming import sync
@@ -28,36 +29,45 @@ def _run(w: Warehouse, name: str, process) -> None:
 def _projects(w: Warehouse) -> DataFrame:
     out = _table(w, "dim_project", S.DIM_PROJECT)
     _run(w, "projects", sync.new_projects(out))
-    return out.rows().drop("project_sk")
+    return out.rows()
 
 
-add("m1_new_projects", _projects, "select project_id, project_name, start_date, end_date, status from projects")
+add("m1_new_projects", _projects, "select * from dim_project")
 
 
 def _assignments(w: Warehouse) -> DataFrame:
     out = _table(w, "dim_assignment", S.DIM_ASSIGNMENT)
-    _run(w, "assignments", sync.new_assignments(out, w["dim_employee"], w["dim_project"]))
-    return out.rows().drop("assignment_sk")
+    _run(w, "assignments", sync.new_assignments(out, lambda: w["dim_employee"], lambda: w["dim_project"]))
+    return out.rows()
 
 
 add(
     "m2_new_assignments",
     _assignments,
-    """select a.assignment_id, de.employee_sk, dp.project_sk, a.role_on_project, a.allocation_ratio, a.assigned_date, a.end_date
+    """select row_number() over (order by a.assignment_id) as assignment_sk, a.assignment_id, de.employee_sk, dp.project_sk, a.role_on_project, a.allocation_ratio, a.assigned_date, a.end_date
     from assignments a join dim_employee de on de.employee_id = a.employee_id and de.is_current = 1
     join dim_project dp on dp.project_id = a.project_id""",
 )
 
 
-def _changes(w: Warehouse) -> DataFrame:
+def _changes(w: Warehouse, wanted: str = "history") -> DataFrame:
     history = _table(w, "history", S.JOB_HISTORY)
     rejected = _table(w, "rejected", S.T.StructType([*w["changes"].schema.fields, S.T.StructField("reject_reason", S.T.StringType())]))
     history.write(w["employee_job_history"], START)
-    _run(w, "changes", sync.attribute_changes(history, rejected, w["departments"], w["job_roles"]))
-    return history.newest("employee_sk")
+    dim, employees = _table(w, "dim_employee", S.DIM_EMPLOYEE), _table(w, "employees", S.EMPLOYEES)
+    dim.write(w["dim_employee"], START)
+    employees.write(w["employees"], START)
+    _run(w, "changes", sync.attribute_changes(history, rejected, w["departments"], w["job_roles"], dim, employees))
+    return {"history": history, "dimension": dim}[wanted].newest("employee_sk") if wanted != "employees" else employees.newest("employee_id")
 
 
 add("m3_attribute_changes", _changes, "select * from changed_history")
+add("m3_changed_dimension", lambda w: _changes(w, "dimension"), REGISTRY["j16_changes_dimension"].sql)
+add(
+    "m3_changed_employees",
+    lambda w: _changes(w, "employees").select("employee_id", "department_id", "job_role_id", "monthly_income"),
+    REGISTRY["j16_changes_employees"].sql,
+)
 
 
 def _hires(w: Warehouse) -> DataFrame:
@@ -74,15 +84,17 @@ add("m4_new_hires", _hires, "select * from onboarded")
 
 
 def _reviews(w: Warehouse) -> DataFrame:
-    out = _table(w, "reviews", S.REVIEWS)
-    out.write(w["reviews"], START)
+    stored = S.T.StructType([*S.REVIEWS.fields, S.T.StructField("request_seq", S.T.LongType())])
+    out = _table(w, "reviews", stored)
+    out.write(w["reviews"].withColumn("request_seq", F.lit(None).cast("long")), START)
     _run(w, "review_requests", sync.new_reviews(out))
-    return out.rows().select("employee_id", "reviewer_id", "review_date", "performance_rating")
+    return out.rows().select("review_id", "employee_id", "reviewer_id", "review_date", "performance_rating")
 
 
 add(
     "m4_new_reviews",
     _reviews,
-    """select employee_id, reviewer_id, review_date, performance_rating from reviews
-    union all select employee_id, nullif(reviewer_id, 0), review_date, performance_rating from review_requests""",
+    """select review_id, employee_id, reviewer_id, review_date, performance_rating from reviews
+    union all select (select max(review_id) from reviews) + row_number() over (order by request_seq), employee_id,
+     nullif(reviewer_id, 0), review_date, performance_rating from review_requests""",
 )

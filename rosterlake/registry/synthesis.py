@@ -38,7 +38,8 @@ _KEPT = "Age, Department, JobRole, MonthlyIncome"
 def _drawn(n: str, first: str) -> str:
     return f"""select {first} + x.i as EmployeeNumber, {', '.join('b.' + k for k in _KEPT.split(', '))}
     from (select unnest(range(0, cast({n} as bigint))) as i) x
-    join people_rows b on b.row_no = 1 + cast(floor({hash_uniform('x.i', 'scale')} * (select count(*) from people)) as bigint)"""
+    join people_rows b on b.row_no = 1 + cast('0x' || substring(md5(cast(x.i as varchar) || ':scale'), 1, 15) as bigint)
+     % (select count(*) from people)"""
 
 
 add(

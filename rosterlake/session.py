@@ -54,3 +54,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete every intermediate table that this application has written.
+
+    Results still read them, so this is for the end of a job, after its last action.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/rosterlake/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

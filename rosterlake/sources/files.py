@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.session import new_path
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -25,16 +24,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(header=True, **keep).csv(path)
 
 
-def read_query(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """The result of a query that a database runs (JDBC).
+def read_query(spark: SparkSession, url: str, query: str, *, column: str, low: str, high: str, parts: int, **options: str) -> DataFrame:
+    """The result of a query that a database runs (JDBC), read by `parts` connections.
 
-    Pass partitionColumn, lowerBound, upperBound and numPartitions with dbtable instead of a query
-    to read a large table in parallel.
+    The query is cut into ranges of a column between two bounds, which are asked for, because without
+    them the whole result would come through one connection into one task. Rows beyond the bounds are
+    in the first and the last part.
     """
-    reader = spark.read.format("jdbc").option("url", url)
-    if "dbtable" not in options:
-        reader = reader.option("query", query)
-    return reader.options(**options).load()
+    ranges = {"partitionColumn": column, "lowerBound": low, "upperBound": high, "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", **ranges, **options).load()
 
 
 def run_query(spark: SparkSession, sql: str, params: dict | None = None, **tables: DataFrame) -> DataFrame:
@@ -46,17 +44,30 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def refresh(df: DataFrame, label: str) -> str:
-    """Write a full new copy of a table to a path of its own, and return that path.
+def refresh(df: DataFrame, folder: str) -> str:
+    """Write a full new copy of a table below its folder, and return the copy's path.
 
-    The old copy stays whole until the caller switches to the new path, so a failed job loses
-    nothing and df may read the table it replaces.
+    Copies are numbered. Readers of current() see the old one until the new one is complete, so a
+    failed job loses nothing and df may read the table it replaces.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    copies = _copies(df.sparkSession, folder)
+    path = f"{folder}/copy={(copies[-1] if copies else 0) + 1}"
+    df.write.mode("overwrite").parquet(path)
     return path
 
 
+def current(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The newest complete copy of a table that refresh() writes."""
+    return spark.read.schema(schema).parquet(f"{folder}/copy={_copies(spark, folder)[-1]}")
+
+
+def _copies(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete copies: Spark marks a finished job in the folder it has written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/copy=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found or [])
+
+
 def preview(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 

@@ -12,60 +12,100 @@ from rosterlake import schemas as S
 from rosterlake.operators.numbering import next_key, number_rows
 from rosterlake.operators.ordering import latest
 from rosterlake.operators.skew import skew_join
-from rosterlake.operators.versions import apply_to_history, judge_changes, of_employees
+from rosterlake.operators.versions import (
+    apply_to_dimension,
+    apply_to_employees,
+    apply_to_history,
+    judge_changes,
+    of_employees,
+)
 from rosterlake.plans import oltp
+from rosterlake.session import written
 from rosterlake.streaming.tables import BatchTable
 
 Batch = Callable[[DataFrame, int], None]
 
 
+def _now(table: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    """A dimension as it is when a batch runs: a function is asked anew each time."""
+    return table() if callable(table) else table
+
+
 def new_projects(dim_project: BatchTable) -> Batch:
-    """Every new project goes into the project dimension under the next keys."""
+    """Every project not yet in the dimension goes into it under the next keys."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        first = next_key(dim_project.rows(batch_id), "project_sk")
-        keyed = number_rows(batch.select(*S.PROJECTS.names), ["project_id"], "project_sk", first)
+        stored = dim_project.rows(batch_id)
+        new = batch.select(*S.PROJECTS.names).dropDuplicates(["project_id"])
+        new = new.join(stored.select("project_id"), "project_id", "left_anti")
+        keyed = number_rows(new, ["project_id"], "project_sk", next_key(stored, "project_sk"))
         dim_project.write(S.shaped(keyed, S.DIM_PROJECT), batch_id)
 
     return process
 
 
-def new_assignments(dim_assignment: BatchTable, dim_employee: DataFrame, dim_project: DataFrame) -> Batch:
+def new_assignments(
+    dim_assignment: BatchTable,
+    dim_employee: DataFrame | Callable[[], DataFrame],
+    dim_project: DataFrame | Callable[[], DataFrame],
+    rejected: BatchTable | None = None,
+) -> Batch:
     """A new assignment gets the employee's present version and the project's latest key.
 
-    Unlike the batch load, which takes the version of the assigned date. An assignment whose
-    employee or project is unknown is passed over.
+    Unlike the batch load, which takes the version of the assigned date. Dimensions given as
+    functions are read for every batch. An assignment whose employee or project is unknown goes to
+    the rejects with the reason; one that is stored already is passed over.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        stored = dim_assignment.rows(batch_id)
         present = latest(
-            dim_employee.filter("is_current = 1").select("employee_id", "employee_sk"), ["employee_id"], ["employee_sk"]
+            _now(dim_employee).filter("is_current = 1").select("employee_id", "employee_sk"), ["employee_id"], ["employee_sk"]
         )
-        projects = latest(dim_project.select("project_id", "project_sk"), ["project_id"], ["project_sk"])
-        rows = skew_join(batch, present, ["employee_id"], spread_by=["assignment_id"])
-        rows = skew_join(rows, projects, ["project_id"], spread_by=["assignment_id"], measure=batch)
-        first = next_key(dim_assignment.rows(batch_id), "assignment_sk")
-        keyed = number_rows(rows, ["assignment_id"], "assignment_sk", first)
+        projects = latest(_now(dim_project).select("project_id", "project_sk"), ["project_id"], ["project_sk"])
+        new = batch.dropDuplicates(["assignment_id"]).join(stored.select("assignment_id"), "assignment_id", "left_anti")
+        rows = skew_join(new, present, ["employee_id"], "left", spread_by=["assignment_id"])
+        rows = skew_join(rows, projects, ["project_id"], "left", spread_by=["assignment_id"], measure=batch)
+        reason = F.when(F.col("employee_sk").isNull(), "unknown employee").when(F.col("project_sk").isNull(), "unknown project")
+        rows = written(rows.withColumn("reject_reason", reason), "judged")
+        good = rows.filter("reject_reason is null")
+        keyed = number_rows(good, ["assignment_id"], "assignment_sk", next_key(stored, "assignment_sk"))
         dim_assignment.write(S.shaped(keyed, S.DIM_ASSIGNMENT), batch_id)
+        if rejected is not None:
+            rejected.write(rows.filter("reject_reason is not null").select(*batch.columns, "reject_reason"), batch_id)
 
     return process
 
 
 def attribute_changes(
-    history: BatchTable, rejected: BatchTable, departments: DataFrame, job_roles: DataFrame
+    history: BatchTable,
+    rejected: BatchTable,
+    departments: DataFrame,
+    job_roles: DataFrame,
+    dim_employee: BatchTable | None = None,
+    employees: BatchTable | None = None,
 ) -> Batch:
-    """Change requests become versions: expired and new rows are added to the history's folders.
+    """Change requests become versions in the history and in the employee dimension, and move employees.
 
-    Only the employees in the batch are looked at, and only rows that differ are written. The
-    table is read with history.newest("employee_sk").
+    Only the employees in the batch are looked at, and only their rows are added to a table's
+    folders. The tables are read with history.newest("employee_sk"), dim_employee.newest("employee_sk")
+    and employees.newest("employee_id").
     """
 
+    def affected_rows(table: BatchTable, batch: DataFrame, batch_id: int, key: str) -> DataFrame:
+        return latest(of_employees(table.read(batch_id), batch), [key], ["batch_id"]).drop("batch_id")
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        stored = history.read(batch_id)
-        affected = latest(of_employees(stored, batch), ["employee_sk"], ["batch_id"]).drop("batch_id")
+        affected = affected_rows(history, batch, batch_id, "employee_sk")
         judged = judge_changes(batch, affected, departments, job_roles)
-        applied = apply_to_history(affected, judged.accepted, keys_from=stored)
+        applied = apply_to_history(affected, judged.accepted, keys_from=history.read(batch_id))
         history.write(applied.touched, batch_id)
+        if dim_employee is not None:
+            rows = affected_rows(dim_employee, batch, batch_id, "employee_sk")
+            dim_employee.write(apply_to_dimension(rows, judged.accepted, applied.added), batch_id)
+        if employees is not None:
+            rows = affected_rows(employees, batch, batch_id, "employee_id")
+            employees.write(apply_to_employees(rows, judged.accepted), batch_id)
         rejected.write(judged.rejected, batch_id)
 
     return process
@@ -83,8 +123,9 @@ def new_hires(
     """Hire requests: acceptable ones go into the three tables, the others to the rejects."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        done = oltp.onboard(batch, history.rows(batch_id), departments, job_roles, as_of)
-        known = employees.rows(batch_id).select("employee_id")
+        stored = employees.rows(batch_id)
+        done = oltp.onboard(batch, history.rows(batch_id), departments, job_roles, as_of, stored)
+        known = stored.select("employee_id")
         for table, rows in ((employees, done.employees), (history, done.history), (dim_employee, done.dim_employee)):
             table.write(rows.join(known, "employee_id", "left_anti"), batch_id)
         rejected.write(done.rejected, batch_id)
@@ -93,8 +134,14 @@ def new_hires(
 
 
 def new_reviews(reviews: BatchTable) -> Batch:
+    """Review requests get the next keys. Where the table stores request_seq, a request counts once."""
+    keep = ("request_seq",) if "request_seq" in reviews.schema.names else ()
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        reviews.write(oltp.submit_reviews(batch, reviews.rows(batch_id)), batch_id)
+        stored = reviews.rows(batch_id)
+        if keep:
+            batch = batch.dropDuplicates(["request_seq"]).join(stored.select("request_seq"), "request_seq", "left_anti")
+        reviews.write(oltp.submit_reviews(batch, stored, keep=keep)[0], batch_id)
 
     return process
 

@@ -11,9 +11,11 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from rosterlake.session import local_session
+    from rosterlake.session import clear_written, local_session
 
-    return local_session("8", 4)
+    session = local_session("8", 4)
+    yield session
+    clear_written(session)
 
 
 @pytest.fixture(scope="session")

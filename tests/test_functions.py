@@ -98,3 +98,25 @@ def test_weighted_choice(spark):
 def test_whole_between_reaches_both_ends(spark):
     got = {r[0] for r in spark.range(500).select(chance.whole_between(F.col("id"), "x", 5, 8)).distinct().collect()}
     assert got == {5, 6, 7, 8}
+
+
+def test_odd_numbers_take_the_default(spark):
+    df = spark.createDataFrame([("NaN",), ("7.9",), ("x",), (None,), ("1e300",), ("-Infinity",)], "t string")
+    assert [r[0] for r in df.select(pay.whole_or(F.col("t"), 5)).collect()] == [5, 7, 5, 5, 5, 5]
+
+
+def test_repeated_addresses_of_any_domain(spark):
+    df = spark.createDataFrame([("a@b.org", 1), ("x", 2), ('"p@q"@r.net', 3), ("a@b.org", 0), (None, 1)], "e string, n int")
+    found = [r[0] for r in df.select(text.email_variant(F.col("e"), F.col("n"))).collect()]
+    assert found == ["a.1@b.org", "x.2", '"p@q".3@r.net', "a@b.org", None]
+
+
+def test_tabs_are_blank(spark):
+    df = spark.createDataFrame([("\t",), (" a",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.not_blank(F.col("t"))).collect()] == [False, True, False, False]
+
+
+def test_positions_reach_beyond_32_bits(spark):
+    size = 1 << 40
+    found = spark.range(2000).select(chance.position(F.col("id"), "s", size).alias("p")).agg(F.min("p"), F.max("p"), F.countDistinct("p")).first()
+    assert 0 <= found[0] < size // 100 and size - size // 100 < found[1] < size and found[2] == 2000

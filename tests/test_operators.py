@@ -11,7 +11,7 @@ from rosterlake.operators import checks, intervals, numbering, ordering, skew
 from rosterlake.operators.skew import SkewPolicy
 
 D = dt.date
-EAGER = SkewPolicy(rows=5, most_keys=10_000)
+EAGER = SkewPolicy(rows=5)
 
 
 def rows(df, *columns):
@@ -62,15 +62,15 @@ def test_first_n_is_exact(spark):
 def test_hot_keys_lists_only_hot_ones(spark):
     df = skewed(spark)
     assert skew.hot_keys(df, ["k"]) is None
-    hot = skew.hot_keys(df, ["k"], SkewPolicy(rows=60, most_keys=10_000)).collect()
+    hot = skew.hot_keys(df, ["k"], SkewPolicy(rows=60)).collect()
     assert [r["k"] for r in hot] == [7]
     assert hot[0]["_parts"] >= 2
 
 
-def test_hot_key_list_is_bounded(spark):
+def test_hot_key_bound_does_not_grow_with_the_table(spark):
     df = spark.range(1000).select((F.col("id") % 100).alias("k"))
-    hot = skew.hot_keys(df, ["k"], SkewPolicy(rows=1, most_keys=20))
-    assert hot is None  # no key exceeds a twentieth of the table
+    hot = skew.hot_keys(df, ["k"], SkewPolicy(rows=9))
+    assert hot.count() == 100 and hot.first()["_parts"] == 2
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -89,7 +89,7 @@ def test_skew_join_equals_join(spark, how, null_safe):
 def test_skew_join_spreads_the_hot_key(spark):
     left = skewed(spark)
     right = spark.createDataFrame([(7, "a"), (3, "b")], "k int, name string")
-    joined = skew.skew_join(left, right, ["k"], spread_by=["id"], policy=SkewPolicy(rows=20, most_keys=10_000))
+    joined = skew.skew_join(left, right, ["k"], spread_by=["id"], policy=SkewPolicy(rows=20))
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_part" in plan
     assert joined.filter("k = 7").count() == left.filter("k = 7").count()
@@ -333,3 +333,66 @@ def test_orphans_ignore_nulls(spark):
     child = spark.createDataFrame([(1,), (2,), (2,), (None,)], "p int")
     parent = spark.createDataFrame([(1,)], "id int")
     assert rows(checks.orphans(child, "p", parent, "id")) == [(2, 2)]
+
+
+# Both ways of each size switch
+
+
+def test_group_values_count_distinct_both_ways(spark):
+    df = skewed(spark)
+    values = {"kinds": F.countDistinct("id"), "n": F.count("*")}
+    few, many = (skew.with_group_values(df, ["k"], values, broadcast_rows=b) for b in (100, 0))
+    assert rows(few, "id", "k", "kinds", "n") == rows(many, "id", "k", "kinds", "n")
+    assert few.columns == many.columns
+
+
+def _dated(spark):
+    events = spark.createDataFrame(
+        [(1, 1, "2020-05-01"), (2, 1, "2021-05-01"), (3, 2, "2020-05-01"), (4, None, "2020-05-01"), (5, 1, None), (6, 3, "2020-05-01")],
+        "event int, k int, day string",
+    ).withColumn("day", F.col("day").cast("date"))
+    spans = spark.createDataFrame(
+        [(10, 1, None, None), (11, 1, "2020-01-01", "2020-12-31"), (12, 1, "2020-02-01", None), (13, 2, None, "2022-01-01"),
+         (14, None, "2020-01-01", None), (15, 3, "2020-06-01", "2020-01-01"), (16, 1, "2020-02-01", None)],
+        "span int, k int, a string, b string",
+    )
+    return events, spans.select("span", "k", F.col("a").cast("date").alias("a"), F.col("b").cast("date").alias("b"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_match_valid_both_ways_with_nulls(spark, how):
+    events, spans = _dated(spark)
+    few, many = (intervals.match_valid(events, spans, "k", "day", "a", "b", how, few=f) for f in (True, False))
+    assert rows(few, "event", "span") == rows(many, "event", "span")
+    found = {(r.event, r.span) for r in few.collect() if r.span is not None}
+    assert found == {(1, 11), (1, 12), (1, 16), (2, 12), (2, 16)}
+
+
+def test_latest_valid_both_ways_with_nulls(spark):
+    events, spans = _dated(spark)
+    few, many = (intervals.latest_valid(events, spans, "k", "day", "a", "b", ["a", "span"], ["span"], few=f) for f in (True, False))
+    assert few.columns == many.columns
+    assert rows(few) == rows(many)
+    assert {r.event: r.span for r in few.collect()} == {1: 16, 2: 16, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_count_valid(spark):
+    events, spans = _dated(spark)
+    found = intervals.count_valid(events, spans, "k", "day", "a", "b", "n").collect()
+    assert {r.event: r.n for r in found} == {1: 3, 2: 2, 3: 0, 4: 0, 5: 0, 6: 0}
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_top_by_dense_rank_both_ways(spark, most, monkeypatch):
+    monkeypatch.setattr(ordering, "fits_broadcast", lambda df, n: n <= most)
+    df = spark.createDataFrame([("a", 3, 1), ("a", 3, 2), ("a", 2, 3), ("a", None, 4), (None, 1, 5), (None, 1, 6)], "g string, v int, i int")
+    found = ordering.top_by_dense_rank(df, ["g"], [("v", "desc")], 2, "place")
+    assert {(r.i, r.place) for r in found.collect()} == {(1, 1), (2, 1), (3, 2), (5, 1), (6, 1)}
+
+
+def test_first_n_of_wide_rows_and_ties(spark):
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b"), (None, "n"), (2, "b2")], "k int, t string")
+    assert sorted(str(r.k) for r in numbering.first_n(df, ["k"], 2).collect()) == ["1", "None"]
+    assert numbering.first_n(df, ["k"], 3).count() == 3  # two rows tie for the third place
+    assert numbering.first_n(df, ["k"], 9).count() == 5
+    assert numbering.first_n(df, ["k"], 0).count() == 0

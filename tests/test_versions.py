@@ -136,8 +136,18 @@ def test_rejects_name_their_reason(spark, lookups, history):
     ]
     judged, applied = apply(spark, lookups, history, data)
     got = sorted((r["employee_id"], r["reject_reason"]) for r in judged.rejected.collect())
-    # The last change starts a version that exists already: passed over, not rejected.
-    assert got == [(1, "late change"), (1, "unknown job role"), (2, "unknown department"), (3, "no current version")]
+    # The last change is late as well: a version starts on its day, but with another content.
+    assert got == [(1, "late change"), (1, "late change"), (1, "unknown job role"), (2, "unknown department"), (3, "no current version")]
+    assert table(applied.history) == table(history)
+
+
+def test_a_late_change_is_passed_over_only_if_its_version_is_stored(spark, lookups, history):
+    known = change(1, D(2020, 1, 1), dept=1, role="Role 0", level=1, income=1000)
+    judged, applied = apply(spark, lookups, history, [known])
+    assert judged.rejected.count() == 0 and judged.accepted.count() == 0
+    other = change(1, D(2020, 1, 1), dept=1, role="Role 0", level=1, income=1001)
+    judged, applied = apply(spark, lookups, history, [other])
+    assert [r["reject_reason"] for r in judged.rejected.collect()] == ["late change"]
     assert table(applied.history) == table(history)
 
 
