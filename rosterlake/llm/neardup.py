@@ -41,10 +41,10 @@ from rosterlake.session import written
 BANDS, ROWS = 26, 5
 PLACES = 1 << 22
 #: Nodes that are compared with as many others in one block, and columns of its 0/1 matrices.
-CHUNK, COLUMNS = 128, 16_384
+CHUNK, COLUMNS = 256, 8_192
 #: Candidate documents of at most so many (8 bytes each) are sent to all executors to pick their texts.
 BROADCAST_ROWS = 500_000
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
 
 
 @lru_cache(maxsize=1)
@@ -248,20 +248,28 @@ def _links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     """Links between different roots among all pairs that share a bucket. members: (key, node, root).
 
     Buckets all of whose members have one root are done. The nodes of the others are put into chunks of
-    about CHUNK, so that nodes of one large bucket stand together; chunks that share a bucket are
-    compared as blocks, which finds every link of two nodes that share a bucket. A block's pairs stay
-    inside its task, and only links come out.
+    about CHUNK: those of a frequent root with each other, the rest by their largest bucket. Chunks that
+    share a bucket are compared as blocks, which finds every link of two nodes that share a bucket; two
+    chunks of the same frequent root need no comparison. A block's pairs stay inside its task, and only
+    links come out.
     """
     buckets = members.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
     open_ = written(members.join(buckets.filter("low < high").select("key", "rows"), "key"), "buckets")
     largest = F.max(F.struct("rows", "key")).alias("home")
     homes = open_.groupBy("node", "root").agg(largest)
-    place = F.pmod(F.xxhash64("node"), F.ceil(F.col("home.rows") / CHUNK))
-    chunks = written(homes.select("node", "root", F.xxhash64("home.key", place).alias("chunk")), "chunks")
-    sides = written(open_.join(chunks.select("node", "chunk"), "node").select("key", "chunk").distinct(), "bucket-chunks")
-    pairs = sides.withColumnRenamed("chunk", "a").join(sides.withColumnRenamed("chunk", "b"), "key").filter("a <= b").select("a", "b").distinct()
+    often = homes.groupBy("root").agg(F.count("*").alias("nodes")).filter(F.col("nodes") >= CHUNK // 4)
+    homes = homes.join(often, "root", "left")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / CHUNK))
+    by_root, by_home = F.xxhash64("root", place(F.col("nodes"))), F.xxhash64("home.key", F.lit("home"), place(F.col("home.rows")))
+    chunk = F.when(F.col("nodes").isNotNull(), by_root).otherwise(by_home)
+    only = F.when(F.col("nodes").isNotNull(), F.col("root"))
+    chunks = written(homes.select("node", "root", chunk.alias("chunk"), only.alias("only")), "chunks")
+    sides = written(open_.join(chunks.select("node", "chunk", "only"), "node").select("key", "chunk", "only").distinct(), "bucket-chunks")
+    one, other = (sides.select("key", F.col("chunk").alias(n), F.col("only").alias(f"only_{n}")) for n in ("a", "b"))
+    differ = F.coalesce(F.col("only_a") != F.col("only_b"), F.lit(True))
+    pairs = one.join(other, "key").filter((F.col("a") <= F.col("b")) & differ).select("a", "b").distinct()
     both = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"))
-    rows = both.join(chunks.join(sets, "node"), "chunk")
+    rows = both.join(chunks.select("node", "root", "chunk").join(sets, "node"), "chunk")
     return rows.groupBy("a", "b").applyInArrow(lambda group: _block_links(group, percent), "a long, b long")
 
 

@@ -67,7 +67,7 @@ def test_near_duplicates_by_brute_force(spark, size, percent):
     draw = random.Random(1)
     words = [f"w{i}" for i in range(400)]
     base = draw.choices(words, k=300)
-    for i in range(80):  # a group of near copies larger than a small bucket, some of them linked only through others
+    for i in range(200):  # a group of near copies larger than a small bucket, some of them linked only through others
         own = list(base)
         for _ in range(draw.randint(0, 9)):
             own[draw.randrange(300)] = f"x{draw.randrange(10**6)}"
@@ -80,7 +80,7 @@ def test_near_duplicates_by_brute_force(spark, size, percent):
     for r in found:
         assert (r.n_shingles, r.component_id) == expected[r.doc_id], r
         assert r.kept == (r.component_id == r.doc_id)
-    assert len({r.component_id for r in found if 10_000 <= r.doc_id < 30_000}) < 60
+    assert len({r.component_id for r in found if 10_000 <= r.doc_id < 30_000}) < 150  # some linked, some not
 
 
 def test_near_duplicates_with_null_and_repeated_ids(spark):
