@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rosterlake.llm.common import PieceArrays, chunks, workers_import
-from rosterlake.llm.prefix_tokens import beyond_plain, class_of
+from rosterlake.llm.prefix_tokens import beyond_plain, byte_letters, class_of
 from rosterlake.session import new_path, written
 
 VOCABULARY = "word_bpe_49k.json"
@@ -44,7 +44,7 @@ LEXICON = 100_000
 #: Longest lexicon word in bytes; longer ones are merged.
 LONGEST = 40
 #: Words that a worker remembers, and words a task counts before it passes them on.
-MOST_WORDS, FLUSH = 1_000_000, 500_000
+MOST_WORDS, FLUSH = 400_000, 400_000
 
 
 class WordTokenizer:
@@ -56,6 +56,8 @@ class WordTokenizer:
             given = json.load(f)
         special = [t["content"] for t in given["added_tokens"] if t["special"]]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+        self.specials = {t["content"]: t["id"] for t in given["added_tokens"] if t["special"]}
+        self.letters = {b: c for c, b in byte_letters().items()}
         letter, number, space = class_of("L"), class_of("N"), class_of("space")
         self.plain = re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{space}{letter}{number}]+")
 
@@ -71,7 +73,12 @@ class WordTokenizer:
         return [self.words(p) if i % 2 == 0 else p for i, p in enumerate(parts)]
 
     def merged(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+        """The ids of a word, or of a special token's string, by the vocabulary's merges."""
+        special = self.specials.get(word)
+        if special is not None:
+            return [special]
+        written = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
+        return [t.id for t in self.tokenizer.model.tokenize(written)]
 
 
 @lru_cache(maxsize=2)
@@ -267,7 +274,7 @@ class Encoder:
 
     def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; new words of some texts are looked up together."""
-        for group in chunks((t or "" for t in texts), 3_000_000):
+        for group in chunks(t or "" for t in texts):
             parts = [self.words.split(t) for t in group]
             self.learn(set().union(*[[x] if isinstance(x, str) else x for of_text in parts for x in of_text]))
             for of_text in parts:
@@ -291,7 +298,8 @@ def encode(df: DataFrame, lexicon: str, text: str = "text", *, path: str | None
         ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
-    return df.withColumn(name, ids(F.col(text)))
+    # Not to be repeated by the optimiser for every use of the column, such as decoding it again.
+    return df.withColumn(name, ids.asNondeterministic()(F.col(text)))
 
 
 class Decoder:

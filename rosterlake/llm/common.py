@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
+#: Texts are long rows: fewer of them in an Arrow batch keep workers small. A session's own choice stays.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
 #: Words of the contracts: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,6 +31,8 @@ def workers_import(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
         environment["PYTHONPATH"] = ":".join([ROOT, *paths])
+    if spark.conf.get(BATCH_ROWS[0]) == "10000":  # Spark's default, meant for short rows
+        spark.conf.set(*BATCH_ROWS)
 
 
 def chunks(texts: Iterable[str], most_chars: int = 1_000_000) -> Iterator[list[str]]:

@@ -38,7 +38,7 @@ from rosterlake.llm.common import PieceArrays, chunks, workers_import
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Entries that a worker keeps before it starts anew; bounds its memory.
-MOST_PIECES, MOST_PAIRS = 1_000_000, 2_000_000
+MOST_PIECES, MOST_PAIRS, MOST_ENDS = 400_000, 500_000, 200_000
 #: Bytes before a position by which the tokens that end there are remembered.
 WINDOW = 8
 
@@ -146,7 +146,7 @@ class PrefixCounter:
         """Count the prefixes of pieces not yet known, those that begin alike one after the other."""
         pieces = set(pieces)
         new = sorted((p.encode(), p) for p in self.known.missing(pieces))
-        if len(self.ends) > MOST_PIECES:
+        if len(self.ends) > MOST_ENDS:
             self.ends.clear()
         counts, last, previous = [0], [-1], b""
         lengths: list[int] = []
@@ -218,7 +218,7 @@ class PrefixCounter:
 
     def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """prefix_counts of each text; new pieces of some texts are counted together."""
-        for group in chunks((t or "" for t in texts), 3_000_000):
+        for group in chunks(t or "" for t in texts):
             pieces = [self.cut(t) for t in group]
             self.learn(set().union(*[segment for of_text in pieces for segment in of_text]))
             yield from map(self.joined, pieces)
