@@ -44,7 +44,7 @@ LEXICON = 100_000
 #: Longest lexicon word in bytes; longer ones are merged.
 LONGEST = 40
 #: Words that a worker remembers, and words a task counts before it passes them on.
-MOST_WORDS, FLUSH = 400_000, 400_000
+MOST_WORDS, FLUSH = 150_000, 150_000
 
 
 class WordTokenizer:
@@ -81,7 +81,7 @@ class WordTokenizer:
         return [t.id for t in self.tokenizer.model.tokenize(written)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
@@ -282,7 +282,7 @@ class Encoder:
                 yield self.known.joined(self.known.numbers(flat))[0]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, lexicon: str) -> Encoder:
     """One encoder for each worker process, vocabulary and lexicon."""
     return Encoder(path, Lexicon.mapped(SparkFiles.get(lexicon)))
@@ -315,7 +315,7 @@ class Decoder:
         return " ".join(map(self.token.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def decoder(path: str) -> Decoder:
     return Decoder(path)
 

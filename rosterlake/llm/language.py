@@ -31,7 +31,7 @@ PROFILE = 400
 #: Languages are bounded, because their profiles go to every executor: 1,000 profiles are 6 MB.
 MOST_LANGUAGES = 1_000
 #: n-grams that training gathers before it adds equal ones up.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 
 UNKNOWN = "und"
 

@@ -44,7 +44,7 @@ PLACES = 1 << 22
 CHUNK, COLUMNS = 256, 8_192
 #: Candidate documents of at most so many (8 bytes each) are sent to all executors to pick their texts.
 BROADCAST_ROWS = 500_000
-MOST_WORDS = 500_000
+MOST_WORDS = 150_000
 
 
 @lru_cache(maxsize=1)
