@@ -179,6 +179,24 @@ def test_markov_models_find_unnamed_keys_and_spare_words(spark):
     assert found.count() == 0
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+ORDINARY = ("someOrdinaryIdentifierName", "an_ordinary_name_of_2_parts", "https://www.example.com/en/25.html", "2024-01-01T00:00:00Z", "INTERNATIONALIZATION", "4041894974608795")
+
+
+def test_keys_in_many_documents_do_not_become_ordinary(spark, documents):
+    draw = random.Random(4)
+    alphabets = {"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": 20, "0123456789ABCDEF": 40, LETTERS: 32}
+    texts = [f"{t or ''} {''.join(draw.choices(a, k=n))}" for (t,) in documents.select("text").collect() for a, n in alphabets.items()]
+    ratios = secrets.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for alphabet, n in alphabets.items():
+        keys = ["".join(draw.choices(alphabet, k=n)) for _ in range(100)]
+        assert sum(secrets.spans(f"a {k} b", ratios) == [(2, 2 + n, 3)] for k in keys) > 90
+    path = "//hooks.example.com/services/incoming/webhooks/for/our/team/channels/"
+    keys = ["".join(draw.choices(LETTERS, k=24)) for _ in range(100)]
+    assert sum(secrets.spans(path + k, ratios) == [(len(path), len(path) + 24, 3)] for k in keys) > 90
+    assert not [name for name in ORDINARY if secrets.spans(name, ratios)]
+
+
 def test_secret_edge_cases_and_redaction(spark, odd):
     ratios = secrets.train(odd.limit(0))
     assert len(secrets.scan(odd, ratios).collect()) == odd.count()
