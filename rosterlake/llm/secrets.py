@@ -54,7 +54,7 @@ ALPHABETS = (
     _UPPER, _LOWER, _DIGIT + b"ABCDEF", _DIGIT + b"abcdef", _UPPER + _DIGIT, _LOWER + _DIGIT, _UPPER + _LOWER, _UPPER + _LOWER + _DIGIT,
 )
 #: The even chance's share in each chain, and its weight in characters before any is seen.
-EVEN, PRIOR = 0.0, 20
+EVEN, PRIOR = 0.1, 20
 #: The ratio of a pair with a sign in it: paths and names have more signs than keys.
 SIGN = -1.0
 #: Chances of upper case, lower case and digits after each, half fixed and half counted.

@@ -197,6 +197,15 @@ def test_keys_in_many_documents_do_not_become_ordinary(spark, documents):
     assert not [name for name in ORDINARY if secrets.spans(name, ratios)]
 
 
+def test_keys_are_found_after_few_documents(spark, documents):
+    ratios = secrets.train(documents)  # 200
+    draw = random.Random(3)
+    for _ in range(50):
+        key = "".join(draw.choices(LETTERS, k=32))
+        assert secrets.spans(f"Ünter {key} ende", ratios) == [(6, 38, 3)]
+    assert not [name for name in ORDINARY if secrets.spans(name, ratios)]
+
+
 def test_secret_edge_cases_and_redaction(spark, odd):
     ratios = secrets.train(odd.limit(0))
     assert len(secrets.scan(odd, ratios).collect()) == odd.count()
