@@ -1,7 +1,7 @@
 """Secret scans: exact patterns, and character Markov models for strings that no pattern names.
 
 Base kinds are found by pattern. Beside them, every run of 16 or more characters that a key may
-consist of is weighed: the log-likelihood of each character under a model of random
+consist of is weighed outside base spans: the log-likelihood of each character under a model of random
 strings, less that under a model of ordinary identifiers and words. Where these ratios add up, in one
 stretch, to a clear sum over what is asked of each pair, a secret of kind `random` is marked, from one
 sign (or run's end) to another, with neighbouring parts that mix classes. The path or name around a key
@@ -65,7 +65,6 @@ _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")  # the same as runs of any length with the shorter ones dropped
 _RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
-_KINDS_OF = tuple(map(re.compile, (rb"[a-z]", rb"[A-Z]", rb"[0-9]")))
 _SIGN = re.compile(rb"[/_.=-]")  # without +, which stands in keys alone
 #: A change of class other than after a capital; no labelled run holds one, nor a part as long as a key.
 _CHANGE = re.compile(rb"[a-z][A-Z0-9]|[0-9][A-Za-z]|[A-Z][0-9]|[A-Z]{2}[a-z]")
@@ -208,11 +207,18 @@ def spans(text: str | None, ratios: np.ndarray) -> list[tuple[int, int, int]]:
     raw = (text or "").encode()
     base = base_spans(raw)
     found = [s[:3] for s in base]
+    i = 0
     for m in _RUN.finditer(raw):
-        # Keys mix at least two of lower case, upper case and digits.
-        mixed = sum(c.search(m.group()) is not None for c in _KINDS_OF) >= 2
-        if mixed and not any(s[0] < m.end() and m.start() < s[1] for s in base):
-            found += [(m.start() + a, m.start() + b, 3) for a, b in _random_spans(m.group(), ratios)]
+        # The parts of the run outside base spans; both are in order, and a base span may reach over several runs.
+        at, j = m.start(), i
+        while j < len(base) and base[j][0] < m.end():
+            if base[j][0] - at >= SHORTEST:
+                found += [(at + a, at + b, 3) for a, b in _random_spans(raw[at : base[j][0]], ratios)]
+            at = max(at, base[j][1])
+            j += 1
+        i = max(i, j - 1)
+        if m.end() - at >= SHORTEST:
+            found += [(at + a, at + b, 3) for a, b in _random_spans(raw[at : m.end()], ratios)]
     found.sort(key=lambda s: (s[0], s[2]))
     if len(raw) == len(text or ""):
         return found
