@@ -15,7 +15,9 @@ k of those are the answer.
 
 Defined results
 * Vectors that are null or hold null or non-finite components take no part, nor do rows with a null
-  id, nor vectors with a component beyond 2^28 after scaling, whose scores a long could not hold.
+  id, nor vectors with a component that is no long itself after scaling (2^63 or more).
+* Scores are longs. If the largest norm of a query times the largest norm of a row says that one of those
+  that take part might not fit, an error is raised; no row is left out for it.
 * Shorter vectors count as continued with zeros; an empty vector scores 0.
 * Fewer than k candidates: all of them. Ties: the smaller id. A query's own row is every row with its id.
 * Repeated rows are candidates one by one; a query that is repeated is answered once for each
@@ -36,17 +38,21 @@ from rosterlake.session import written
 
 BLOCK_ROWS = 65_536
 QUERY_ROWS = 128
-LARGEST = 1 << 28
+LARGEST = 1 << 63
 
 
 def quantised(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
     """(id, values array<long>) of the rows that take part."""
     cells = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale))
-    exact = F.forall(F.col(vector), lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) < LARGEST))
+    exact = F.forall(F.col(vector), lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) < float(LARGEST)))
     rows = df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
     return rows.filter(exact).select(F.col(id_col).cast("long").alias("id"), cells.alias("values"))
 
 
+def _norm(values: str) -> Column:
+    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+
+
 def _matrix(values: pa.ListArray) -> np.ndarray:
     lengths = np.diff(values.offsets.to_numpy())
     flat = values.flatten().to_numpy(zero_copy_only=False)
@@ -63,7 +69,7 @@ def _sliced(ids: np.ndarray, matrix: np.ndarray) -> dict:
     order = np.argsort(ids, kind="stable")
     ids, matrix = ids[order], matrix[order]
     least = matrix.min(axis=0)
-    shifted = (matrix - least).astype(np.uint64)
+    shifted = matrix.astype(np.uint64) - least.astype(np.uint64)  # what wraps around comes out right
     counts, bitmaps = [], []
     words = -(-len(ids) // 64)
     for column in shifted.T:
@@ -178,11 +184,12 @@ class Block:
         rows = np.flatnonzero(np.unpackbits(sure.view(np.uint8), bitorder="little"))
         if left:  # the rows in play tie at the boundary; they stand in order of their ids
             rows = np.concatenate((rows, np.flatnonzero(np.unpackbits(play.view(np.uint8), bitorder="little"))[:left]))
-        scores = np.zeros(len(rows), dtype=np.int64)
+        # The sum may be longer than a score; a score fits a long, so its lowest 64 bits are enough.
+        scores = np.zeros(len(rows), dtype=np.uint64)
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
-        for b, s in enumerate(total):
-            scores |= (s[word] >> bit & np.uint64(1)).astype(np.int64) << b
-        return self.ids[rows], scores + constant
+        for b, s in enumerate(total[:64]):
+            scores |= (s[word] >> bit & np.uint64(1)) << np.uint64(b)
+        return self.ids[rows], (scores + np.uint64(constant % (1 << 64))).view(np.int64)
 
 
 _ANSWER = "query_id long, same long, vec_id long, score long"
@@ -197,13 +204,17 @@ def top_k(
     rows = quantised(df, id_col, vector, scale)
     index = build_index(rows, block_rows)
     asked = quantised(df.filter(is_query), id_col, vector, scale).distinct()
-    groups = max(1, -(-asked.count() // QUERY_ROWS))
+    n_asked, far_asked = asked.agg(F.count("*"), F.max(_norm("values"))).first()
+    far = rows.agg(F.max(_norm("values"))).first()[0]
+    if n_asked and far_asked * far >= LARGEST * (1 - 1e-9):  # norms are rounded
+        raise OverflowError(f"scores may not fit a long: norms of up to {far_asked:g} and {far:g} after scaling")
+    groups = max(1, -(-n_asked // QUERY_ROWS))
     asked = asked.withColumn("group", F.pmod(F.xxhash64("id", "values"), F.lit(groups)).cast("int"))
     asked = asked.groupBy("group").agg(F.collect_list(F.struct("id", "values")).alias("queries"))
     tasks = (
         index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         .join(asked, "group")
-        .repartition(index.count() * groups, "block", "group")  # about one block and one group in a task
+        .repartition(max(1, index.count() * groups), "block", "group")  # about one block and one group in a task
     )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,6 +131,17 @@ def test_top_k_of_few_ragged_and_no_vectors(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") == 20, 20).count() == 0
 
 
+def test_top_k_keeps_large_vectors_and_refuses_what_no_score_can_hold(spark):
+    vectors = {20: [1.0, -2.0, 0.5], 1: [2.0**30, 0.25, 0.0], 2: [-(2.0**49), 1.0, 3.0], 3: [5.0, -(2.0**49), -1.0], 4: [1.0, 1.0, 1.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in vectors.items()}
+    scores = {i: sum(a * b for a, b in zip(v, whole[20])) for i, v in whole.items() if i != 20}
+    found = sorted(topk.top_k(df, F.col("vec_id") == 20, 20).collect(), key=lambda r: r.rank)
+    assert [(r.vec_id, r.score) for r in found] == sorted(scores.items(), key=lambda x: -x[1])
+    with pytest.raises(OverflowError):
+        topk.top_k(df, F.col("vec_id") == 2, 20)
+
+
 PAGES = "page_id long, url string, html string, payload string"
 
 
