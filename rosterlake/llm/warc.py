@@ -39,6 +39,8 @@ END = BREAK * 2
 #: What every record begins with.
 BEGIN = VERSION + BREAK
 REVISIT_BYTES = 1000
+#: Records of an archive file, at most: a file with a version line in a payload is read whole, by one task.
+FILE_RECORDS = 3_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -123,7 +125,7 @@ def write_archive(captures: DataFrame, path: str, *, date: str = "2024-01-01T00:
         ),
     )
     texts = rows.select(F.explode(records).alias("value"))
-    texts.write.option("lineSep", END).option("compression", compression).text(path)
+    texts.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", compression).text(path)
 
 
 def _whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,6 +170,19 @@ def test_warc_round_trip(spark):
         assert all(len(r.requests) == len(r.metadata) == 1 for r in found)
 
 
+def test_archives_are_bounded(spark):
+    version = f"p{warc.END}{warc.BEGIN}Content-Length: 3{warc.END}abc{warc.END}"
+    df = spark.range(2_500).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id) AS html").coalesce(1)
+    df = df.withColumn("html", F.when(F.col("page_id") == 7, F.lit(version)).otherwise(F.col("html")))
+    path = new_path(spark, "warc")
+    warc.write_archive(warc.with_revisits(df).coalesce(1), path)
+    records = warc.read_records(spark, path)
+    assert spark.read.format("binaryFile").load(path).select("path").count() == 3
+    assert records.count() == 7_500
+    found = warc.assemble(records).select("response.page_id", "response.payload")
+    assert {r.page_id: r.payload for r in found.collect()} == {str(i): version if i == 7 else f"page {i}" for i in range(2_500)}
+
+
 def test_warc_of_nothing_and_orphans(spark):
     path = new_path(spark, "warc-test")
     warc.write_archive(warc.with_revisits(spark.createDataFrame([], PAGES)), path)
