@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, and their SQL where SQL can state them."""
+"""The registered queries of the text operators and of the pipeline, and their SQL where SQL can state them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rosterlake.llm import bpe, language, mixing, neardup, prefix_tokens, secrets, spotsigs, topk, urls, warc
+from rosterlake.llm import bpe, divergence, infill, language, mixing, neardup, notices, prefix_tokens, secrets, spotsigs, topk, urls, warc
 from rosterlake.llm.common import table
 from rosterlake.session import new_path
 
@@ -125,14 +125,80 @@ def op10_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > prefix_tokens.LIMIT).alias("over_limit"), "fit_chars")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP11_SQL = f"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}') as text from documents),
+g as (select distinct lang, source from d),
+t as (select id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+v as (select lang, term, count(*) as n from t group by all having count(distinct id) >= {divergence.LEAST_DOCUMENTS}),
+c as (select g.lang, g.source, v.term, v.n as n_lang, coalesce(s.n, 0) as n
+  from g join v on v.lang = g.lang
+  left join (select lang, source, term, count(*) as n from t group by all) s
+    on s.lang = g.lang and s.source = g.source and s.term = v.term),
+p as (select lang, source, term, n,
+  1 + (1000000000::hugeint * (n + 2)) // (sum(n) over w + 2 * count(*) over w)::hugeint as p,
+  1 + (1000000000::hugeint * (n_lang + 2)) // (sum(n_lang) over w + 2 * count(*) over w)::hugeint as q
+  from c window w as (partition by lang, source)),
+pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from p a join p b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by all),
+ranked as (
+ select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pairs.value, 0) as value
+  from g a join g b on b.lang = a.lang and b.source <> a.source
+  left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+ union all
+ select lang, source, 'term' as part, term as item, ((p - q) * (p - q)) // (p + q) as value from p where n > 0 and p > q),
+numbered as (select lang, source, part, item, cast(value as bigint) as value,
+  cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from ranked)
+select * from numbered where part = 'pair' or rank <= {divergence.TOP}"""
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    of = lambda c: F.col(f"infill.{c}")
+    back = infill.restored(of("form"), of("output"))
+    return docs.select(
+        "doc_id",
+        *[of(c).alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2(of("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = """
+with d as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (select *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as units from d),
+n as (select *, len(units) as n, cast('0x' || h[1:8] as bigint) % (len(units) + 1) as i, cast('0x' || h[9:16] as bigint) % (len(units) + 1) as j,
+  cast('0x' || h[17:24] as bigint) % 100 as h3, cast('0x' || h[25:32] as bigint) % 100 as h4 from u),
+f as (select *, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 >= 100 then 'plain'
+  when h4 < 50 then 'spm' else 'psm' end as form,
+  array_to_string(units[1:least(i, j)], '') as prefix, array_to_string(units[least(i, j) + 1:greatest(i, j)], '') as middle,
+  array_to_string(units[greatest(i, j) + 1:], '') as suffix from n)
+select doc_id, cast(n as bigint) as n, form,
+  case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from f"""
+
+
+def op13_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return notices.summary(notices.scan(docs), "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_warc, op3_minhash, op4_topk, op5_bpe, op6_spotsigs, op7_secrets, op8_mixing, op9_urls, op10_prefix_tokens,
+        op11_divergence, op12_infill, op13_notices,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
-SQL = {"op2_warc": OP2_SQL, "op4_topk": OP4_SQL, "op9_urls": OP9_SQL}
+SQL = {"op2_warc": OP2_SQL, "op4_topk": OP4_SQL, "op9_urls": OP9_SQL, "op11_divergence": OP11_SQL, "op12_infill": OP12_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
