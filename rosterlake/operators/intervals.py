@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from rosterlake.operators.skew import BROADCAST_ROWS, DEFAULT, SkewPolicy, skew_join
 from rosterlake.session import written
 
-# Keys with at most this many events and intervals are matched in one piece.
+# Keys with at most this many events, intervals, and pairs of the two are matched in one piece.
 FEW_EVENTS = 1_000_000
 FEW_INTERVALS = 1_000
+FEW_PAIRS = 10_000_000
 
 # Run on part of the events and intervals: (events, intervals, measure, few).
 Matching = Callable[[DataFrame, list[DataFrame], DataFrame, bool], DataFrame]
@@ -26,6 +27,15 @@ def _key_sizes(df: DataFrame, key: str) -> tuple[int, int]:
     return largest or 0, nulls or 0
 
 
+def _keys_with_many_pairs(key: str, events: DataFrame, intervals: DataFrame, most_events: int, most_intervals: int) -> DataFrame:
+    """Keys whose events times intervals are above FEW_PAIRS; only keys that can be are joined."""
+    sides = []
+    for df, name, most in ((events, "_events", most_intervals), (intervals, "_intervals", most_events)):
+        counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(name))
+        sides.append(counts.filter(F.col(name) * most > FEW_PAIRS))
+    return sides[0].join(sides[1], key).filter(F.col("_events") * F.col("_intervals") > FEW_PAIRS).select(key)
+
+
 def by_key_size(
     key: str,
     events: DataFrame,
@@ -36,9 +46,10 @@ def by_key_size(
 ) -> DataFrame:
     """Run a matching with few=True on keys of ordinary size, and with few=False on big ones.
 
-    A big key has more events or intervals than fit one piece. While the big keys are few enough
-    to be broadcast, which is checked, only their rows take the other way; should there be more,
-    all rows do. Many events without a key, which match nothing, are kept out of the joins.
+    A big key has more events or intervals than fit one piece, or more pairs of them than one task
+    should test. While the big keys are few enough to be broadcast, which is checked, only their
+    rows take the other way; should there be more, all rows do. Many events without a key, which
+    match nothing, are kept out of the joins.
     """
     largest, nulls = _key_sizes(measure, key)
     if nulls > FEW_EVENTS:
@@ -54,6 +65,11 @@ def by_key_size(
         if size > most:
             found = df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > most).select(key)
             big = found if big is None else big.union(found)
+    most_each = max((n for _, n, _ in sizes[1:]), default=0)
+    if largest * most_each > FEW_PAIRS:
+        for df in intervals:
+            found = _keys_with_many_pairs(key, measure, df, largest, most_each)
+            big = found if big is None else big.union(found)
     if big is None:
         return run(events, intervals, measure, True)
     big = written(big.distinct(), "big-keys")
@@ -73,27 +89,46 @@ def day_bounds(df: DataFrame, day: str) -> tuple[dt.date, dt.date] | None:
     return None if low is None else (low, high)
 
 
-def by_year(intervals: DataFrame, start: str, end: str, bounds: tuple[dt.date, dt.date]) -> DataFrame:
-    """One row per interval and calendar year it touches within bounds, clipped to that year.
+def _levels(bounds: tuple[dt.date, dt.date]) -> int:
+    """The number of a tree's levels above its leaves, which are the days within bounds."""
+    return (bounds[1] - bounds[0]).days.bit_length()
 
-    Adds _year, _from and _to. An open end (NULL or a far sentinel) is clipped like any other, so
-    a row is repeated at most once per year in which there is something to match.
+
+def interval_nodes(intervals: DataFrame, start: str, end: str, bounds: tuple[dt.date, dt.date]) -> DataFrame:
+    """One row for each node of a binary tree over the days that the interval covers as a whole.
+
+    The days within bounds are the leaves; node n of level h covers the days n * 2^h to (n + 1) * 2^h - 1
+    after the first. Any interval is made up of at most two nodes of each level, and no two of its
+    nodes share a day. Adds _level and _node. An open end (NULL or a far sentinel) is clipped to the
+    bounds; an interval outside of them has no rows.
     """
     low, high = (F.lit(b) for b in bounds)
-    begin = F.greatest(F.col(start), low)
-    finish = F.least(F.coalesce(F.col(end), high), high)
-    return (
-        intervals.withColumns({"_begin": begin, "_finish": finish})
-        .filter(F.col("_begin") <= F.col("_finish"))
-        .withColumn("_year", F.explode(F.sequence(F.year("_begin"), F.year("_finish"))))
-        .withColumns(
-            {
-                "_from": F.greatest(F.col("_begin"), F.make_date(F.col("_year"), F.lit(1), F.lit(1))),
-                "_to": F.least(F.col("_finish"), F.make_date(F.col("_year"), F.lit(12), F.lit(31))),
-            }
-        )
-        .drop("_begin", "_finish")
+    first = F.datediff(F.greatest(F.col(start), low), low)
+    last = F.datediff(F.least(F.coalesce(F.col(end), high), high), low)
+    # At level h the interval's nodes run from the first that begins inside it to the last that ends inside it.
+    # The outer ones that no node of the next level takes in are the ones to keep.
+    pieces = F.expr(
+        f"""array_compact(flatten(transform(transform(sequence(0, {_levels(bounds)}),
+          h -> struct(h as level, shiftright(_first + shiftleft(1, h) - 1, h) as a, shiftright(_last + 1, h) as b)),
+          n -> array(if(n.a < n.b and n.a % 2 = 1, struct(n.level as level, n.a as node), null),
+            if(n.a < n.b and n.b % 2 = 1, struct(n.level as level, n.b - 1 as node), null)))))"""
     )
+    found = intervals.withColumns({"_first": first, "_last": last}).filter(F.col("_first") <= F.col("_last"))
+    found = found.withColumn("_piece", F.explode(pieces)).drop("_first", "_last")
+    return found.withColumns({"_level": F.col("_piece.level"), "_node": F.col("_piece.node")}).drop("_piece")
+
+
+def day_nodes(days: DataFrame, day: str, bounds: tuple[dt.date, dt.date]) -> DataFrame:
+    """One row for each node that a day lies below: one of each level. Adds _level and _node."""
+    inside = days.withColumn("_at", F.datediff(F.col(day), F.lit(bounds[0])))
+    found = inside.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(_levels(bounds)))))
+    return found.withColumn("_node", F.expr("shiftright(_at, _level)")).drop("_at")
+
+
+def _asked(df: DataFrame, key: str, day: str) -> DataFrame:
+    """Each key and day once, as _k and _d."""
+    known = df.filter(F.col(key).isNotNull() & F.col(day).isNotNull())
+    return known.select(F.col(key).alias("_k"), F.col(day).alias("_d")).distinct()
 
 
 def match_valid(
@@ -113,10 +148,12 @@ def match_valid(
     """Every pair of an event and an interval with the same key whose days contain the event's.
 
     Keys of ordinary size (few, see by_key_size) are matched by one equi-join on the key with the
-    days as a residual test. For big ones the join is on (key, calendar year), with intervals
-    clipped to years: those of one key that do not overlap number at most 366 a year, so even a key
-    with many rows is never compared all against all, and a (key, year) with very many events is
-    split. `measure` is a cheaper table with the same key and day columns as events.
+    days as a residual test. For big ones no pair is tested: an interval becomes the few tree nodes
+    that make it up (interval_nodes), a day the nodes above it, one a level, and the two share a
+    node just where the interval contains the day. That join is on (key, node) and asks for each
+    day of a key once, however many events have it; what it finds is joined back to the events by
+    (key, day), split where that is hot. Its rows are answers, whether intervals overlap or not.
+    `measure` is a cheaper table with the same key and day columns as events.
     """
     base = events if measure is None else measure
     # An interval without a start is valid on no day, whatever the size of its key.
@@ -134,22 +171,16 @@ def match_valid(
         valid = (F.col(day) >= F.col(start)) & (F.col(end).isNull() | (F.col(day) <= F.col(end)))
         return events.join(right, (F.col(key) == F.col("_key")) & valid, how).drop("_key")
     bounds = day_bounds(base, day)
+    named = {c: f"_i_{c}" for c in intervals.columns if c != key}
+    right = intervals.select(F.col(key).alias("_k"), *[F.col(c).alias(n) for c, n in named.items()])
     if bounds is None:
-        nothing = {"_year": F.lit(0), "_from": F.col(start), "_to": F.col(start)}
-        clipped = intervals.filter(F.lit(False)).withColumns(nothing)
+        found = right.filter(F.lit(False)).withColumn("_d", F.col(named[start]))
     else:
-        clipped = by_year(intervals, start, end, bounds)
-    joined = skew_join(
-        events.withColumn("_year", F.year(day)),
-        clipped,
-        [key, "_year"],
-        how,
-        condition=F.col(day).between(F.col("_from"), F.col("_to")),
-        spread_by=spread_by,
-        measure=base.withColumn("_year", F.year(day)),
-        policy=policy,
-    )
-    return joined.drop("_year", "_from", "_to")
+        days = day_nodes(_asked(base, key, day), "_d", bounds)
+        found = days.join(interval_nodes(right, named[start], named[end], bounds), ["_k", "_level", "_node"])
+    found = found.select(F.col("_k").alias(key), F.col("_d").alias(day), *named.values())
+    joined = skew_join(events, found, [key, day], how, spread_by=spread_by, measure=base, policy=policy)
+    return joined.select(*events.columns, *[F.col(n).alias(c) for c, n in named.items()])
 
 
 def latest_valid(
@@ -173,11 +204,11 @@ def latest_valid(
     event picks from the list of its key: one join, and events keep their partitioning.
 
     For big ones the answer, which only depends on (key, day), is worked out once per distinct
-    pair. Intervals are reduced beforehand to the last one per (key, year, first day, last day in
-    that year), and of those with one first day only such remain as reach further than every later
-    one. The reductions bound what one key can bring into one year, whatever its number of rows.
-    The days are then joined back to the events, split where hot. `measure` is a cheaper table with
-    the same key and day columns as events.
+    pair, by the nodes of match_valid. Of the intervals of a key that cover a node only the last one
+    counts, so a maximum, combined before the shuffle, leaves one row for each node: a key's rows are
+    bounded by its days, however many intervals it has and however they overlap. A day's answer is the
+    last of the one row a level that it meets, and is joined back to the events, split where hot.
+    `measure` is a cheaper table with the same key and day columns as events.
     """
     base = events if measure is None else measure
     # An interval without a start is valid on no day, whatever the size of its key.
@@ -204,25 +235,14 @@ def latest_valid(
     bounds = day_bounds(base, day)
     if bounds is None:
         return events.withColumns({c: F.lit(None).cast(intervals.schema[c].dataType) for c in take})
-    # At most 366 rows have one first day here, so this window stays small.
-    later = Window.partitionBy("_key", "_year", "_from").orderBy(F.desc("_best"))
-    reach = F.max("_to").over(later.rowsBetween(Window.unboundedPreceding, -1))
-    reduced = (
-        by_year(intervals, start, end, bounds)
-        .groupBy(F.col(key).alias("_key"), "_year", "_from", "_to")
+    best = (
+        interval_nodes(intervals.withColumnRenamed(key, "_k"), start, end, bounds)
+        .groupBy("_k", "_level", "_node")
         .agg(F.max(F.struct(*kept)).alias("_best"))
-        .withColumn("_reach", reach)
-        .filter(F.col("_reach").isNull() | (F.col("_to") > F.col("_reach")))
-        .drop("_reach")
     )
-    days = base.select(F.col(key).alias("_k"), F.col(day).alias("_d")).distinct()
     found = (
-        days.join(
-            reduced,
-            (F.col("_k") == F.col("_key"))
-            & (F.year("_d") == F.col("_year"))
-            & F.col("_d").between(F.col("_from"), F.col("_to")),
-        )
+        day_nodes(_asked(base, key, day), "_d", bounds)
+        .join(best, ["_k", "_level", "_node"])
         .groupBy("_k", "_d")
         .agg(F.max("_best").alias("_best"))
         .select(F.col("_k").alias(key), F.col("_d").alias(day), *[F.col(f"_best.{c}").alias(c) for c in take])

@@ -11,7 +11,7 @@ from rosterlake.operators.ordering import in_order, latest
 from rosterlake.operators.skew import lookup_join, skew_join
 from rosterlake.operators.versions import compare_with_previous
 from rosterlake.plans import analytics, oltp, star
-from rosterlake.registry.core import add, define
+from rosterlake.registry.core import REGISTRY, add, define
 
 c = F.col
 
@@ -83,6 +83,19 @@ add(
     """select r.review_id, de.employee_sk from reviews r join dim_employee de on de.employee_id = r.employee_id
     and r.review_date >= de.effective_start_date and r.review_date <= de.effective_end_date""",
 )
+# The way of keys too big for one task, taken by all keys.
+add(
+    "c07_version_of_date_by_nodes",
+    lambda w: match_valid(
+        w["reviews"].select("review_id", "employee_id", "review_date"),
+        w["dim_employee"].select("employee_id", "employee_sk", "effective_start_date", "effective_end_date"),
+        "employee_id",
+        "review_date",
+        spread_by=["review_id"],
+        few=False,
+    ).select("review_id", "employee_sk"),
+    REGISTRY["c07_version_of_date"].sql,
+)
 
 
 def _valid_assignments(w):
@@ -109,6 +122,13 @@ add(
     ).select("review_id", "project_id"),
     "select review_id, project_id from review_project",
 )
+add(
+    "c09_latest_assignment_by_nodes",
+    lambda w: star.latest_assignment(
+        w["reviews"].select("review_id", "employee_id", "review_date"), w["assignments"], ["project_id"], few=False
+    ).select("review_id", "project_id"),
+    REGISTRY["c09_latest_assignment"].sql,
+)
 add(
     "c10_anti_join_three_columns",
     lambda w: star.load_dim_employee(

@@ -191,7 +191,7 @@ def brute(events, spans):
         yield e, [s for s in spans if e[1] is not None and s[1] == e[1] and s[2] <= e[2] and (s[3] is None or e[2] <= s[3])]
 
 
-# Small keys at once, years without a hot key, years with hot keys split.
+# Small keys at once, nodes without a hot day, nodes with hot days split.
 PATHS = [(True, skew.DEFAULT), (False, skew.DEFAULT), (False, EAGER)]
 
 
@@ -228,13 +228,51 @@ def test_interval_edges_are_closed(spark, few):
 
 
 def test_open_intervals_are_clipped_to_the_data(spark):
-    s = spark.createDataFrame([(1, D(1990, 1, 1), D(9999, 12, 31)), (2, D(2030, 1, 1), None)], "k int, start date, end date")
-    got = intervals.by_year(s, "start", "end", (D(2019, 6, 1), D(2021, 2, 1)))
-    assert rows(got, "k", "_year", "_from", "_to") == [
-        (1, 2019, D(2019, 6, 1), D(2019, 12, 31)),
-        (1, 2020, D(2020, 1, 1), D(2020, 12, 31)),
-        (1, 2021, D(2021, 1, 1), D(2021, 2, 1)),
-    ]
+    s = spark.createDataFrame([(1, D(1990, 1, 1), D(9999, 12, 31)), (2, D(2030, 1, 1), None), (3, D(2019, 6, 2), None)], "k int, start date, end date")
+    # Nine days: 1 has the eight of a node of level 3 and the last one, 3 all but the first.
+    got = intervals.interval_nodes(s, "start", "end", (D(2019, 6, 1), D(2019, 6, 9)))
+    assert rows(got, "k", "_level", "_node") == [(1, 0, 8), (1, 3, 0), (3, 0, 1), (3, 0, 8), (3, 1, 1), (3, 2, 1)]
+
+
+def test_nodes_cover_each_day_of_an_interval_once(spark):
+    low = D(2020, 1, 1)
+    for days in (1, 2, 3, 7, 8, 9, 21):
+        high = low + dt.timedelta(days=days - 1)
+        spans = [(i * 100 + j, low + dt.timedelta(days=i), low + dt.timedelta(days=j)) for i in range(-2, days + 2) for j in range(i - 1, days + 2)]
+        s = intervals.interval_nodes(spark.createDataFrame(spans, "span int, start date, end date"), "start", "end", (low, high))
+        d = intervals.day_nodes(spark.range(days).select(F.date_add(F.lit(low), F.col("id").cast("int")).alias("day")), "day", (low, high))
+        got = d.join(s, ["_level", "_node"]).select("span", "day").collect()
+        want = {(n, low + dt.timedelta(days=x)) for n, a, b in spans for x in range(days) if a <= low + dt.timedelta(days=x) <= b}
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_keys_with_many_pairs_take_the_other_way(spark, monkeypatch):
+    events, spans, e, s = dated(spark, seed=12)
+    size = {k: sum(x[1] == k for x in events) * sum(x[1] == k for x in spans) for k in range(8)}
+    for most in (max(size.values()), sorted(size.values())[-2], 0):
+        monkeypatch.setattr(intervals, "FEW_PAIRS", most)
+        big = intervals._keys_with_many_pairs("k", e, s, 150, 80)
+        assert rows(big, "k") == [(k,) for k, n in size.items() if n > most]
+        got = intervals.match_valid(e, s, "k", "day", "start", "end", spread_by=["id"])
+        assert sorted(rows(got, "id", "span")) == sorted((ev[0], f[0]) for ev, found in brute(events, spans) for f in found)
+        best = intervals.latest_valid(e, s, "k", "day", "start", "end", ["start", "span"], ["span"], spread_by=["id"])
+        want = [(ev[0], max(found, key=lambda f: (f[2], f[0]))[0] if found else None) for ev, found in brute(events, spans)]
+        assert sorted(map(str, rows(best, "id", "span"))) == sorted(map(str, want))
+
+
+def test_one_key_with_all_rows_makes_no_more_rows_than_its_answers(spark):
+    """60,000 events and 600 intervals of one key: what is joined are days and nodes, not pairs."""
+    low = D(2000, 1, 1)
+    e = spark.range(60_000).select("id", F.lit(1).alias("k"), F.date_add(F.lit(low), F.pmod("id", F.lit(3_000)).cast("int")).alias("day"))
+    s = spark.range(600).select(F.col("id").alias("span"), F.lit(1).alias("k"), F.date_add(F.lit(low), (F.col("id") * 5).cast("int")).alias("start"))
+    s = s.withColumn("end", F.date_add("start", 4))
+    bounds = intervals.day_bounds(e, "day")
+    assert intervals.interval_nodes(s, "start", "end", bounds).count() <= 600 * 3
+    assert intervals.day_nodes(intervals._asked(e, "k", "day"), "_d", bounds).count() == 3_000 * 13
+    got = intervals.match_valid(e, s, "k", "day", "start", "end", few=False, spread_by=["id"])
+    assert got.count() == 60_000 and got.filter("span <> pmod(id, 3000) div 5").count() == 0
+    best = intervals.latest_valid(e, s, "k", "day", "start", "end", ["start"], ["span"], few=False, spread_by=["id"])
+    assert best.filter("span = pmod(id, 3000) div 5").count() == 60_000
 
 
 @pytest.mark.parametrize("most", [10_000, 20, 0])
