@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.operators.skew import BROADCAST_ROWS, DEFAULT, SkewPolicy, skew_join
+from rosterlake.operators.skew import BROADCAST_ROWS, DEFAULT, SkewPolicy, lookup_join, skew_join
 from rosterlake.session import written
 
 # Keys with at most this many events, intervals, and pairs of the two are matched in one piece.
@@ -131,6 +131,16 @@ def _asked(df: DataFrame, key: str, day: str) -> DataFrame:
     return known.select(F.col(key).alias("_k"), F.col(day).alias("_d")).distinct()
 
 
+def _by_day(
+    events: DataFrame, found: DataFrame, on: list[str], how: str, spread_by: list[str] | None, measure: DataFrame, policy: SkewPolicy
+) -> DataFrame:
+    """Answers per key and day, written once, at each event: few days of few keys need no shuffle of the events."""
+    days = written(found, "days")
+    return lookup_join(
+        events, days, on, how, spread_by=spread_by, measure=measure, broadcast_rows=BROADCAST_ROWS, policy=policy
+    )
+
+
 def match_valid(
     events: DataFrame,
     intervals: DataFrame,
@@ -152,7 +162,7 @@ def match_valid(
     that make it up (interval_nodes), a day the nodes above it, one a level, and the two share a
     node just where the interval contains the day. That join is on (key, node) and asks for each
     day of a key once, however many events have it; what it finds is joined back to the events by
-    (key, day), split where that is hot. Its rows are answers, whether intervals overlap or not.
+    (key, day), broadcast if that is small and else split where hot. Its rows are answers, whether intervals overlap or not.
     `measure` is a cheaper table with the same key and day columns as events.
     """
     base = events if measure is None else measure
@@ -179,7 +189,7 @@ def match_valid(
         days = day_nodes(_asked(base, key, day), "_d", bounds)
         found = days.join(interval_nodes(right, named[start], named[end], bounds), ["_k", "_level", "_node"])
     found = found.select(F.col("_k").alias(key), F.col("_d").alias(day), *named.values())
-    joined = skew_join(events, found, [key, day], how, spread_by=spread_by, measure=base, policy=policy)
+    joined = _by_day(events, found, [key, day], how, spread_by, base, policy)
     return joined.select(*events.columns, *[F.col(n).alias(c) for c, n in named.items()])
 
 
@@ -247,7 +257,7 @@ def latest_valid(
         .agg(F.max("_best").alias("_best"))
         .select(F.col("_k").alias(key), F.col("_d").alias(day), *[F.col(f"_best.{c}").alias(c) for c in take])
     )
-    joined = skew_join(events, found, [key, day], "left", spread_by=spread_by, measure=base, policy=policy)
+    joined = _by_day(events, found, [key, day], "left", spread_by, base, policy)
     return joined.select(*events.columns, *take)
 
 

@@ -275,6 +275,15 @@ def test_one_key_with_all_rows_makes_no_more_rows_than_its_answers(spark):
     assert best.filter("span = pmod(id, 3000) div 5").count() == 60_000
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_found_days_are_joined_back_without_a_broadcast(spark, monkeypatch, how):
+    events, spans, e, s = dated(spark, seed=13)
+    monkeypatch.setattr(intervals, "BROADCAST_ROWS", 0)
+    got = intervals.match_valid(e, s, "k", "day", "start", "end", how, spread_by=["id"], few=False, policy=EAGER)
+    want = [(ev[0], f[0]) for ev, found in brute(events, spans) for f in found or [(None,)] * (how == "left")]
+    assert sorted(map(str, rows(got, "id", "span"))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("most", [10_000, 20, 0])
 @pytest.mark.parametrize("broadcast_rows", [100, 0])
 def test_only_big_keys_take_the_other_way(spark, monkeypatch, most, broadcast_rows):
