@@ -237,8 +237,9 @@ def onboard(
     )
 
 
-def _appended(good: DataFrame, existing: DataFrame, key: str, schema, *more: str) -> DataFrame:
-    keyed = number_rows(good, ["request_seq"], key, start=next_key(existing, key))
+def _appended(good: DataFrame, existing: DataFrame | int, key: str, schema, *more: str) -> DataFrame:
+    start = existing if isinstance(existing, int) else next_key(existing, key)
+    keyed = number_rows(good, ["request_seq"], key, start=start)
     return S.shaped(keyed, schema) if not more else keyed.select(*schema.names, *more)
 
 
@@ -284,9 +285,9 @@ def create_assignments(
 
 
 def submit_reviews(
-    requests: DataFrame, reviews: DataFrame, employees: DataFrame | None = None, *, keep: tuple[str, ...] = ()
+    requests: DataFrame, reviews: DataFrame | int, employees: DataFrame | None = None, *, keep: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """(new review rows, rejected requests).
+    """(new review rows, rejected requests). `reviews` is the table, or the next key where that is known.
 
     Reviewer 0 means none, and the form's five scores are not stored. The reviewed employee must
     exist and the rating lie between 1 and 5. `keep` names request columns to carry along.

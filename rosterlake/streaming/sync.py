@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake import schemas as S
-from rosterlake.operators.numbering import next_key, number_rows
+from rosterlake.operators.numbering import number_rows
 from rosterlake.operators.ordering import latest
 from rosterlake.operators.skew import skew_join
 from rosterlake.operators.versions import (
@@ -31,15 +31,19 @@ def _now(table: DataFrame | Callable[[], DataFrame]) -> DataFrame:
     return table() if callable(table) else table
 
 
-def new_projects(dim_project: BatchTable) -> Batch:
-    """Every project not yet in the dimension goes into it under the next keys."""
+def new_projects(dim_project: BatchTable, *, once: bool = False) -> Batch:
+    """Every project not yet in the dimension goes into it under the next keys.
+
+    With once the stream has dropped its repeats (waiting.first_requests), and no stored row is read.
+    """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        stored = dim_project.rows(batch_id)
-        new = batch.select(*S.PROJECTS.names).dropDuplicates(["project_id"])
-        new = new.join(stored.select("project_id"), "project_id", "left_anti")
-        keyed = number_rows(new, ["project_id"], "project_sk", next_key(stored, "project_sk"))
-        dim_project.write(S.shaped(keyed, S.DIM_PROJECT), batch_id)
+        new = batch.select(*S.PROJECTS.names)
+        if not once:
+            new = new.dropDuplicates(["project_id"])
+            new = new.join(dim_project.rows(batch_id).select("project_id"), "project_id", "left_anti")
+        keyed = number_rows(new, ["project_id"], "project_sk", dim_project.next_key("project_sk", batch_id))
+        dim_project.write(S.shaped(keyed, S.DIM_PROJECT), batch_id, "project_sk")
 
     return process
 
@@ -49,30 +53,42 @@ def new_assignments(
     dim_employee: DataFrame | Callable[[], DataFrame],
     dim_project: DataFrame | Callable[[], DataFrame],
     rejected: BatchTable | None = None,
+    *,
+    once: bool = False,
 ) -> Batch:
     """A new assignment gets the employee's present version and the project's latest key.
 
     Unlike the batch load, which takes the version of the assigned date. Dimensions given as
     functions are read for every batch. An assignment whose employee or project is unknown goes to
-    the rejects with the reason; one that is stored already is passed over.
+    the rejects with the reason; one that is stored already is passed over. With once the stream has
+    dropped its repeats (waiting.first_requests), and no stored assignment is read. Columns
+    employee_known and project_known, as made by waiting.await_parent, decide what is unknown if
+    they are there: NULL means that the parent never came.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        stored = dim_assignment.rows(batch_id)
         present = latest(
             _now(dim_employee).filter("is_current = 1").select("employee_id", "employee_sk"), ["employee_id"], ["employee_sk"]
         )
         projects = latest(_now(dim_project).select("project_id", "project_sk"), ["project_id"], ["project_sk"])
-        new = batch.dropDuplicates(["assignment_id"]).join(stored.select("assignment_id"), "assignment_id", "left_anti")
+        new = batch
+        if not once:
+            stored = dim_assignment.rows(batch_id).select("assignment_id")
+            new = batch.dropDuplicates(["assignment_id"]).join(stored, "assignment_id", "left_anti")
         rows = skew_join(new, present, ["employee_id"], "left", spread_by=["assignment_id"])
         rows = skew_join(rows, projects, ["project_id"], "left", spread_by=["assignment_id"], measure=batch)
-        reason = F.when(F.col("employee_sk").isNull(), "unknown employee").when(F.col("project_sk").isNull(), "unknown project")
+        unknown = {
+            parent: F.col(f"{parent}_sk").isNull() | (~F.col(mark) if mark in batch.columns else F.lit(False))
+            for parent, mark in (("employee", "employee_known"), ("project", "project_known"))
+        }
+        reason = F.when(unknown["employee"], "unknown employee").when(unknown["project"], "unknown project")
         rows = written(rows.withColumn("reject_reason", reason), "judged")
         good = rows.filter("reject_reason is null")
-        keyed = number_rows(good, ["assignment_id"], "assignment_sk", next_key(stored, "assignment_sk"))
-        dim_assignment.write(S.shaped(keyed, S.DIM_ASSIGNMENT), batch_id)
+        keyed = number_rows(good, ["assignment_id"], "assignment_sk", dim_assignment.next_key("assignment_sk", batch_id))
+        dim_assignment.write(S.shaped(keyed, S.DIM_ASSIGNMENT), batch_id, "assignment_sk")
         if rejected is not None:
-            rejected.write(rows.filter("reject_reason is not null").select(*batch.columns, "reject_reason"), batch_id)
+            asked = [c for c in batch.columns if c not in ("employee_known", "project_known")]
+            rejected.write(rows.filter("reject_reason is not null").select(*asked, "reject_reason"), batch_id)
 
     return process
 
@@ -133,15 +149,19 @@ def new_hires(
     return process
 
 
-def new_reviews(reviews: BatchTable) -> Batch:
-    """Review requests get the next keys. Where the table stores request_seq, a request counts once."""
+def new_reviews(reviews: BatchTable, *, once: bool = False) -> Batch:
+    """Review requests get the next keys. Where the table stores request_seq, a request counts once.
+
+    With once the stream has dropped its repeats (waiting.first_requests), and no stored row is read.
+    """
     keep = ("request_seq",) if "request_seq" in reviews.schema.names else ()
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        stored = reviews.rows(batch_id)
-        if keep:
-            batch = batch.dropDuplicates(["request_seq"]).join(stored.select("request_seq"), "request_seq", "left_anti")
-        reviews.write(oltp.submit_reviews(batch, stored, keep=keep)[0], batch_id)
+        if keep and not once:
+            stored = reviews.rows(batch_id).select("request_seq")
+            batch = batch.dropDuplicates(["request_seq"]).join(stored, "request_seq", "left_anti")
+        added, _ = oltp.submit_reviews(batch, reviews.next_key("review_id", batch_id), keep=keep)
+        reviews.write(added, batch_id, "review_id")
 
     return process
 

@@ -2,35 +2,78 @@
 
 A retried batch replaces its own folder, and reads only the folders of earlier batches, so each
 batch counts once. One stream writes to one table.
+
+A batch that hands out keys leaves a mark: the rows and the highest key so far, observed while the batch
+was written. The next batch goes on from that one row, so no stored row is read to number new ones.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rosterlake.operators.numbering import next_key
 from rosterlake.operators.ordering import latest
 
 START = -1
+_MARK = T.StructType([T.StructField("n_rows", T.LongType()), T.StructField("last_key", T.LongType())])
 
 
 class BatchTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path, schema
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+    def write(self, df: DataFrame, batch_id: int, key: str | None = None) -> None:
+        """Write a batch; with a key column, leave a mark as well."""
+        if key is None:
+            df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+            return
+        n_rows, last_key = self.mark(key, batch_id)
+        seen = Observation(f"batch-{batch_id}")
+        observed = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.max(key).cast("long").alias("last_key"))
+        observed.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        found = seen.get
+        row = (n_rows + (found.get("n_rows") or 0), max(last_key, found.get("last_key") or 0))
+        self.spark.createDataFrame([row], _MARK).coalesce(1).write.mode("overwrite").parquet(f"{self._marks}/batch_id={batch_id}")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """All rows with their batch_id, or only those of batches before the given one."""
-        stored = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
+    def mark(self, key: str, before: int) -> tuple[int, int]:
+        """(rows, highest key) of all batches before the given one, from the mark of the last of them.
+
+        A table that was begun without marks is read once, by the first batch that leaves one.
+        """
+        marks = self._stored(f"{self._marks}/batch_id={before - 1}", _MARK)
+        if marks is None:
+            rows = self._stored(self._marks, T.StructType([*_MARK.fields, T.StructField("batch_id", T.LongType())]))
+            if rows is not None:
+                marks = rows.filter(F.col("batch_id") < before).orderBy(F.desc("batch_id")).limit(1)
+        found = None if marks is None else marks.first()
+        if found is None:
+            earlier = self.read(before)
+            return earlier.count(), next_key(earlier, key) - 1
+        return found["n_rows"], found["last_key"]
+
+    def next_key(self, key: str, before: int) -> int:
+        return self.mark(key, before)[1] + 1
+
+    @property
+    def _marks(self) -> str:
+        return f"{self.path}-marks"
+
+    def _stored(self, path: str, schema: T.StructType) -> DataFrame | None:
         try:
-            rows = self.spark.read.schema(stored).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            return None
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """All rows with their batch_id, or only those of batches before the given one."""
+        stored = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
+        rows = self._stored(self.path, stored)
+        if rows is None:
             rows = self.spark.createDataFrame([], stored)
         return rows if before is None else rows.filter(F.col("batch_id") < before)
 

@@ -1,13 +1,15 @@
 """Streams in several micro-batches, and retried batches."""
 
 import datetime as dt
+import shutil
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterlake import schemas as S
 from rosterlake.operators.versions import apply_to_history, judge_changes
 from rosterlake.session import new_path
-from rosterlake.streaming import sync
+from rosterlake.streaming import sync, waiting
 from rosterlake.streaming.tables import START, BatchTable, run_available
 
 
@@ -125,3 +127,98 @@ def test_hires_already_known_are_not_added_again(spark, warehouse):
 
 def test_reading_a_table_nobody_has_written(spark):
     assert table(spark, S.REVIEWS).rows().count() == 0
+
+
+def arriving(spark, schema, parts):
+    """A stream whose rows arrive in parts, and a function that lets the next part arrive."""
+    path = new_path(spark, "arriving")
+    spark.createDataFrame([], schema).write.parquet(path)
+    waiting_parts = iter(parts)
+
+    def step():
+        spark.createDataFrame(next(waiting_parts), schema).coalesce(1).write.mode("append").parquet(path)
+
+    return spark.readStream.schema(schema).parquet(path), step
+
+
+def at(day):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
+
+
+def test_a_child_waits_for_its_parent(spark):
+    child_rows = [[(1, 10, at(0)), (2, 20, at(0)), (3, 30, at(1)), (4, None, at(1))], [(5, 10, at(2)), (1, 10, at(2))], [(6, 40, at(4))], [(-1, -1, at(400))]]
+    parent_rows = [[(10, at(0))], [(99, at(2))], [(20, at(4)), (10, at(4))], [(30, at(60)), (40, at(3)), (-1, at(400))]]
+    children, next_children = arriving(spark, "id long, parent long, asked timestamp", child_rows)
+    parents, next_parents = arriving(spark, "parent long, came timestamp", parent_rows)
+    once = waiting.first_requests(children, ["id"], "asked", "3 days")
+    known = waiting.arrivals(parents, "parent", "came", "3 days")
+    judged = waiting.await_parent(once, known, "parent", "asked", "came", "10 days", "known")
+    progress, out = new_path(spark, "progress"), table(spark, T.StructType([*judged.schema.fields]))
+    seen = []
+    for _ in range(4):
+        next_children()
+        next_parents()
+        run_available(judged, lambda batch, i: out.write(batch.filter("id <> -1"), i), progress)
+        seen.append(sorted((r.id, r.known) for r in out.rows().collect()))
+    assert seen[0] == [(1, True)]
+    assert seen[1] == [(1, True), (5, True)]  # the request that came again counts once
+    assert seen[2] == [(1, True), (2, True), (5, True)]  # its parent came two batches later
+    # The rest is decided when the watermark has passed: 30 came too late, 4 has no parent, 40 came in time.
+    assert seen[3] == [(1, True), (2, True), (3, False), (4, False), (5, True), (6, True)]
+    # Nothing new arrived: a further run, and a replay of a batch, change nothing.
+    run_available(judged, lambda batch, i: out.write(batch.filter("id <> -1"), i), progress)
+    assert sorted((r.id, r.known) for r in out.rows().collect()) == seen[3]
+
+
+def test_early_assignments_are_keyed_when_their_employee_is_there(spark, warehouse):
+    employee = warehouse["dim_employee"].filter("is_current = 1").select("employee_id").first()[0]
+    project = warehouse["dim_project"].select("project_id").first()[0]
+    rows = [(1, employee, True, True), (2, employee, False, True), (3, employee, True, False), (4, 10**9, True, True)]
+    batch = spark.createDataFrame(rows, "assignment_id long, employee_id long, employee_known boolean, project_known boolean").withColumn("project_id", F.lit(project))
+    batch = S.shaped(batch.withColumns({"role_on_project": F.lit("x"), "allocation_ratio": F.lit(5), "assigned_date": F.lit(dt.date(2024, 1, 1)), "end_date": F.lit(None)}),
+                     S.T.StructType([*S.ASSIGNMENTS.fields, S.T.StructField("employee_known", S.T.BooleanType()), S.T.StructField("project_known", S.T.BooleanType())]))
+    out, bad = table(spark, S.DIM_ASSIGNMENT), table(spark, rejects(S.ASSIGNMENTS))
+    process = sync.new_assignments(out, warehouse["dim_employee"], warehouse["dim_project"], bad, once=True)
+    for _ in range(2):  # a retried batch counts once
+        process(batch, 0)
+        assert [(r.assignment_sk, r.assignment_id) for r in out.rows().collect()] == [(1, 1)]
+        assert {(r.assignment_id, r.reject_reason) for r in bad.rows().collect()} == {(2, "unknown employee"), (3, "unknown project"), (4, "unknown employee")}
+
+
+def test_no_batch_reads_what_earlier_ones_wrote(spark, warehouse):
+    """Ten batches with repeats; the folders of earlier batches are gone by the third."""
+    projects = warehouse["projects"].orderBy("project_id").limit(20).withColumn("at", F.lit(None).cast("timestamp"))
+    rows = [tuple(r) for r in projects.drop("at").collect()]
+    parts = [[(*r, at(i)) for r in rows[2 * i : 2 * i + 2] + rows[max(0, 2 * i - 2) : 2 * i]] for i in range(10)]
+    stream, step = arriving(spark, projects.schema, parts)
+    out, progress = table(spark, S.DIM_PROJECT), new_path(spark, "progress")
+    once = waiting.first_requests(stream, ["project_id"], "at", "5 days")
+    process, numbers = sync.new_projects(out, once=True), []
+
+    def kept(batch, i):
+        process(batch, i)
+        numbers.extend((r.project_sk, r.project_id) for r in out.read().filter(F.col("batch_id") == i).collect())
+        if i >= 1:
+            for folder in (out.path, out._marks):
+                shutil.rmtree(f"{folder.removeprefix('file:')}/batch_id={i - 1}")
+
+    for _ in range(10):
+        step()
+        run_available(once, kept, progress)
+    assert sorted(numbers) == [(i + 1, r[0]) for i, r in enumerate(rows)]
+
+
+def test_marks_hold_rows_and_highest_key(spark):
+    out = table(spark, T.StructType([T.StructField("k", T.LongType())]))
+    make = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k long")
+    out.write(make(1, 7), START)  # a table begun without marks is read once
+    assert out.mark("k", 0) == (2, 7)
+    for _ in range(2):
+        out.write(make(8, 9), 0, "k")
+    assert out.mark("k", 1) == (4, 9) and out.next_key("k", 1) == 10
+    out.write(make(), 1, "k")
+    assert out.mark("k", 2) == (4, 9)
+    assert out.mark("k", 9) == (4, 9)  # batch numbers may leave gaps
+    rows = out.rows().agg(F.count("*"), F.max("k")).first()
+    assert out.mark("k", 2) == tuple(rows)
+    assert table(spark, out.schema).mark("k", 0) == (0, 0)
