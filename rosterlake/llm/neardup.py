@@ -9,9 +9,11 @@ link counts only when the full sets reach the threshold.
 
 Steps: texts with equal sets are one node, so that any number of copies costs one row from there on.
 Each bucket's smallest node is compared with the others first, which joins most of a group of near
-copies. All pairs of different components that share a bucket are then compared in blocks of nodes:
-exactly, by matrix products inside tasks, of which only the links come out. No bucket is capped, and no
-task gets more than a block. Components come from joins alone.
+copies. Then all pairs of different components that share a bucket, and whose sizes allow a link, are
+compared: buckets are cut into cells of two neighbouring size classes, since a link cannot reach farther,
+equal cells of several bands count once, and a cell is compared exactly, by matrix products inside tasks, of
+which only the links come out. A cell above CHUNK nodes is dealt into blocks. No bucket is capped, and no task
+gets more than a block. Components come from joins alone.
 
 With 26 bands of 5 coordinates, two sets at a Jaccard similarity of 0.85 share no band with a
 probability of 2.5e-7, at 0.9 of 6e-11.
@@ -27,6 +29,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,12 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm.common import workers_import
+from rosterlake.operators.skew import SkewPolicy, skew_join
 from rosterlake.session import written
 
 BANDS, ROWS = 26, 5
 PLACES = 1 << 22
-#: Nodes that are compared with as many others in one block, and columns of its 0/1 matrices.
-CHUNK, COLUMNS = 256, 8_192
+#: Nodes, and shingles, that are compared with as many others in one block, and columns of its 0/1 matrices.
+CHUNK, CHUNK_SHINGLES, COLUMNS = 1_024, 4_000_000, 8_192
+#: Pairs of one hub in one task.
+HUB_PAIRS = 2_000
 #: Candidate documents of at most so many (8 bytes each) are sent to all executors to pick their texts.
 BROADCAST_ROWS = 500_000
 MOST_WORDS = 150_000
@@ -175,9 +181,10 @@ def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs whose full sets reach the threshold."""
+    """Those of the pairs (a, b) whose full sets reach the threshold; a hub's pairs are dealt into parts."""
     second = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("other")), "b")
-    both = second.join(sets.select(F.col("node").alias("a"), "own"), "a")
+    first = sets.select(F.col("node").alias("a"), "own")
+    both = skew_join(second, first, ["a"], spread_by=["b"], measure=pairs, policy=SkewPolicy(rows=HUB_PAIRS))
     common = F.size(F.array_intersect("own", "other"))
     union = F.size("own") + F.size("other") - common
     return both.filter(common * 100 >= union * percent).select("a", "b").distinct()
@@ -213,15 +220,15 @@ def common_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarr
 
 
 def _block_links(group: pa.Table, percent: int) -> pa.Table:
-    """Links between two chunks (columns a, b, chunk, node, root, own) that join different roots.
+    """Links between two parts of a cell (columns a, b, part, node, root, own) that join different roots.
 
     All pairs are compared; of the links, those that join what earlier ones have not are given.
     """
-    chunk, a, b = (group.column(c).to_numpy() for c in ("chunk", "a", "b"))
+    part, a, b = (group.column(c).to_numpy() for c in ("part", "a", "b"))
     node, root = group.column("node").to_pylist(), group.column("root").to_pylist()
     own = [np.asarray(x, dtype=np.int64) for x in group.column("own").to_numpy(zero_copy_only=False)]
-    left = np.flatnonzero(chunk == a[0])
-    right = left if a[0] == b[0] else np.flatnonzero(chunk == b[0])
+    left = np.flatnonzero(part == a[0])
+    right = left if a[0] == b[0] else np.flatnonzero(part == b[0])
     out: list[tuple[int, int]] = []
     if len(left) and len(right) and len(set(root)) > 1:
         sizes = np.array([len(x) for x in own])
@@ -244,33 +251,46 @@ def _block_links(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
+def _cells(members: DataFrame, percent: int) -> DataFrame:
+    """(cell, node, root, parts): the cells in which links between different roots may lie.
+
+    Sizes of linked sets differ by a factor of 100 / percent at most. Size classes grow by just that factor,
+    so linked nodes are of one class or of neighbouring ones: cell c of a bucket holds its nodes of classes
+    c and c - 1. A cell without a node of its own class, or with one root only, has nothing to find. Cells
+    with the same nodes, as neighbouring bands often make, are one.
+    """
+    # Rounded up by a little: no two sizes at the very bound may fall two classes apart.
+    step = math.log(100 / percent) * (1 + 1e-9)
+    of_size = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
+    placed = members.withColumn("class", of_size).withColumn("of", F.explode(F.array(F.col("class"), F.col("class") + 1)))
+    placed = placed.select(F.xxhash64("key", "of").alias("cell"), "node", "n", "root", (F.col("class") == F.col("of")).alias("own"))
+    mixed = F.xxhash64("node", F.lit("cell"))
+    cells = placed.groupBy("cell").agg(
+        F.count("*").alias("rows"),
+        F.sum("n").alias("shingles"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.bool_or("own").alias("owned"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.sum(mixed.cast("decimal(20,0)")).alias("s"),
+    )
+    cells = cells.filter((F.col("low") < F.col("high")) & F.col("owned")).groupBy("rows", "shingles", "x", "s").agg(F.min("cell").alias("cell"))
+    parts = F.greatest(F.ceil(F.col("rows") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    return placed.join(cells.select("cell", parts.alias("parts")), "cell").select("cell", "node", "root", "parts")
+
+
 def _links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different roots among all pairs that share a bucket. members: (key, node, root).
+    """Links between different roots among all pairs that share a bucket. members: (key, node, n, root).
 
-    Buckets all of whose members have one root are done. The nodes of the others are put into chunks of
-    about CHUNK: those of a frequent root with each other, the rest by their largest bucket. Chunks that
-    share a bucket are compared as blocks, which finds every link of two nodes that share a bucket; two
-    chunks of the same frequent root need no comparison. A block's pairs stay inside its task, and only
-    links come out.
+    A cell's nodes are dealt into parts, and each two parts, and each part with itself, are a block for one
+    task. A block's pairs stay inside its task, and only links come out.
     """
-    buckets = members.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ = written(members.join(buckets.filter("low < high").select("key", "rows"), "key"), "buckets")
-    largest = F.max(F.struct("rows", "key")).alias("home")
-    homes = open_.groupBy("node", "root").agg(largest)
-    often = homes.groupBy("root").agg(F.count("*").alias("nodes")).filter(F.col("nodes") >= CHUNK // 4)
-    homes = homes.join(often, "root", "left")
-    place = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / CHUNK))
-    by_root, by_home = F.xxhash64("root", place(F.col("nodes"))), F.xxhash64("home.key", F.lit("home"), place(F.col("home.rows")))
-    chunk = F.when(F.col("nodes").isNotNull(), by_root).otherwise(by_home)
-    only = F.when(F.col("nodes").isNotNull(), F.col("root"))
-    chunks = written(homes.select("node", "root", chunk.alias("chunk"), only.alias("only")), "chunks")
-    sides = written(open_.join(chunks.select("node", "chunk", "only"), "node").select("key", "chunk", "only").distinct(), "bucket-chunks")
-    one, other = (sides.select("key", F.col("chunk").alias(n), F.col("only").alias(f"only_{n}")) for n in ("a", "b"))
-    differ = F.coalesce(F.col("only_a") != F.col("only_b"), F.lit(True))
-    pairs = one.join(other, "key").filter((F.col("a") <= F.col("b")) & differ).select("a", "b").distinct()
-    both = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"))
-    rows = both.join(chunks.select("node", "root", "chunk").join(sets, "node"), "chunk")
-    return rows.groupBy("a", "b").applyInArrow(lambda group: _block_links(group, percent), "a long, b long")
+    cells = _cells(members, percent)
+    part = F.pmod(F.xxhash64("node", "cell"), F.col("parts").cast("long")).cast("int")
+    dealt = cells.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = dealt.select("cell", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"), "part", "node", "root")
+    rows = written(blocks, "blocks").join(sets, "node")
+    return rows.groupBy("cell", "a", "b").applyInArrow(lambda group: _block_links(group, percent), "a long, b long")
 
 
 def near_duplicates(
@@ -295,9 +315,9 @@ def near_duplicates(
     few = candidates.count() <= BROADCAST_ROWS
     texts = texts.join(F.broadcast(candidates) if few else candidates, "node", "left_semi")
     sets = written(shingle_sets(texts, size, "node", "text"), "sets")
-    links = written(_linked_pairs(_hub_pairs(members, percent), sets, percent), "links")
+    links = written(_linked_pairs(written(_hub_pairs(members, percent), "pairs"), sets, percent), "links")
     roots = written(components(links), "roots")
-    rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     more = written(_links_across(rooted, sets, percent), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
