@@ -24,7 +24,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rosterlake.llm.common import PieceArrays, chunks, workers_import
+from rosterlake.llm.common import PieceArrays, chunks, let_go, workers_import
 from rosterlake.llm.prefix_tokens import beyond_plain, byte_letters, class_of
 from rosterlake.session import new_path, written
 
@@ -105,6 +105,8 @@ def count_words(df: DataFrame, text: str = "text", *, path: str | None = None) -
                     yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())})
                     held.clear()
         yield pa.RecordBatch.from_pydict({"word": pa.array(held, pa.string()), "n": pa.array(held.values(), pa.int64())})
+        del t, held
+        let_go(word_tokenizer)
 
     return df.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -293,21 +295,30 @@ def encode(df: DataFrame, lexicon: str, text: str = "text", *, path: str | None
     workers_import(df.sparkSession)
 
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        found = list(encoder(path or vocabulary(), lexicon).many(t.as_py() for t in texts))
-        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = list(encoder(path or vocabulary(), lexicon).many(t.as_py() for t in texts))
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+        let_go(encoder, word_tokenizer)
 
     # Not to be repeated by the optimiser for every use of the column, such as decoding it again.
     return df.withColumn(name, ids.asNondeterministic()(F.col(text)))
 
 
 class Decoder:
+    """Joins tokens; the library's tokenizer is only kept where a list of tokens is not enough."""
+
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.token = [self.tokenizer.id_to_token(i) for i in range(size)]
-        self.plain = self.tokenizer.decoder is None and all(t is not None for t in self.token)
+        self.path = path
+        tokenizer = Tokenizer.from_file(path)
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        self.token = [tokenizer.id_to_token(i) for i in range(size)]
+        self.plain = tokenizer.decoder is None and all(t is not None for t in self.token)
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
     def decode(self, ids: np.ndarray) -> str:
         if not self.plain or (len(ids) and (ids.min() < 0 or ids.max() >= len(self.token))):
@@ -325,12 +336,14 @@ def decode(df: DataFrame, ids: str = "ids", *, path: str | None = None, name: st
     workers_import(df.sparkSession)
 
     @F.arrow_udf("string")
-    def text(arrays: pa.Array) -> pa.Array:
-        d = decoder(path or vocabulary())
-        values = arrays.values.to_numpy(zero_copy_only=False)
-        ends = arrays.offsets.to_numpy()
-        valid = arrays.is_valid().to_numpy(zero_copy_only=False)
-        return pa.array([d.decode(values[a:b]) if v else None for a, b, v in zip(ends, ends[1:], valid)], pa.string())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arrays in batches:
+            d = decoder(path or vocabulary())
+            values = arrays.values.to_numpy(zero_copy_only=False)
+            ends = arrays.offsets.to_numpy()
+            valid = arrays.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.array([d.decode(values[a:b]) if v else None for a, b, v in zip(ends, ends[1:], valid)], pa.string())
+        let_go(decoder)
 
     return df.withColumn(name, text(F.col(ids)))
 

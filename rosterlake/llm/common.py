@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -49,6 +52,20 @@ def chunks(texts: Iterable[str], most_chars: int = 1_000_000) -> Iterator[list[s
         yield held
 
 
+def let_go(*caches) -> None:
+    """Forget what functions have cached, and give the memory back to the system.
+
+    For the end of a task: Spark reuses a worker for the stages that follow, which have no use for it.
+    """
+    for cache in caches:
+        cache.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 class PieceArrays:
     """What a worker knows about pieces of text: an array of numbers for each, all in one buffer.
 
