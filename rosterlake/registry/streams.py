@@ -133,7 +133,7 @@ def _early_assignments(w: Warehouse) -> DataFrame:
         process = sync.new_assignments(out, lambda: w["dim_employee"], lambda: w["dim_project"], rejected, once=True)
         run_available(rows, lambda batch, i: process(batch.filter(F.col("assignment_id") != NOBODY).drop("arrived_at"), i), progress)
 
-    _in_parts(w, streams, "arrived_at", run)
+    _in_parts(w, streams, "arrived_at", run, parts=2)
     good = out.rows().select("assignment_id", "employee_sk", "project_sk", F.lit(None).cast("string").alias("reject_reason"))
     none = F.lit(None).cast("long")
     return good.unionByName(rejected.rows().select("assignment_id", none.alias("employee_sk"), none.alias("project_sk"), "reject_reason"))
