@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns documents with their columns; the last returns, for
 each document, the digests of its token ids. `run` writes each stage's result to the shared folder as
-Parquet and reads it for the next.
+Parquet and reads it for the next. Language ID and near-dedup name their own columns so that they meet none
+of the documents', whatever those are called; all of these come back as they were.
 
 SQL cannot state MinHash candidates, Markov models, hash draws or BPE merges, so ORACLE_SQL is None; the
 tests compare the stages with brute-force versions.
@@ -20,6 +21,14 @@ from rosterlake.session import written
 LEAST_SCORE = 0.1
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    """The name, or the name with underscores before it, that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no language: null, without letters, or far from every profile.
 
@@ -27,10 +36,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     letters go.
     """
     model = language.collect_model(language.learn(docs))
-    found = docs.withColumn("_language", language.prediction(model, F.col("text")))
+    own = _free_name(docs, "language")
+    found = docs.withColumn(own, language.prediction(model, F.col("text")))
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    kept = (F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_SCORE)
+    kept = (F.col(f"{own}.lang_pred") != language.UNKNOWN) & (F.col(f"{own}.score") >= LEAST_SCORE)
     return found.filter(kept).select(*docs.columns)
 
 
@@ -40,9 +50,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by a number, so null and repeated ids cost no other document. Texts without a
     word are linked with nothing and stay.
     """
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    dropped = neardup.near_duplicates(numbered, "_row").filter("not kept").select("_row")
-    return numbered.join(dropped, "_row", "left_anti").select(*docs.columns)
+    own = _free_name(docs, "row_number")
+    numbered = written(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    dropped = neardup.near_duplicates(numbered, own).filter("not kept").select(own)
+    return numbered.join(dropped, own, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
