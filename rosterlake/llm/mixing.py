@@ -210,9 +210,13 @@ def mixed_texts(df: DataFrame, *, text: str = "text", id_col: str = "doc_id", so
     """The mix as rows of df's columns: one row for each time that words of a document are taken.
 
     A row's text is the document's own if it is taken whole, else the taken words joined by blanks.
+    Columns beside text, id and source are carried in one struct, so their names can clash with nothing.
     """
     columns = df.columns
-    numbered = written(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    beside = [c for c in columns if c not in (text, id_col, source)]
+    carried = F.struct(*[F.col(f"`{c}`") for c in beside], F.lit(0).alias("_last")).alias("_carried")
+    packed = df.select(text, id_col, source, carried)
+    numbered = written(packed.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     _, parts = mix(numbered, text=text, id_col=id_col, source=source, row="_row", **options)
     last = F.sequence(F.lit(1).cast("long"), F.col("uses"))
     each = parts.withColumn("pass", F.explode(last))
@@ -225,4 +229,4 @@ def mixed_texts(df: DataFrame, *, text: str = "text", id_col: str = "doc_id", so
     joined = joined.withColumn("_pass", F.explode("passes")).withColumn("_words", F.when(F.col("_pass.taken") < word_count(F.col(text)), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))))
     cut = F.flatten(F.transform(F.col("_pass.ranges"), lambda r: F.slice(F.col("_words"), (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int"))))
     joined = joined.withColumn(text, F.when(F.col("_words").isNull(), F.col(text)).otherwise(F.array_join(cut, " ")))
-    return joined.select(*columns)
+    return joined.select(*[F.col("_carried").getField(c).alias(c) if c in beside else c for c in columns])

@@ -9,6 +9,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from compare import _sorted_rows, oracle
 from conftest import SMALL
 from rosterlake.llm import divergence, infill, notices, queries
@@ -222,3 +223,14 @@ def test_license_scan_of_a_table(spark, odd, documents):
     licensed = documents.filter(F.lower("text").rlike(r"licensed? under|licen[cs]e")).count()
     assert notices.summary(notices.scan(documents)).filter("labels <> ''").count() == licensed > 0
     assert notices.scan(odd.limit(0)).count() == 0
+
+
+def test_stages_leave_columns_with_clashing_names_alone(spark, documents):
+    names = ["language", "_language", "row_number", "_row_number", "_row", "kept", "component_id", "n_shingles", "lang_pred", "score", "_pass", "_words", "passes", "pass", "size"]
+    docs = documents.withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")) for n in names})
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix_sources):
+        plain, found = stage(spark, documents, SMALL), stage(spark, docs, SMALL)
+        assert found.columns == docs.columns
+        assert sorted(r.doc_id for r in found.select("doc_id").collect()) == sorted(r.doc_id for r in plain.select("doc_id").collect())
+        for n in names:
+            assert found.filter(F.col(n) != F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string"))).count() == 0
