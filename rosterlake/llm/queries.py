@@ -25,23 +25,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = new_path(spark, "warc")
     warc.write_archive(warc.with_revisits(pages), path)
-    captures = warc.assemble(warc.read_records(spark, path))
-    of = lambda c: F.col(f"response.{c}")
-    return captures.filter(of("kind").isNotNull()).select(
-        of("page_id").cast("long").alias("page_id"),
-        of("bytes").alias("payload_bytes"),
-        of("payload_digest").alias("payload_digest"),
-        of("kind").alias("record_type"),
-        of("refers_to").cast("long").alias("refers_to"),
-    )
+    return warc.described(warc.assemble(warc.read_records(spark, path)))
 
 
 OP2_SQL = """
-with p as (select page_id, coalesce(html, '') as payload from pages),
+with p as (select page_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') as target, coalesce(html, '') as payload from pages),
 m as (select payload, max(page_id) as holder from p where strlen(payload) >= 1000 group by payload)
 select p.page_id, cast(strlen(p.payload) as bigint) as payload_bytes, sha1(p.payload) as payload_digest,
  case when m.holder is null or m.holder is not distinct from p.page_id then 'response' else 'revisit' end as record_type,
- case when m.holder is distinct from p.page_id then m.holder end as refers_to
+ case when m.holder is distinct from p.page_id then m.holder end as refers_to,
+ nullif(p.target, '') as target_uri, 'GET ' || coalesce(p.target, '/') || ' HTTP/1.1' as request_line,
+ cast(strlen(p.payload) as bigint) as metadata_bytes, cast(1 as bigint) as n_requests, cast(1 as bigint) as n_metadata
 from p left join m on m.payload = p.payload"""
 
 
@@ -90,15 +84,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-#: Words in the host names of the pages that the list of op9 is made from (fixed values).
-LISTED_WORDS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-
-
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    named = urls.host_of(F.col("url")).rlike("|".join(LISTED_WORDS))
-    listed = pages.filter(named).select(urls.canonical(F.col("url")).alias("entry"))
-    return urls.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge(pages, urls.repeated(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP9_SQL = f"""
@@ -106,15 +94,18 @@ with a as (select page_id, case when strpos(url, '://') > 0 then substring(url,
 h as (select page_id,
  coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}'), '') as host,
  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from a),
-t as (select *, '.' || host as dotted from h),
-r as (select page_id, host, path,
+t as (select *, '.' || host as dotted,
+ case when starts_with(host, 'www.') then substring(host, 5) else host end
+  || rtrim(case when path like '%/index.html' then left(path, -10) when path like '%/index.htm' then left(path, -9) else path end, '/') as address
+ from h),
+r as (select page_id, host, path, case when host <> '' then address end as address,
  case when (dotted like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
   when dotted like '%.example.com' and starts_with(path, '/de/') then 'example.com/de/'
   when dotted like '%.org' and starts_with(path, '/fr/') then 'org/fr/'
   when dotted like '%.net' and starts_with(path, '/') then 'net/' end as rule from t)
 select page_id, host, path, rule,
  case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
-  when regexp_matches(host, '{"|".join(LISTED_WORDS)}') then 'block' else 'allow' end as verdict
+  when address in (select address from r where address is not null group by address having count(*) > 1) then 'block' else 'allow' end as verdict
 from r"""
 
 

@@ -13,6 +13,8 @@ Defined results
 * A rule fits its host and all subdomains if the path starts with the rule's path; the rule with the
   longest text wins. A url without a path fits no rule, since every rule's path begins with a slash.
 * Null entries of the list are left out; repeated ones count once. An empty list blocks nothing.
+* `repeated` lists the canonical urls that more than one row carries, whatever the scheme, query or
+  fragment of each; rows without a canonical url make no entry.
 * Repeated rows repeat. Columns host, path, rule and verdict of the input are replaced.
 """
 
@@ -100,6 +102,12 @@ def in_list(df: DataFrame, listed: DataFrame, url: str = "canonical") -> DataFra
     return hits.unionByName(probed.filter("not _possible").select(*df.columns, F.lit(False).alias("listed")))
 
 
+def repeated(df: DataFrame, url: str = "url") -> DataFrame:
+    """(entry): canonical urls that several rows carry; counted with partial sums, one shuffle of urls."""
+    entries = df.select(canonical(F.col(url)).alias("entry")).filter("entry is not null")
+    return entries.groupBy("entry").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("entry")
+
+
 def judge(df: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """df with host, path, rule and verdict: the rule's verdict, else block for listed urls."""
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]

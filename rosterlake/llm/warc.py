@@ -215,3 +215,27 @@ def assemble(records: DataFrame) -> DataFrame:
         F.max("target_uri").alias("target_uri"), *[main(c).alias(c) for c in names], side("request").alias("requests"), side("metadata").alias("metadata")
     )
     return joined.select("record_id", "target_uri", F.struct(*names).alias("response"), "requests", "metadata")
+
+
+def described(captures: DataFrame) -> DataFrame:
+    """A flat row for each capture that has a response: its digest, and what its request and metadata say.
+
+    request_line and metadata_bytes come from the first request and metadata record; where a capture has
+    none, they are null and n_requests or n_metadata is 0. A request or metadata record without its
+    response gives no row here; assemble() keeps it.
+    """
+    of = lambda c: F.col(f"response.{c}")
+    block = lambda side: F.get(side, F.lit(0))["block"]
+    stated = F.regexp_extract(block("metadata"), r"(?i)(?:^|\n)payload-bytes:[ \t]*(\d+)", 1)
+    return captures.filter(of("kind").isNotNull()).select(
+        of("page_id").cast("long").alias("page_id"),
+        of("bytes").alias("payload_bytes"),
+        of("payload_digest").alias("payload_digest"),
+        of("kind").alias("record_type"),
+        of("refers_to").cast("long").alias("refers_to"),
+        "target_uri",
+        F.regexp_extract(block("requests"), r"^([^\r\n]*)", 1).alias("request_line"),
+        F.when(stated != "", stated.cast("long")).alias("metadata_bytes"),
+        F.size("requests").cast("long").alias("n_requests"),
+        F.size("metadata").cast("long").alias("n_metadata"),
+    )

@@ -170,6 +170,20 @@ def test_warc_round_trip(spark):
         assert all(len(r.requests) == len(r.metadata) == 1 for r in found)
 
 
+def test_captures_describe_their_requests_and_metadata(spark):
+    df = spark.createDataFrame([(1, "http://a/b", "x" * 1200, None), (2, "a\nb", None, None), (3, None, "y", None)], PAGES)
+    path = new_path(spark, "warc-test")
+    warc.write_archive(warc.with_revisits(df), path)
+    records = warc.read_records(spark, path)
+    rows = {r.page_id: r for r in warc.described(warc.assemble(records)).collect()}
+    assert [(r.target_uri, r.request_line, r.metadata_bytes, r.n_requests, r.n_metadata) for _, r in sorted(rows.items())] == [
+        ("http://a/b", "GET http://a/b HTTP/1.1", 1200, 1, 1), ("a%0Ab", "GET a%0Ab HTTP/1.1", 0, 1, 1), (None, "GET / HTTP/1.1", 1, 1, 1),
+    ]
+    assert all(r.metadata_bytes == r.payload_bytes for r in rows.values())
+    alone = warc.described(warc.assemble(records.filter(warc.field("WARC-Type") == "response"))).collect()
+    assert {(r.n_requests, r.n_metadata, r.request_line, r.metadata_bytes) for r in alone} == {(0, 0, None, None)}
+
+
 def test_archives_are_bounded(spark):
     version = f"p{warc.END}{warc.BEGIN}Content-Length: 3{warc.END}abc{warc.END}"
     df = spark.range(2_500).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id) AS html").coalesce(1)
@@ -211,6 +225,15 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), listed).count() == 0
 
 
+def test_repeated_urls_are_listed(spark):
+    given = ["http://A.com/x/", "https://www.a.com/x?q", "http://a.com/y", "http://b.com", "http://b.com/index.html", None, None, "no", "no"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "page_id long, url string")
+    assert {r.entry for r in urls.repeated(df).collect()} == {"a.com/x", "b.com"}
+    blocked = {r.page_id for r in urls.judge(df, urls.repeated(df)).filter("verdict = 'block'").collect()}
+    assert blocked == {0, 1, 3, 4}
+    assert urls.repeated(df.limit(0)).count() == 0
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     entries = spark.range(20_000).select(F.concat(F.lit("h/"), "id").alias("entry"))
     asked = spark.range(40_000).select(F.concat(F.lit("h/"), "id").alias("canonical"))
