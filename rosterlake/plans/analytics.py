@@ -18,7 +18,8 @@ CURRENT_LABEL = "✅ Current"
 HISTORY_LABEL = "📜 History"
 
 
-def _rating_totals(fact: DataFrame, keys: list[str]) -> DataFrame:
+def rating_totals(fact: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of ratings that can be added up further."""
     return fact.groupBy(*keys).agg(
         F.count("*").alias("reviews"),
         F.count("performance_rating").alias("rated"),
@@ -56,7 +57,7 @@ def top_performers(fact: DataFrame, dim_employee: DataFrame, dim_department: Dat
     people = dim_employee.filter("is_current = 1").select(
         "employee_sk", "first_name", "last_name", "job_role", "job_level", "monthly_income"
     )
-    rated = _rating_totals(fact, ["employee_sk", "department_sk"]).join(people, "employee_sk")
+    rated = rating_totals(fact, ["employee_sk", "department_sk"]).join(people, "employee_sk")
     rated = lookup_join(
         rated,
         dim_department.select("department_sk", "department_name"),
@@ -80,10 +81,15 @@ def top_performers(fact: DataFrame, dim_employee: DataFrame, dim_department: Dat
 
 def yearly_trend(fact: DataFrame, dim_date: DataFrame, dim_department: DataFrame) -> DataFrame:
     """Mean rating and reviews per year and department."""
-    totals = _rating_totals(fact, ["date_sk", "department_sk"])
+    totals = rating_totals(fact, ["date_sk", "department_sk"])
     dated = lookup_join(totals, dim_date.select("date_sk", "year"), ["date_sk"], measure=totals)
+    return yearly_trend_of(dated, dim_department)
+
+
+def yearly_trend_of(sums: DataFrame, dim_department: DataFrame) -> DataFrame:
+    """The same from rating sums by year and department key, or by anything finer."""
     named = lookup_join(
-        dated, dim_department.select("department_sk", "department_name"), ["department_sk"], measure=totals
+        sums, dim_department.select("department_sk", "department_name"), ["department_sk"], measure=sums
     )
     return (
         named.groupBy("year", "department_name")
@@ -94,11 +100,14 @@ def yearly_trend(fact: DataFrame, dim_date: DataFrame, dim_department: DataFrame
 
 def yearly_change(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
     """Mean rating per year next to the year before; the change is taken between rounded means."""
-    totals = _rating_totals(fact, ["date_sk"])
-    yearly = (
-        lookup_join(totals, dim_date.select("date_sk", "year"), ["date_sk"], measure=totals)
-        .groupBy("year")
-        .agg(F.sum("reviews").alias("total_reviews"), F.round(_mean_rating(), 3).alias("avg_performance"))
+    totals = rating_totals(fact, ["date_sk"])
+    return yearly_change_of(lookup_join(totals, dim_date.select("date_sk", "year"), ["date_sk"], measure=totals))
+
+
+def yearly_change_of(sums: DataFrame) -> DataFrame:
+    """The same from rating sums by year, or by anything finer."""
+    yearly = sums.groupBy("year").agg(
+        F.sum("reviews").alias("total_reviews"), F.round(_mean_rating(), 3).alias("avg_performance")
     )
     # One row per calendar year: a single window over them is small.
     before = F.lag("avg_performance").over(Window.orderBy("year"))
@@ -119,10 +128,14 @@ def change_direction(changes: DataFrame) -> DataFrame:
 
 def quarterly_trend(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
     """Mean rating per quarter of the year, all years pooled."""
-    totals = _rating_totals(fact, ["date_sk"])
+    totals = rating_totals(fact, ["date_sk"])
+    return quarterly_trend_of(lookup_join(totals, dim_date.select("date_sk", "quarter"), ["date_sk"], measure=totals))
+
+
+def quarterly_trend_of(sums: DataFrame) -> DataFrame:
+    """The same from rating sums by quarter, or by anything finer."""
     return (
-        lookup_join(totals, dim_date.select("date_sk", "quarter"), ["date_sk"], measure=totals)
-        .groupBy("quarter")
+        sums.groupBy("quarter")
         .agg(F.round(_mean_rating(), 3).alias("avg_rating"), F.sum("reviews").alias("reviews"))
         .orderBy("quarter")
     )
@@ -134,7 +147,7 @@ def department_summary(dim_employee: DataFrame, fact: DataFrame) -> DataFrame:
     Income is averaged over an employee's reviews (one row when there are none), so somebody with
     k reviews weighs k times.
     """
-    totals = _rating_totals(fact, ["employee_sk"])
+    totals = rating_totals(fact, ["employee_sk"])
     people = dim_employee.filter("is_current = 1").select(
         "employee_sk", "employee_id", "department_name", "monthly_income"
     )

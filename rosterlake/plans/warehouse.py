@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 
+from rosterlake.operators import statistics
 from rosterlake.plans import oltp, star
-from rosterlake.session import written
+from rosterlake.schemas import UNIQUE_KEYS
+from rosterlake.session import new_path
 from rosterlake.sources import inputs
 
 
@@ -18,12 +23,28 @@ class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._tables: dict[str, DataFrame] = {}
+        self._figures: dict[str, DataFrame] = {}
+        self._made: dict[str, Any] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = written(self.build(name), name)
+            df, path = self.build(name), new_path(self.spark, name)
+            keys = statistics.whole_number_columns(df, [k[0] for k in UNIQUE_KEYS.get(name, []) if len(k) == 1])
+            self._tables[name] = statistics.write_measured(df, path, keys)
+            self._figures[name] = statistics.figures(self.spark, path)
         return self._tables[name]
 
+    def figures(self, name: str) -> DataFrame:
+        """Row count and highest keys of a table, kept since it was written."""
+        self[name]
+        return self._figures[name]
+
+    def once(self, name: str, make: Callable[[], Any]) -> Any:
+        """What make() gives, made when it is first asked for."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
     def many(self, *names: str) -> list[DataFrame]:
         return [self[n] for n in names]
 

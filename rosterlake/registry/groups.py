@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterlake import schemas as S
-from rosterlake.operators import checks
-from rosterlake.operators.numbering import first_n, next_key, number_rows
+from rosterlake.operators import checks, statistics
+from rosterlake.operators.numbering import first_n, number_rows
 from rosterlake.operators.ordering import latest, ranked
 from rosterlake.operators.skew import lookup_join, with_group_values
 from rosterlake.plans import analytics, synthesis
@@ -23,7 +23,7 @@ def _counts_sql(tables: list[str]) -> str:
     )
 
 
-add("d01_table_row_counts", lambda w: checks.row_counts({t: w[t] for t in _ALL if t != "dim_assignment"}), _counts_sql([t for t in _ALL if t != "dim_assignment"]))
+add("d01_table_row_counts", lambda w: statistics.row_counts({t: w.figures(t) for t in _ALL if t != "dim_assignment"}), _counts_sql([t for t in _ALL if t != "dim_assignment"]))
 add(
     "d02_distinct_counts",
     lambda w: w["staging_employees"].agg(
@@ -119,7 +119,7 @@ add(
 add(
     "d12_next_keys",
     lambda w: number_rows(
-        w["project_requests"].select("request_seq"), ["request_seq"], "project_sk", next_key(w["dim_project"], "project_sk")
+        w["project_requests"].select("request_seq"), ["request_seq"], "project_sk", statistics.next_key(w.figures("dim_project"), "project_sk")
     ),
     """select request_seq, (select coalesce(max(project_sk), 0) from dim_project) + row_number() over (order by request_seq) as project_sk
     from project_requests""",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterlake import schemas as S
-from rosterlake.operators import checks, rules
-from rosterlake.operators.versions import apply_to_employees, judge_changes, overlapping
+from rosterlake.operators import checks, differences, rules, statistics
+from rosterlake.operators.versions import apply_to_employees, apply_to_history, judge_changes, overlapping
 from rosterlake.plans import oltp
 from rosterlake.registry.core import add, define
+from rosterlake.session import written
 
 c = F.col
 
@@ -224,9 +225,34 @@ add(
      left join moved m on m.employee_id = e.employee_id) x
     where department_id <> version_department_id or job_role_id <> version_job_role_id""",
 )
+def _income_drift(w):
+    """After a batch of changes: employees keep the pay of before, their current version has the new one."""
+    accepted = judge_changes(*w.many("changes", "employee_job_history", "departments", "job_roles")).accepted
+    of = lambda df: df.select("employee_id", "department_id", "job_role_id", "monthly_income")
+    versions = of(apply_to_history(w["employee_job_history"], accepted).history.filter("is_current = 1"))
+    # Both are read twice, so the two results of the changes are written first, as a job that applies them would.
+    sides = [written(of(apply_to_employees(w["employees"], accepted)), "changed-employees"), written(versions, "changed-versions")]
+    found = differences.differing(*sides, ["employee_id"])
+    return found.filter("in_left and in_right").select(
+        "employee_id",
+        *[F.col(f"{side}.{n}").alias(f"{side}_{n}") for n in ("department_id", "job_role_id", "monthly_income") for side in ("left", "right")],
+    )
+
+
+add(
+    "l14_drift_after_changes",
+    _income_drift,
+    """select e.employee_id, coalesce(m.department_id, e.department_id) as left_department_id, h.department_id as right_department_id,
+     coalesce(m.job_role_id, e.job_role_id) as left_job_role_id, h.job_role_id as right_job_role_id,
+     e.monthly_income as left_monthly_income, h.monthly_income as right_monthly_income
+    from employees e join changed_history h on h.employee_id = e.employee_id and h.is_current = 1
+    left join moved m on m.employee_id = e.employee_id
+    where coalesce(m.department_id, e.department_id) is distinct from h.department_id
+     or coalesce(m.job_role_id, e.job_role_id) is distinct from h.job_role_id or e.monthly_income is distinct from h.monthly_income""",
+)
 add(
     "l15_row_count_report",
-    lambda w: checks.row_counts({t: w[t] for t in S.TABLES}),
+    lambda w: statistics.row_counts({t: w.figures(t) for t in S.TABLES}),
     " union all ".join(
         f"select '{t}' as table_name, count(*) as row_count, case when count(*) > 0 then 'loaded' else 'empty' end as status from {t}"
         for t in S.TABLES

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from rosterlake.plans import analytics
-from rosterlake.registry.core import add
+from rosterlake.plans.kept_reports import KeptRatings
+from rosterlake.plans.warehouse import Warehouse
+from rosterlake.registry.core import REGISTRY, add
+from rosterlake.session import new_path
+from rosterlake.streaming.tables import run_available
 
 FACT, EMP, DEPT, PROJ, DATE = "fact_performance_reviews", "dim_employee", "dim_department", "dim_project", "dim_date"
 
@@ -19,7 +23,7 @@ add(
     """with t as (select date_sk // 10000 as y, department_sk, count(*) as n, sum(performance_rating) as points, count(performance_rating) as rated
      from fact_performance_reviews group by all)
     select cast(y as int) as year, department_name, round(cast(points as double) / rated, 3) as avg_rating, n as reviews
-    from t natural join (select department_sk, department_name from dim_department)""",
+    from t join dim_department d on d.department_sk = t.department_sk""",
 )
 add("k04_yearly_change", lambda w: analytics.yearly_change(*w.many(FACT, DATE)), "select * from yearly_change")
 add(
@@ -76,3 +80,20 @@ add(
     """select employee_id, first_name || ' ' || last_name as name, effective_start_date, monthly_income from dim_employee
     where employee_id in (select employee_id from dim_employee group by employee_id having count(*) > 1)""",
 )
+
+
+def _kept(w: Warehouse) -> KeptRatings:
+    """Sums kept over a stream of facts, one file of them a batch."""
+
+    def make() -> KeptRatings:
+        kept = KeptRatings(w.spark, new_path(w.spark, "kept-ratings"), w[DATE])
+        stream = w.spark.readStream.schema(w[FACT].schema).option("maxFilesPerTrigger", 1).parquet(w.path(FACT))
+        run_available(stream, kept.add, new_path(w.spark, "progress-kept-ratings"))
+        return kept
+
+    return w.once("kept-ratings", make)
+
+
+add("k03_kept_yearly_trend", lambda w: _kept(w).yearly_trend(w[DEPT]), REGISTRY["k03_yearly_trend"].sql)
+add("k04_kept_yearly_change", lambda w: _kept(w).yearly_change(), REGISTRY["k04_yearly_change"].sql)
+add("k05_kept_quarterly_trend", lambda w: _kept(w).quarterly_trend(), REGISTRY["k05_quarterly_trend"].sql)
