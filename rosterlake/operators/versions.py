@@ -204,8 +204,17 @@ def apply_to_dimension(dim_employee: DataFrame, accepted: DataFrame, added: Data
     }
     old = _closed(dim_employee, _per_employee(accepted, _CHANGED), changed).drop("_touched")
     named = [
-        *("employee_sk employee_id department_name job_level monthly_income daily_rate hourly_rate".split()),
-        *("change_reason effective_start_date effective_end_date is_current".split()),
+        "employee_sk",
+        "employee_id",
+        "department_name",
+        "job_level",
+        "monthly_income",
+        "daily_rate",
+        "hourly_rate",
+        "change_reason",
+        "effective_start_date",
+        "effective_end_date",
+        "is_current",
     ]
     before = latest(of_employees(dim_employee, added), ["employee_id"], ["effective_end_date", "employee_sk"]).drop(
         *[c for c in named if c != "employee_id"], "job_role"

@@ -87,10 +87,9 @@ define(
     "project_load",
     """with used as (select project_id, count(*) as n, avg(cast(allocation_ratio as double)) as mean, cast(sum(allocation_ratio) as double) as total
  from assignments group by all)
-select project_name, coalesce((select min(department_name) from departments where department_id = projects.department_id), 'Unknown') as department_name,
- status, coalesce(n, 0) as assigned_employees, round(coalesce(mean, 0), 2) as avg_allocation_pct,
- round(coalesce(total, 0), 2) as total_allocation_pct
-from projects left join used using (project_id)""",
+select p.project_name, coalesce(d.department_name, 'Unknown') as department_name, p.status, coalesce(u.n, 0) as assigned_employees,
+ round(coalesce(u.mean, 0), 2) as avg_allocation_pct, round(coalesce(u.total, 0), 2) as total_allocation_pct
+from projects p left join departments d on d.department_id = p.department_id left join used u on u.project_id = p.project_id""",
 )
 add(
     "d09_nullable_count_and_defaults",
@@ -266,14 +265,12 @@ add(
 )
 define(
     "ranked_performers",
-    """with means as (select employee_sk, department_sk, avg(performance_rating) as mean from fact_performance_reviews group by all),
-m as (select first_name || ' ' || last_name as employee_name,
-  (select max(department_name) from dim_department where department_sk = means.department_sk) as department_name, job_role, job_level,
-  monthly_income, mean, round(mean, 2) as avg_rating
- from means join dim_employee using (employee_sk) where is_current = 1),
-steps as (select department_name, list_sort(list(distinct struct_pack(mean := mean, income := monthly_income)), 'desc') as best from m group by 1)
-select m.* exclude (mean), cast(list_position(best, struct_pack(mean := m.mean, income := m.monthly_income)) as bigint) as dept_rank
-from m join steps using (department_name)""",
+    """with means as (select employee_sk, department_sk, avg(performance_rating) as mean from fact_performance_reviews group by all)
+select e.first_name || ' ' || e.last_name as employee_name, d.department_name, e.job_role, e.job_level, e.monthly_income,
+ round(m.mean, 2) as avg_rating,
+ dense_rank() over (partition by d.department_name order by m.mean desc nulls last, e.monthly_income desc) as dept_rank
+from means m join dim_employee e on e.employee_sk = m.employee_sk join dim_department d on d.department_sk = m.department_sk
+where e.is_current = 1""",
 )
 add(
     "f04_top_n_per_group",
