@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from rosterlake import schemas as S
+from rosterlake.operators.parts import PartedTable
 from rosterlake.operators.skew import lookup_join
 from rosterlake.operators.versions import (
     apply_to_dimension,
@@ -16,7 +17,8 @@ from rosterlake.operators.versions import (
     mark_attrition,
 )
 from rosterlake.plans import analytics, oltp, star
-from rosterlake.registry.core import add, define
+from rosterlake.registry.core import REGISTRY, add, define
+from rosterlake.session import new_path, written
 
 c = F.col
 STAGED = ["staging_employees", "departments", "job_roles"]
@@ -244,6 +246,18 @@ add(
     lambda w: apply_to_history(w["employee_job_history"], _judged(w).accepted).history,
     "select * from changed_history",
 )
+
+
+def _history_in_parts(w):
+    """The same changes to a history in parts by employee: only parts with changed employees are written anew."""
+    history, accepted = w["employee_job_history"], written(_judged(w).accepted, "accepted")
+    table = PartedTable(w.spark, new_path(w.spark, "history-in-parts"), history.schema, ["employee_id"])
+    table.create(history)
+    table.rewrite(accepted, lambda rows: apply_to_history(rows, accepted, keys_from=history).history)
+    return table.rows()
+
+
+add("j16_changes_history_of_parts", _history_in_parts, REGISTRY["j16_changes_history"].sql)
 add(
     "j16_changes_dimension",
     _changed_dimension,
