@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from rosterlake import schemas as S
 from rosterlake.functions import chance, dates, pay, text
+from rosterlake.operators.fragments import FragmentIndex
 from rosterlake.operators.skew import lookup_join
 from rosterlake.plans import analytics, synthesis
-from rosterlake.registry.core import add
+from rosterlake.registry.core import REGISTRY, add
+from rosterlake.session import new_path
 
 c = F.col
 
@@ -122,6 +124,25 @@ add(
     ),
     "select employee_sk, coalesce(PerformanceRating, 0) as rating from staging_employees",
 )
+def _index(w, name, key, column):
+    """A substring index of one table, built once."""
+
+    def make():
+        index = FragmentIndex(w.spark, new_path(w.spark, f"{name}-index"), w[name].schema, key, column, parts=16)
+        index.build(w[name])
+        return index
+
+    return w.once(f"{name}-index", make)
+
+
+def _names(w):
+    return _index(w, "employees", "employee_id", text.full_name(c("first_name"), c("last_name")))
+
+
+def _projects(w):
+    return _index(w, "projects", "project_id", c("project_name"))
+
+
 add(
     "b15_name_search",
     lambda w: analytics.search_employees(w["employees"], w["departments"], w["job_roles"], "building customer#"),
@@ -131,6 +152,11 @@ add(
     where e.first_name || ' ' || e.last_name ilike '%building customer#%'
     order by e.first_name, e.last_name, e.employee_id limit 30""",
 )
+add(
+    "b15_name_search_by_index",
+    lambda w: analytics.search_employees(_names(w).search("building customer#"), w["departments"], w["job_roles"], "building customer#"),
+    REGISTRY["b15_name_search"].sql,
+)
 add(
     "b16_null_columns",
     lambda w: w["reviews"].select(
@@ -223,6 +249,11 @@ add(
     lambda w: w["projects"].filter(c("project_name").like("%ring%") | text.contains_fragment(c("project_name"), "BOLT")).select("project_id", "project_name"),
     "select project_id, project_name from projects where project_name like '%ring%' or project_name ilike '%bolt%'",
 )
+add(
+    "h04_like_by_index",
+    lambda w: _projects(w).search("ring").filter(c("project_name").like("%ring%")).union(_projects(w).search("BOLT")).distinct().select("project_id", "project_name"),
+    REGISTRY["h04_like"].sql,
+)
 add(
     "h05_email",
     lambda w: w["employees"].select(
