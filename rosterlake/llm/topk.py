@@ -14,10 +14,10 @@ by explicit numbers, so a task holds one block and one group. Each gives k rows
 k of those are the answer.
 
 Defined results
-* Vectors that are null or hold null or non-finite components take no part, nor do rows with a null
-  id, nor vectors with a component that is no long itself after scaling (2^63 or more).
+* Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id.
 * Scores are longs. If the largest norm of a query times the largest norm of a row says that one of those
-  that take part might not fit, an error is raised; no row is left out for it.
+  that take part might not fit, an error is raised; no row is left out for it. A component that is no long
+  itself after scaling (2^63 or more) counts as the largest, so it raises unless all queries are zeros.
 * Shorter vectors count as continued with zeros; an empty vector scores 0.
 * Fewer than k candidates: all of them. Ties: the smaller id. A query's own row is every row with its id.
 * Repeated rows are candidates one by one; a query that is repeated is answered once for each
@@ -44,9 +44,9 @@ LARGEST = 1 << 63
 def quantised(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
     """(id, values array<long>) of the rows that take part."""
     cells = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale))
-    exact = F.forall(F.col(vector), lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) < float(LARGEST)))
+    finite = F.forall(F.col(vector), lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     rows = df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
-    return rows.filter(exact).select(F.col(id_col).cast("long").alias("id"), cells.alias("values"))
+    return rows.filter(finite).select(F.col(id_col).cast("long").alias("id"), cells.alias("values"))
 
 
 def _norm(values: str) -> Column:

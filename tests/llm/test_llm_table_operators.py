@@ -110,7 +110,7 @@ def test_top_k_by_brute_force(spark):
     vectors = draw.normal(0, 0.4, (300, 7)).astype(np.float32)
     vectors[50:90] = vectors[3]
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
-    bad = [(1000, None), (1020, [None] * 7), (1040, [float("nan")] * 7), (1060, [float("inf")] * 7), (None, [0.5] * 7), (1080, [1e30] * 7)]
+    bad = [(1000, None), (1020, [None] * 7), (1040, [float("nan")] * 7), (1060, [float("inf")] * 7), (None, [0.5] * 7)]
     df = spark.createDataFrame(rows + bad + [(40, rows[40][1])], "vec_id long, embedding array<float>").withColumn("values", F.lit(1))
     found = topk.top_k(df, F.pmod("vec_id", F.lit(20)) == 0, 9, block_rows=64).collect()
     whole = np.floor(64 * vectors.astype(float)).astype(np.int64)
@@ -140,6 +140,13 @@ def test_top_k_keeps_large_vectors_and_refuses_what_no_score_can_hold(spark):
     assert [(r.vec_id, r.score) for r in found] == sorted(scores.items(), key=lambda x: -x[1])
     with pytest.raises(OverflowError):
         topk.top_k(df, F.col("vec_id") == 2, 20)
+    # A finite component that is no long itself takes part: it raises, and if all queries are zeros it scores 0.
+    huge = spark.createDataFrame([(5, [1e30, 3.0, 0.0]), (6, [-1e308, 0.0, 0.0]), (40, [0.0, 0.0, 0.0])], df.schema)
+    for rows in (df.unionByName(huge.filter("vec_id = 5")), df.unionByName(huge.filter("vec_id = 6"))):
+        with pytest.raises(OverflowError):
+            topk.top_k(rows, F.col("vec_id") == 20, 20)
+    found = topk.top_k(huge, F.col("vec_id") == 40, 20).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in found) == [(1, 5, 0), (2, 6, 0)]
 
 
 PAGES = "page_id long, url string, html string, payload string"
