@@ -14,7 +14,8 @@ tokens, the tokens of any truncation, without encoding again.
 Defined results
 * Null text counts as empty: 0 tokens, and one prefix (the empty one).
 * A prefix ends between two code points. Strings of special tokens in a text are one token each.
-* Texts of any length are counted whole; the array has one entry for each code point and one more.
+* Texts of any length are counted whole; the array has one entry for each code point and one more. A word
+  without a break takes time in proportion to its length.
 * Repeated rows repeat in the result. Output columns replace input columns of the same name.
 """
 
@@ -75,7 +76,6 @@ class PrefixCounter:
         to_bytes = lambda s: bytes(letters[c] for c in s)
         self.ids = {to_bytes(t): i for t, i in given["model"]["vocab"].items() if all(c in letters for c in t)}
         self.written = {i: t for t, i in given["model"]["vocab"].items()}
-        self.longest = max(map(len, self.ids))
         # The tokens read backwards as a tree: step[node, byte] is the next node, token[node] the token or -1.
         self.step: dict[int, int] = {}
         self.token = [-1]
@@ -105,29 +105,32 @@ class PrefixCounter:
         found = self.pairs[first << 20 | second] = [t.id for t in merged] == pair
         return found
 
-    def endings(self, window: bytes) -> list[tuple[int, int]]:
-        """(length, token) of the tokens that end the window, longest first."""
+    def endings(self, piece: bytes, end: int) -> list[tuple[int, int]]:
+        """(length, token) of the tokens that end piece[:end], longest first.
+
+        They are remembered by the last bytes where no longer token could end there.
+        """
         node, found = 0, []
-        for length, b in enumerate(reversed(window), 1):
-            node = self.step.get(node << 8 | b)
+        for length in range(1, end + 1):
+            node = self.step.get(node << 8 | piece[end - length])
             if node is None:
                 break
             if self.token[node] >= 0:
                 found.append((length, self.token[node]))
         else:
-            if len(window) == WINDOW:
-                found = None  # a longer token may end here as well
-        if found is not None:
-            found.reverse()
-            self.ends[window] = found
+            length = end + 1
+        found.reverse()
+        if length <= WINDOW or end < WINDOW:
+            if len(self.ends) >= MOST_ENDS:
+                self.ends.clear()
+            self.ends[piece[max(0, end - WINDOW) : end]] = found
         return found
 
     def bytes_counts(self, piece: bytes, counts: list[int], last: list[int]) -> None:
         """Go on to the end of the piece; counts and last tokens stand for some prefixes already."""
         ends, pairs = self.ends.get, self.pairs.get
         for end in range(len(counts), len(piece) + 1):
-            window = piece[max(0, end - WINDOW) : end]
-            found = ends(window) or self.endings(window) or self.all_endings(piece[:end])
+            found = ends(piece[max(0, end - WINDOW) : end]) or self.endings(piece, end)
             for length, token in found:
                 before = last[end - length]
                 fit = pairs(before << 20 | token)
@@ -138,16 +141,10 @@ class PrefixCounter:
             else:
                 raise ValueError("the vocabulary lacks a byte")
 
-    def all_endings(self, text: bytes) -> list[tuple[int, int]]:
-        lengths = range(min(len(text), self.longest), 0, -1)
-        return [(n, self.ids[text[-n:]]) for n in lengths if text[-n:] in self.ids]
-
     def learn(self, pieces: Iterable[str]) -> None:
         """Count the prefixes of pieces not yet known, those that begin alike one after the other."""
         pieces = set(pieces)
         new = sorted((p.encode(), p) for p in self.known.missing(pieces))
-        if len(self.ends) > MOST_ENDS:
-            self.ends.clear()
         counts, last, previous = [0], [-1], b""
         lengths: list[int] = []
         made: list[int] = []

@@ -48,6 +48,16 @@ def test_prefix_counts_equal_the_library_at_every_prefix():
     assert prefix_tokens.fits(counter.prefix_counts("one two three"), 2) == len("one two")
 
 
+def test_prefix_counts_of_one_word_without_a_break():
+    path = public_tokenizers.path(prefix_tokens.VOCABULARY)
+    counter, library = prefix_tokens.PrefixCounter(path), Tokenizer.from_file(path)
+    letters = np.random.default_rng(3).choice(list("abcdefghij"), 150_000)
+    for word in ("x" * 150_000, "".join(letters), "é" * 60_000):
+        counts = counter.prefix_counts(word)
+        for end in (1, 7, 8, 9, 17, 128, 129, 4_001, len(word)):
+            assert counts[end] == len(library.encode(word[:end], add_special_tokens=False).ids)
+
+
 def test_token_counts_of_a_table(spark, odd, documents):
     library = Tokenizer.from_file(public_tokenizers.path(prefix_tokens.VOCABULARY))
     for df in (odd, documents):
