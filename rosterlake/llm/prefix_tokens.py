@@ -39,9 +39,7 @@ from rosterlake.llm.common import PieceArrays, chunks, workers_import
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Entries that a worker keeps before it starts anew; bounds its memory.
-MOST_PIECES, MOST_PAIRS, MOST_ENDS = 400_000, 500_000, 200_000
-#: Bytes before a position by which the tokens that end there are remembered.
-WINDOW = 8
+MOST_PIECES, MOST_PAIRS, MOST_MOVES = 400_000, 500_000, 300_000
 
 #: Below this code point the pre-tokenizer's classes are spelled out for Python's own matcher; texts
 #: with higher ones are cut by the library's pre-tokenizer.
@@ -76,16 +74,30 @@ class PrefixCounter:
         to_bytes = lambda s: bytes(letters[c] for c in s)
         self.ids = {to_bytes(t): i for t, i in given["model"]["vocab"].items() if all(c in letters for c in t)}
         self.written = {i: t for t, i in given["model"]["vocab"].items()}
-        # The tokens read backwards as a tree: step[node, byte] is the next node, token[node] the token or -1.
+        # The tokens as a tree: step[node << 8 | byte] is the next node, token[node] the token or -1.
         self.step: dict[int, int] = {}
-        self.token = [-1]
+        self.token, edges, depth = [-1], [0], [0]
         for t, i in self.ids.items():
             node = 0
-            for b in reversed(t):
-                node = self.step.setdefault(node << 8 | b, len(self.token))
-                if node == len(self.token):
+            for length, b in enumerate(t, 1):
+                edge = node << 8 | b
+                node = self.step.setdefault(edge, len(edges))
+                if node == len(edges):
                     self.token.append(-1)
+                    edges.append(edge)
+                    depth.append(length)
             self.token[node] = i
+        # What has been read so far leads to the node of its longest end that begins a token; back[node] is the next
+        # shorter such end, and endings[node] are the (length, token) that end there, longest first.
+        self.back = [0] * len(edges)
+        self.endings: list[list[tuple[int, int]]] = [[]] * len(edges)
+        for node in sorted(range(1, len(edges)), key=depth.__getitem__):
+            if depth[node] > 1:
+                self.back[node] = self.move(self.back[edges[node] >> 8], edges[node] & 255)
+            own = [(depth[node], self.token[node])] if self.token[node] >= 0 else []
+            shorter = self.endings[self.back[node]]
+            self.endings[node] = own + shorter if own else shorter
+        self.moves: dict[int, int] = {}
         special = [t["content"] for t in given["added_tokens"] if t["special"]]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         letter, number, space = class_of("L"), class_of("N"), class_of("space")
@@ -93,7 +105,6 @@ class PrefixCounter:
             f" ?[{letter}]+| ?[{number}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
         )
         self.pairs: dict[int, bool] = {}
-        self.ends: dict[bytes, list[tuple[int, int]]] = {}
         self.known = PieceArrays(MOST_PIECES)
 
     def fit(self, first: int, second: int) -> bool:
@@ -105,33 +116,28 @@ class PrefixCounter:
         found = self.pairs[first << 20 | second] = [t.id for t in merged] == pair
         return found
 
-    def endings(self, piece: bytes, end: int) -> list[tuple[int, int]]:
-        """(length, token) of the tokens that end piece[:end], longest first.
-
-        They are remembered by the last bytes where no longer token could end there.
-        """
-        node, found = 0, []
-        for length in range(1, end + 1):
-            node = self.step.get(node << 8 | piece[end - length])
-            if node is None:
-                break
-            if self.token[node] >= 0:
-                found.append((length, self.token[node]))
-        else:
-            length = end + 1
-        found.reverse()
-        if length <= WINDOW or end < WINDOW:
-            if len(self.ends) >= MOST_ENDS:
-                self.ends.clear()
-            self.ends[piece[max(0, end - WINDOW) : end]] = found
-        return found
-
-    def bytes_counts(self, piece: bytes, counts: list[int], last: list[int]) -> None:
-        """Go on to the end of the piece; counts and last tokens stand for some prefixes already."""
-        ends, pairs = self.ends.get, self.pairs.get
+    def move(self, node: int, byte: int) -> int:
+        """The node after one more byte."""
+        while (to := self.step.get(node << 8 | byte)) is None and node:
+            node = self.back[node]
+        return to or 0
+
+    def moved(self, edge: int) -> int:
+        if len(self.moves) >= MOST_MOVES:
+            self.moves.clear()
+        node = self.moves[edge] = self.move(edge >> 8, edge & 255)
+        return node
+
+    def bytes_counts(self, piece: bytes, counts: list[int], last: list[int], nodes: list[int]) -> None:
+        """Go on to the end of the piece; counts, last tokens and nodes stand for some prefixes already."""
+        moves, pairs, endings, node = self.moves.get, self.pairs.get, self.endings, nodes[-1]
         for end in range(len(counts), len(piece) + 1):
-            found = ends(piece[max(0, end - WINDOW) : end]) or self.endings(piece, end)
-            for length, token in found:
+            edge = node << 8 | piece[end - 1]
+            node = moves(edge)
+            if node is None:
+                node = self.moved(edge)
+            nodes.append(node)
+            for length, token in endings[node]:
                 before = last[end - length]
                 fit = pairs(before << 20 | token)
                 if self.fit(before, token) if fit is None else fit:
@@ -145,7 +151,7 @@ class PrefixCounter:
         """Count the prefixes of pieces not yet known, those that begin alike one after the other."""
         pieces = set(pieces)
         new = sorted((p.encode(), p) for p in self.known.missing(pieces))
-        counts, last, previous = [0], [-1], b""
+        counts, last, nodes, previous = [0], [-1], [0], b""
         lengths: list[int] = []
         made: list[int] = []
         for raw, piece in new:
@@ -154,8 +160,8 @@ class PrefixCounter:
                 if a != b:
                     break
                 same += 1
-            del counts[same + 1 :], last[same + 1 :]
-            self.bytes_counts(raw, counts, last)
+            del counts[same + 1 :], last[same + 1 :], nodes[same + 1 :]
+            self.bytes_counts(raw, counts, last, nodes)
             previous = raw
             if len(raw) == len(piece):
                 own = counts[1:]
@@ -190,7 +196,7 @@ class PrefixCounter:
 
     def run_tokens(self, run: str) -> int:
         counts = [0]
-        self.bytes_counts(run.encode(), counts, [-1])
+        self.bytes_counts(run.encode(), counts, [-1], [0])
         return counts[-1]
 
     def cut(self, text: str) -> list[list[str]]:
