@@ -37,7 +37,7 @@ from rosterlake.llm.common import workers_import
 from rosterlake.session import written
 
 BLOCK_ROWS = 65_536
-QUERY_ROWS = 128
+QUERY_ROWS = 1_024
 LARGEST = 1 << 63
 
 
