@@ -124,6 +124,20 @@ def test_top_k_by_brute_force(spark):
     assert {r.query_id for r in found} == set(range(0, 300, 20))
 
 
+def test_top_k_of_several_query_groups_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    vectors = np.random.default_rng(5).normal(0, 0.4, (200, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = topk.top_k(df, F.pmod("vec_id", F.lit(10)) == 0, 5, block_rows=64).collect()
+    whole = np.floor(64 * vectors).astype(np.int64)
+    expected = []
+    for q in range(0, 200, 10):
+        scores = whole @ whole[q]
+        best = [i for i in np.lexsort((np.arange(200), -scores)) if i != q][:5]
+        expected += [(q, n, i, scores[i]) for n, i in enumerate(best, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == expected
+
+
 def test_top_k_of_few_ragged_and_no_vectors(spark):
     df = spark.createDataFrame([(20, [1.0, 2.0]), (1, [1.0]), (2, []), (3, [-1.0, 0.5])], "vec_id long, embedding array<float>")
     found = topk.top_k(df, F.col("vec_id") == 20, 20).collect()
