@@ -48,9 +48,12 @@ class PartedTable:
 
         change may alter and add rows, but keeps the keys that decide a row's part, and at least one row in each part.
         """
-        self._laid_out(change(self.touched(changes))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "part"
-        ).parquet(self.path)
+        self.replace(change(self.touched(changes)))
+
+    def replace(self, whole_parts: DataFrame) -> None:
+        """Put these rows in place of the stored ones of the same parts, of which they are all; other parts stay."""
+        overwrite = self._laid_out(whole_parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        overwrite.partitionBy("part").parquet(self.path)
 
     def update(self, changes: DataFrame) -> None:
         """Keyed update, as update_rows: changes has the keys, each once, and columns to replace, NULLs included."""

@@ -11,6 +11,7 @@ from rosterlake.registry.core import REGISTRY, add
 from rosterlake.registry.loads import AS_OF
 from rosterlake.session import new_path
 from rosterlake.streaming import sync, waiting
+from rosterlake.streaming.changing import ChangingTable
 from rosterlake.streaming.tables import START, BatchTable, run_available
 
 
@@ -175,6 +176,39 @@ add(
 )
 
 
+def _changes_in_parts(w: Warehouse, wanted: str) -> DataFrame:
+    """The changes of each third of the time arrive together; three tables in parts are changed in place."""
+    changes = w["changes"]
+    keys = {"history": ("employee_sk", "job_history_id")}
+    given = {"history": "employee_job_history", "dim_employee": "dim_employee", "employees": "employees"}
+    row_key = {"history": "employee_sk", "dim_employee": "employee_sk", "employees": "employee_id"}
+    tables = {n: ChangingTable(w.spark, new_path(w.spark, f"changing-{n}"), w[g].schema, row_key[n], numbered=keys.get(n, ()), parts=16) for n, g in given.items()}
+    for n, table in tables.items():
+        table.create(w[given[n]])
+    rejected = _table(w, "rejected", S.T.StructType([*changes.schema.fields, S.T.StructField("reject_reason", S.T.StringType())]))
+    process = sync.attribute_changes_in_parts(*tables.values(), rejected, w["departments"], w["job_roles"])
+    path, progress = new_path(w.spark, "incoming-changes"), new_path(w.spark, "progress-changes")
+    low, high = changes.agg(F.min("change_date"), F.max("change_date")).first()
+    third = F.least(F.lit(2), F.floor(F.datediff("change_date", F.lit(low)) * 3 / (F.datediff(F.lit(high), F.lit(low)) + 1)))
+    for n in range(3):
+        changes.filter(F.coalesce(third, F.lit(0)) == n).write.mode("append").parquet(path)
+        run_available(w.spark.readStream.schema(changes.schema).parquet(path), process, progress)
+    return tables[wanted].rows()
+
+
+# Keys are handed out batch by batch, so only the others can be compared with those of one batch.
+add(
+    "m3_history_in_parts",
+    lambda w: _changes_in_parts(w, "history").drop("employee_sk", "job_history_id"),
+    "select * exclude (employee_sk, job_history_id) from changed_history",
+)
+add(
+    "m3_dimension_in_parts",
+    lambda w: _changes_in_parts(w, "dim_employee").drop("employee_sk"),
+    f"select * exclude (employee_sk) from ({REGISTRY['j16_changes_dimension'].sql}) d",
+)
+
+
 def _hires(w: Warehouse) -> DataFrame:
     hires = w["hires"].schema
     rejected = _table(w, "rejected", S.T.StructType([*hires.fields, S.T.StructField("first_broken", S.T.StringType())]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rosterlake import schemas as S
 from rosterlake.operators.numbering import number_rows
 from rosterlake.operators.ordering import latest
-from rosterlake.operators.skew import skew_join
+from rosterlake.operators.skew import lookup_join, skew_join
 from rosterlake.operators.versions import (
     apply_to_dimension,
     apply_to_employees,
@@ -21,6 +21,7 @@ from rosterlake.operators.versions import (
 )
 from rosterlake.plans import oltp
 from rosterlake.session import written
+from rosterlake.streaming.changing import ChangingTable
 from rosterlake.streaming.tables import BatchTable
 
 Batch = Callable[[DataFrame, int], None]
@@ -127,6 +128,38 @@ def attribute_changes(
     return process
 
 
+def attribute_changes_in_parts(
+    history: ChangingTable,
+    dim_employee: ChangingTable,
+    employees: ChangingTable,
+    rejected: BatchTable,
+    departments: DataFrame,
+    job_roles: DataFrame,
+) -> Batch:
+    """attribute_changes for tables in parts by employee, of which a batch reads and rewrites those of its employees.
+
+    history hands out employee_sk and job_history_id, and its mark says that all three tables are staged.
+    An employee without a row, a change that comes late and a batch that changes nothing are treated as there.
+    """
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        batch = written(batch, "change-batch")
+        if not history.is_staged(batch_id):
+            versions = of_employees(history.touched(batch), batch)
+            judged = judge_changes(batch, versions, departments, job_roles)
+            applied = apply_to_history(versions, judged.accepted, keys_from=history.highest(batch_id))
+            dimension = of_employees(dim_employee.touched(batch), batch)
+            moved = lookup_join(employees.touched(batch), batch.select("employee_id").distinct(), ["employee_id"], "left_semi")
+            rejected.write(judged.rejected, batch_id)
+            employees.stage(batch, apply_to_employees(moved, judged.accepted), batch_id)
+            dim_employee.stage(batch, apply_to_dimension(dimension, judged.accepted, applied.added), batch_id)
+            history.stage(batch, applied.touched, batch_id)
+        for table in (employees, dim_employee, history):
+            table.put_in_place()
+
+    return process
+
+
 def new_hires(
     employees: BatchTable,
     history: BatchTable,

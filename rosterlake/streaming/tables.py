@@ -69,6 +69,10 @@ class BatchTable:
                 raise
             return None
 
+    def one(self, batch_id: int) -> DataFrame | None:
+        """The rows that one batch wrote, or None if it wrote nothing. No other batch's files are listed."""
+        return self._stored(f"{self.path}/batch_id={batch_id}", self.schema)
+
     def read(self, before: int | None = None) -> DataFrame:
         """All rows with their batch_id, or only those of batches before the given one."""
         stored = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
