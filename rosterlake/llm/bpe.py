@@ -290,6 +290,12 @@ def encoder(path: str, lexicon: str) -> Encoder:
     return Encoder(path, Lexicon.mapped(SparkFiles.get(lexicon)))
 
 
+def _ids(texts: pa.Array, path: str, lexicon: str) -> pa.ListArray:
+    found = list(encoder(path, lexicon).many(t.as_py() for t in texts))
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+
+
 def encode(df: DataFrame, lexicon: str, text: str = "text", *, path: str | None = None, name: str = "ids") -> DataFrame:
     """df with the text's token ids."""
     workers_import(df.sparkSession)
@@ -297,9 +303,7 @@ def encode(df: DataFrame, lexicon: str, text: str = "text", *, path: str | None
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = list(encoder(path or vocabulary(), lexicon).many(t.as_py() for t in texts))
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+            yield _ids(texts, path or vocabulary(), lexicon)
         let_go(encoder, word_tokenizer)
 
     # Not to be repeated by the optimiser for every use of the column, such as decoding it again.
@@ -331,6 +335,14 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+def _texts(arrays: pa.ListArray, path: str) -> pa.Array:
+    d = decoder(path)
+    values = arrays.values.to_numpy(zero_copy_only=False)
+    ends = arrays.offsets.to_numpy()
+    valid = arrays.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array([d.decode(values[a:b]) if v else None for a, b, v in zip(ends, ends[1:], valid)], pa.string())
+
+
 def decode(df: DataFrame, ids: str = "ids", *, path: str | None = None, name: str = "decoded") -> DataFrame:
     """df with the text that the ids stand for; null ids give null."""
     workers_import(df.sparkSession)
@@ -338,16 +350,34 @@ def decode(df: DataFrame, ids: str = "ids", *, path: str | None = None, name: st
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arrays in batches:
-            d = decoder(path or vocabulary())
-            values = arrays.values.to_numpy(zero_copy_only=False)
-            ends = arrays.offsets.to_numpy()
-            valid = arrays.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.array([d.decode(values[a:b]) if v else None for a, b, v in zip(ends, ends[1:], valid)], pa.string())
+            yield _texts(arrays, path or vocabulary())
         let_go(decoder)
 
     return df.withColumn(name, text(F.col(ids)))
 
 
+def encode_and_decode(
+    df: DataFrame, lexicon: str, text: str = "text", *, path: str | None = None, ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """df with the text's token ids and the text that these stand for, both by one worker for each task.
+
+    encode and then decode keep two workers for a task, which Spark goes on using in turn for all that follows.
+    """
+    workers_import(df.sparkSession)
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = _ids(texts, path or vocabulary(), lexicon)
+            yield pa.StructArray.from_arrays([found, _texts(found, path or vocabulary())], names=["ids", "decoded"])
+        let_go(encoder, word_tokenizer, decoder)
+
+    beside = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (ids.lower(), decoded.lower())]
+    own = "_" + max(df.columns, key=len)  # longer than every other name, so there is none like it
+    coded = df.select(*beside, both.asNondeterministic()(F.col(text)).alias(own))
+    return coded.select(*beside, F.col(f"`{own}`.ids").alias(ids), F.col(f"`{own}`.decoded").alias(decoded))
+
+
 def digests(coded: DataFrame, *keys: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """keys, n_tokens, and the SHA-256 of the ids (decimal, joined by a blank) and of the decoded text."""
     joined = F.array_join(F.col(ids).cast("array<string>"), " ")

@@ -87,6 +87,17 @@ def test_bpe_equals_the_library(spark, odd, documents):
     assert bpe.encode(empty, bpe.build_lexicon(empty)).count() == 0
 
 
+def test_one_worker_encodes_and_decodes_alike(spark, odd, documents):
+    df = odd.unionByName(documents, allowMissingColumns=True).select("text").withColumn("_text", F.lit(1)).withColumn("IDS", F.lit("x"))
+    lexicon = bpe.build_lexicon(df)
+    both = bpe.encode_and_decode(df, lexicon)
+    assert sorted(both.columns) == ["_text", "decoded", "ids", "text"]
+    two = bpe.decode(bpe.encode(df.drop("IDS"), lexicon))
+    assert bpe.digests(both, "text").exceptAll(bpe.digests(two, "text")).isEmpty()
+    assert both.count() == df.count()
+    assert bpe.encode_and_decode(df.limit(0), lexicon).count() == 0
+
+
 def test_lexicon_is_minimal_and_finds_just_its_words():
     words = sorted({a + b for a in ("walk", "talk", "balk") for b in ("", "s", "ed", "ing")} | {"é", "ééé"}, key=str.encode)
     made = bpe.Lexicon.compiled(words, [[i, i + 1] for i in range(len(words))])
