@@ -70,8 +70,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and the digests of ids and decoded text."""
-    coded = bpe.encode(docs, bpe.build_lexicon(docs)).select("doc_id", "source", "ids")
-    return bpe.digests(bpe.decode(coded), "doc_id", "source")
+    coded = bpe.encode_and_decode(docs.select("doc_id", "source", "text"), bpe.build_lexicon(docs))
+    return bpe.digests(coded, "doc_id", "source")
 
 
 STAGES = [
