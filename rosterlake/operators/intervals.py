@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.operators.skew import BROADCAST_ROWS, DEFAULT, SkewPolicy, lookup_join, skew_join
+from rosterlake.operators.skew import BROADCAST_ROWS, DEFAULT, SkewPolicy, fits_broadcast, skew_join
 from rosterlake.session import written
 
 # Keys with at most this many events, intervals, and pairs of the two are matched in one piece.
@@ -101,6 +101,9 @@ def interval_nodes(intervals: DataFrame, start: str, end: str, bounds: tuple[dt.
     after the first. Any interval is made up of at most two nodes of each level, and no two of its
     nodes share a day. Adds _level and _node. An open end (NULL or a far sentinel) is clipped to the
     bounds; an interval outside of them has no rows.
+
+    Spark takes the nodes for as few as the intervals, so a join to them has to ask for a merge, or it
+    may broadcast them all.
     """
     low, high = (F.lit(b) for b in bounds)
     first = F.datediff(F.greatest(F.col(start), low), low)
@@ -136,9 +139,10 @@ def _by_day(
 ) -> DataFrame:
     """Answers per key and day, written once, at each event: few days of few keys need no shuffle of the events."""
     days = written(found, "days")
-    return lookup_join(
-        events, days, on, how, spread_by=spread_by, measure=measure, broadcast_rows=BROADCAST_ROWS, policy=policy
-    )
+    if fits_broadcast(days, days.count(), BROADCAST_ROWS):
+        return events.join(F.broadcast(days), on, how)
+    # Counted as too many, which the size of their compressed files does not show.
+    return skew_join(events, days.hint("merge"), on, how, spread_by=spread_by, measure=measure, policy=policy)
 
 
 def match_valid(
@@ -187,7 +191,8 @@ def match_valid(
         found = right.filter(F.lit(False)).withColumn("_d", F.col(named[start]))
     else:
         days = day_nodes(_asked(base, key, day), "_d", bounds)
-        found = days.join(interval_nodes(right, named[start], named[end], bounds), ["_k", "_level", "_node"])
+        nodes = interval_nodes(right, named[start], named[end], bounds)
+        found = days.join(nodes.hint("merge"), ["_k", "_level", "_node"])
     found = found.select(F.col("_k").alias(key), F.col("_d").alias(day), *named.values())
     joined = _by_day(events, found, [key, day], how, spread_by, base, policy)
     return joined.select(*events.columns, *[F.col(n).alias(c) for c, n in named.items()])
@@ -252,7 +257,7 @@ def latest_valid(
     )
     found = (
         day_nodes(_asked(base, key, day), "_d", bounds)
-        .join(best, ["_k", "_level", "_node"])
+        .join(best.hint("merge"), ["_k", "_level", "_node"])
         .groupBy("_k", "_d")
         .agg(F.max("_best").alias("_best"))
         .select(F.col("_k").alias(key), F.col("_d").alias(day), *[F.col(f"_best.{c}").alias(c) for c in take])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.operators import checks, intervals, numbering, ordering, skew
 from rosterlake.operators.skew import SkewPolicy
+from rosterlake.session import written
 
 D = dt.date
 EAGER = SkewPolicy(rows=5)
@@ -284,6 +285,26 @@ def test_found_days_are_joined_back_without_a_broadcast(spark, monkeypatch, how)
     assert sorted(map(str, rows(got, "id", "span"))) == sorted(map(str, want))
 
 
+def test_nodes_and_many_found_days_are_not_broadcast(spark, monkeypatch):
+    """Small files say nothing about the rows that intervals and days become."""
+    _, _, e, s = dated(spark)
+    e, s = written(e, "events"), written(s, "spans")
+    plans = []
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(intervals, "written", seen)
+    monkeypatch.setattr(intervals, "BROADCAST_ROWS", 0)
+    got = [
+        intervals.match_valid(e, s, "k", "day", "start", "end", few=False),
+        intervals.latest_valid(e, s, "k", "day", "start", "end", ["start", "span"], ["span"], few=False),
+    ]
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in got]
+    assert len(plans) == 4 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 @pytest.mark.parametrize("most", [10_000, 20, 0])
 @pytest.mark.parametrize("broadcast_rows", [100, 0])
 def test_only_big_keys_take_the_other_way(spark, monkeypatch, most, broadcast_rows):
