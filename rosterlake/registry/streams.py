@@ -12,7 +12,7 @@ from rosterlake.registry.loads import AS_OF
 from rosterlake.session import new_path
 from rosterlake.streaming import sync, waiting
 from rosterlake.streaming.changing import ChangingTable
-from rosterlake.streaming.tables import START, BatchTable, run_available
+from rosterlake.streaming.tables import START, BatchTable, run_available, state_parts
 
 
 def _stream(w: Warehouse, name: str) -> DataFrame:
@@ -35,10 +35,12 @@ def _in_parts(w: Warehouse, streams: dict[str, DataFrame], time: str, run, parts
 
     Each table is a stream that starts empty. A last part closes the books: its only row, with the
     number NOBODY, moves the watermark past all that still waits. The job has to leave it out after the
-    stateful steps, for a filter before them would be pushed below the watermark.
+    stateful steps, for a filter before them would be pushed below the watermark. run gets the streams and
+    the number of parts for their state, by the rows of the largest of them.
     """
     paths = {n: new_path(w.spark, f"incoming-{n}") for n in streams}
-    bounds = [df.agg(F.min(time), F.max(time)).first() for df in streams.values()]
+    bounds = [df.agg(F.min(time), F.max(time), F.count(F.lit(1))).first() for df in streams.values()]
+    state = state_parts(w.spark, max(b[2] for b in bounds))
     low, high = min(b[0] for b in bounds if b[0]), max(b[1] for b in bounds if b[1])
     cuts = [low + (high - low) * i / parts for i in range(1, parts)]
     which = sum((F.when(F.col(time) >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
@@ -49,7 +51,7 @@ def _in_parts(w: Warehouse, streams: dict[str, DataFrame], time: str, run, parts
             closing[time] = F.lit(high) + F.expr("interval 100 years")
             rows = df.filter(which == part) if part < parts else w.spark.range(1).select(*[v.alias(c) for c, v in closing.items()])
             rows.write.mode("append").parquet(paths[n])
-        run(opened)
+        run(opened, state)
 
 
 def _at(day: str):
@@ -73,10 +75,10 @@ def _projects_once(w: Warehouse) -> DataFrame:
     times = F.explode(F.array(*[first + F.expr(f"interval {n} days") for n in range(3)]))
     given = w["projects"].withColumn("requested_at", times)
 
-    def run(opened: dict[str, DataFrame]) -> None:
+    def run(opened: dict[str, DataFrame], state: int) -> None:
         once = waiting.first_requests(opened["projects"], ["project_id"], "requested_at", "30 days")
         process = sync.new_projects(out, once=True)
-        run_available(once, lambda batch, i: process(batch.filter(F.col("project_id") != NOBODY), i), progress)
+        run_available(once, lambda batch, i: process(batch.filter(F.col("project_id") != NOBODY), i), progress, state)
 
     _in_parts(w, {"projects": given}, "requested_at", run)
     return out.rows().drop("project_sk")
@@ -126,13 +128,13 @@ def _early_assignments(w: Warehouse) -> DataFrame:
     }
     progress = new_path(spark, "progress-early-assignments")
 
-    def run(opened: dict[str, DataFrame]) -> None:
+    def run(opened: dict[str, DataFrame], state: int) -> None:
         rows = waiting.first_requests(opened["assignments"], ["assignment_id"], "arrived_at", "1 day")
         for parent, key in (("employee", "employee_id"), ("project", "project_id")):
             known = waiting.arrivals(opened[f"{parent}s"], key, "arrived_at", "1 day")
             rows = waiting.await_parent(rows, known, key, "arrived_at", "arrived_at", f"{WAIT_DAYS} days", f"{parent}_known")
         process = sync.new_assignments(out, lambda: w["dim_employee"], lambda: w["dim_project"], rejected, once=True)
-        run_available(rows, lambda batch, i: process(batch.filter(F.col("assignment_id") != NOBODY).drop("arrived_at"), i), progress)
+        run_available(rows, lambda batch, i: process(batch.filter(F.col("assignment_id") != NOBODY).drop("arrived_at"), i), progress, state)
 
     _in_parts(w, streams, "arrived_at", run, parts=2)
     good = out.rows().select("assignment_id", "employee_sk", "project_sk", F.lit(None).cast("string").alias("reject_reason"))
@@ -230,10 +232,10 @@ def _reviews_once(w: Warehouse) -> DataFrame:
     sent = F.explode(F.array(*[_at("review_date") + F.expr(f"interval {n} hours") for n in (0, 20)]))
     given = w["review_requests"].withColumn("sent_at", sent)
 
-    def run(opened: dict[str, DataFrame]) -> None:
+    def run(opened: dict[str, DataFrame], state: int) -> None:
         once = waiting.first_requests(opened["requests"], ["request_seq"], "sent_at", "7 days")
         process = sync.new_reviews(out, once=True)
-        run_available(once, lambda batch, i: process(batch.filter(F.col("request_seq") != NOBODY).drop("sent_at"), i), progress)
+        run_available(once, lambda batch, i: process(batch.filter(F.col("request_seq") != NOBODY).drop("sent_at"), i), progress, state)
 
     _in_parts(w, {"requests": given}, "sent_at", run)
     return out.rows().select("employee_id", "reviewer_id", "review_date", "performance_rating")

@@ -32,6 +32,11 @@ def _now(table: DataFrame | Callable[[], DataFrame]) -> DataFrame:
     return table() if callable(table) else table
 
 
+def _once_only(batch: DataFrame, once: bool) -> DataFrame:
+    """The batch of a stream with state, written: every action on it would run the steps with state anew."""
+    return written(batch, "stateful-batch") if once else batch
+
+
 def new_projects(dim_project: BatchTable, *, once: bool = False) -> Batch:
     """Every project not yet in the dimension goes into it under the next keys.
 
@@ -39,7 +44,7 @@ def new_projects(dim_project: BatchTable, *, once: bool = False) -> Batch:
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select(*S.PROJECTS.names)
+        new = _once_only(batch, once).select(*S.PROJECTS.names)
         if not once:
             new = new.dropDuplicates(["project_id"])
             new = new.join(dim_project.rows(batch_id).select("project_id"), "project_id", "left_anti")
@@ -68,6 +73,7 @@ def new_assignments(
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        batch = _once_only(batch, once)
         present = latest(
             _now(dim_employee).filter("is_current = 1").select("employee_id", "employee_sk"), ["employee_id"], ["employee_sk"]
         )

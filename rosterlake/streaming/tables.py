@@ -93,12 +93,37 @@ class BatchTable:
         other.write(self.newest(key), START)
 
 
-def run_available(stream: DataFrame, process, checkpoint: str) -> None:
-    """Run process(batch, batch_id) over everything that is there now, then stop."""
-    query = (
-        stream.writeStream.foreachBatch(process)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+# A step with state keeps its keys in so many parts that each has at most about this many rows of a run.
+STATE_ROWS = 100_000
+
+
+def state_parts(spark: SparkSession, rows: int) -> int:
+    """Into how many parts steps with state should divide their keys, for a stream of so many rows.
+
+    Each part of each step commits files of its own with every micro-batch, however few rows it has, so few rows
+    get no more parts than there are cores.
+    """
+    cores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(cores, -(-rows // STATE_ROWS))
+
+
+def run_available(stream: DataFrame, process, checkpoint: str, parts: int | None = None) -> None:
+    """Run process(batch, batch_id) over everything that is there now, then stop.
+
+    parts is for the steps with state (state_parts) and holds as long as the checkpoint does: later runs keep that of the first.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    usual = conf.get(name)
+    try:
+        if parts is not None:
+            conf.set(name, str(parts))
+        query = (
+            stream.writeStream.foreachBatch(process)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        # A started query has its own copy of the settings.
+        conf.set(name, usual)
     query.awaitTermination()
