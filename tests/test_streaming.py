@@ -2,6 +2,7 @@
 
 import datetime as dt
 import shutil
+from pathlib import Path
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +11,7 @@ from rosterlake import schemas as S
 from rosterlake.operators.versions import apply_to_history, judge_changes
 from rosterlake.session import new_path
 from rosterlake.streaming import sync, waiting
-from rosterlake.streaming.tables import START, BatchTable, run_available
+from rosterlake.streaming.tables import START, STATE_ROWS, BatchTable, run_available, state_parts
 
 
 def same(a, b):
@@ -222,3 +223,29 @@ def test_marks_hold_rows_and_highest_key(spark):
     rows = out.rows().agg(F.count("*"), F.max("k")).first()
     assert out.mark("k", 2) == tuple(rows)
     assert table(spark, out.schema).mark("k", 0) == (0, 0)
+
+
+def test_steps_with_state_run_once_a_batch_in_the_parts_asked_for(spark):
+    """What a batch asks for again is read from files; the session's own setting stays."""
+    name, ran = "spark.sql.shuffle.partitions", spark.sparkContext.accumulator(0)
+    usual = spark.conf.get(name)
+    assert state_parts(spark, 10) == min(int(usual), spark.sparkContext.defaultParallelism)
+    assert state_parts(spark, 100 * STATE_ROWS + 1) == 101
+
+    def counted(k):
+        ran.add(1)
+        return k
+
+    columns = "employee_id long, reviewer_id long, review_date date, performance_rating int, request_seq long, sent timestamp"
+    stream, step = arriving(spark, columns, [[(k, 1, at(0).date(), 3, k, at(0)) for k in range(20) for _ in range(2)]])
+    step()
+    once = waiting.first_requests(stream, ["request_seq"], "sent", "5 days").drop("sent")
+    once = once.withColumn("request_seq", F.udf(counted, "long")("request_seq"))
+    out = table(spark, S.T.StructType([*S.REVIEWS.fields, S.T.StructField("request_seq", S.T.LongType())]))
+    progress = new_path(spark, "progress")
+    run_available(once, sync.new_reviews(out, once=True), progress, parts=3)
+    assert sorted(r.request_seq for r in out.rows().collect()) == list(range(20))
+    assert ran.value == 20
+    kept = [p.name for p in (Path(progress.removeprefix("file:")) / "state" / "0").iterdir() if p.name.isdigit()]
+    assert sorted(kept) == ["0", "1", "2"]
+    assert spark.conf.get(name) == usual
