@@ -11,7 +11,7 @@ from rosterlake.registry.core import REGISTRY, add
 from rosterlake.registry.loads import AS_OF
 from rosterlake.session import new_path
 from rosterlake.streaming import sync, waiting
-from rosterlake.streaming.changing import ChangingTable
+from rosterlake.streaming.changing import ChangingTable, table_parts
 from rosterlake.streaming.tables import START, BatchTable, run_available, state_parts
 
 
@@ -184,7 +184,7 @@ def _changes_in_parts(w: Warehouse, wanted: str) -> DataFrame:
     keys = {"history": ("employee_sk", "job_history_id")}
     given = {"history": "employee_job_history", "dim_employee": "dim_employee", "employees": "employees"}
     row_key = {"history": "employee_sk", "dim_employee": "employee_sk", "employees": "employee_id"}
-    tables = {n: ChangingTable(w.spark, new_path(w.spark, f"changing-{n}"), w[g].schema, row_key[n], numbered=keys.get(n, ()), parts=16) for n, g in given.items()}
+    tables = {n: ChangingTable(w.spark, new_path(w.spark, f"changing-{n}"), w[g].schema, row_key[n], numbered=keys.get(n, ()), parts=table_parts(w.figures(g).first()["row_count"])) for n, g in given.items()}
     for n, table in tables.items():
         table.create(w[given[n]])
     rejected = _table(w, "rejected", S.T.StructType([*changes.schema.fields, S.T.StructField("reject_reason", S.T.StringType())]))

@@ -18,6 +18,15 @@ from rosterlake.operators.parts import PARTS, PartedTable
 from rosterlake.streaming.tables import START, BatchTable
 
 
+# A part should be what one task can sort and rewrite; below so many parts, more of them only make more files.
+PART_ROWS, LEAST_PARTS = 50_000, 16
+
+
+def table_parts(rows: int) -> int:
+    """The number of parts for a table of so many rows, with room to grow."""
+    return max(LEAST_PARTS, -(-rows // PART_ROWS))
+
+
 class ChangingTable:
     """Rows of a schema, each known by row_key, in parts by the columns part_by. numbered are keys that batches hand out."""
 

@@ -10,7 +10,7 @@ from rosterlake import schemas as S
 from rosterlake.operators.versions import apply_to_employees, apply_to_history, judge_changes
 from rosterlake.session import new_path
 from rosterlake.streaming import sync
-from rosterlake.streaming.changing import ChangingTable
+from rosterlake.streaming.changing import LEAST_PARTS, PART_ROWS, ChangingTable, table_parts
 from rosterlake.streaming.tables import BatchTable
 
 KEYS = ("employee_sk", "job_history_id")
@@ -133,3 +133,7 @@ def test_batches_without_rows_or_with_unknown_people(spark, warehouse):
     job.process(without, 2)
     assert job.state()[:3] == start[:3]
     assert [r.reject_reason for r in job.rejected.rows().collect()] == ["no current version"] * 2
+
+
+def test_a_larger_table_has_more_parts():
+    assert [table_parts(n) for n in (0, 16 * PART_ROWS, 16 * PART_ROWS + 1)] == [LEAST_PARTS, LEAST_PARTS, 17]
