@@ -9,10 +9,14 @@ was written. The next batch goes on from that one row, so no stored row is read
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.conf import RuntimeConfig
 
 from rosterlake.operators.numbering import next_key
 from rosterlake.operators.ordering import latest
@@ -94,7 +98,17 @@ class BatchTable:
 
 
 # A step with state keeps its keys in so many parts that each has at most about this many rows of a run.
-STATE_ROWS = 100_000
+STATE_ROWS = 500_000
+
+# State lies in RocksDB's files, not in maps on the executors' heaps, which would hold every key and row that still
+# matters. All stores of an executor share one bounded piece of memory; a join has one store for each part, not four.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
 
 
 def state_parts(spark: SparkSession, rows: int) -> int:
@@ -107,23 +121,35 @@ def state_parts(spark: SparkSession, rows: int) -> int:
     return max(cores, -(-rows // STATE_ROWS))
 
 
+@contextmanager
+def _settings(conf: RuntimeConfig, values: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, and then as it was."""
+    usual = {name: conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            conf.set(name, value)
+        yield
+    finally:
+        for name, value in usual.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
 def run_available(stream: DataFrame, process, checkpoint: str, parts: int | None = None) -> None:
     """Run process(batch, batch_id) over everything that is there now, then stop.
 
-    parts is for the steps with state (state_parts) and holds as long as the checkpoint does: later runs keep that of the first.
+    parts is for the steps with state (state_parts), whose state then lies in a STATE_STORE, unless the session names
+    a provider of its own. Both hold as long as the checkpoint does: later runs keep those of the first.
     """
-    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
-    usual = conf.get(name)
-    try:
-        if parts is not None:
-            conf.set(name, str(parts))
+    conf, values = stream.sparkSession.conf, {}
+    if parts is not None:
+        own = conf.get("spark.sql.streaming.stateStore.providerClass", None) is not None
+        values = {"spark.sql.shuffle.partitions": str(parts)} | ({} if own else STATE_STORE)
+    # A started query has its own copy of the settings.
+    with _settings(conf, values):
         query = (
             stream.writeStream.foreachBatch(process)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
         )
-    finally:
-        # A started query has its own copy of the settings.
-        conf.set(name, usual)
     query.awaitTermination()

@@ -3,7 +3,7 @@
 What has to be remembered is Spark's own state: partitioned by key, checkpointed with the stream, and dropped
 when the watermark says that it can matter no more. No micro-batch reads what earlier ones have written.
 Event times are the caller's columns; a row later than `delay` behind the newest may be dropped as late.
-For very many keys let the session keep its state in RocksDB (spark.sql.streaming.stateStore.providerClass).
+run_available with a number of parts keeps the state in RocksDB's files, so it need not fit the executors' heaps.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ from rosterlake import schemas as S
 from rosterlake.operators.versions import apply_to_history, judge_changes
 from rosterlake.session import new_path
 from rosterlake.streaming import sync, waiting
-from rosterlake.streaming.tables import START, STATE_ROWS, BatchTable, run_available, state_parts
+from rosterlake.streaming.tables import START, STATE_ROWS, STATE_STORE, BatchTable, run_available, state_parts
 
 
 def same(a, b):
@@ -249,3 +249,38 @@ def test_steps_with_state_run_once_a_batch_in_the_parts_asked_for(spark):
     kept = [p.name for p in (Path(progress.removeprefix("file:")) / "state" / "0").iterdir() if p.name.isdigit()]
     assert sorted(kept) == ["0", "1", "2"]
     assert spark.conf.get(name) == usual
+
+
+def stored_state(progress):
+    """Kinds of the files that the first part of a run's first step with state left."""
+    return {p.suffix for p in (Path(progress.removeprefix("file:")) / "state" / "0" / "0").rglob("*") if p.is_file() and not p.name.startswith(".")}
+
+
+def test_state_lies_in_files_and_not_on_the_heap(spark):
+    """Waiting rows, repeats and parents as in memory, also by a second run; the session's settings stay."""
+    child_rows = [[(k, k % 50, at(0)) for k in range(200)], [(k, k % 50, at(2)) for k in range(100, 300)], [(-1, -1, at(400))]]
+    parent_rows = [[(p, at(0)) for p in range(0, 50, 2)], [(p, at(2)) for p in range(0, 25)], [(-1, at(400))]]
+    provider, before = "spark.sql.streaming.stateStore.providerClass", {n: spark.conf.get(n, None) for n in STATE_STORE}
+    found = {}
+    for kind in ("files", "heap"):
+        children, next_children = arriving(spark, "id long, parent long, asked timestamp", child_rows)
+        parents, next_parents = arriving(spark, "parent long, came timestamp", parent_rows)
+        once = waiting.first_requests(children, ["id"], "asked", "3 days")
+        known = waiting.arrivals(parents, "parent", "came", "3 days")
+        judged = waiting.await_parent(once, known, "parent", "asked", "came", "10 days", "known")
+        progress, out = new_path(spark, "progress"), table(spark, T.StructType([*judged.schema.fields]))
+        try:
+            if kind == "heap":  # a session's own choice counts
+                spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+            for _ in range(3):
+                next_children()
+                next_parents()
+                run_available(judged, lambda batch, i: out.write(batch.filter("id <> -1"), i), progress, parts=2)
+        finally:
+            if kind == "heap":
+                spark.conf.unset(provider)
+        assert {n: spark.conf.get(n, None) for n in STATE_STORE} == before
+        found[kind] = sorted((r.id, r.known) for r in out.rows().collect())
+        assert (".zip" in stored_state(progress)) == (kind == "files")
+        assert (".delta" in stored_state(progress)) == (kind == "heap")
+    assert found["files"] == found["heap"] == [(k, k % 50 < 25 or k % 2 == 0) for k in range(300)]
