@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.operators.skew import BROADCAST_ROWS, DEFAULT, SkewPolicy, fits_broadcast, skew_join
+from rosterlake.operators.skew import BROADCAST_ROWS, DEFAULT, SkewPolicy, lookup_join, skew_join
 from rosterlake.session import written
 
 # Keys with at most this many events, intervals, and pairs of the two are matched in one piece.
@@ -139,10 +139,10 @@ def _by_day(
 ) -> DataFrame:
     """Answers per key and day, written once, at each event: few days of few keys need no shuffle of the events."""
     days = written(found, "days")
-    if fits_broadcast(days, days.count(), BROADCAST_ROWS):
-        return events.join(F.broadcast(days), on, how)
-    # Counted as too many, which the size of their compressed files does not show.
-    return skew_join(events, days.hint("merge"), on, how, spread_by=spread_by, measure=measure, policy=policy)
+    # Days counted as too many are merged, for the size of their compressed files does not show it; a broadcast overrides the hint.
+    return lookup_join(
+        events, days.hint("merge"), on, how, spread_by=spread_by, measure=measure, broadcast_rows=BROADCAST_ROWS, policy=policy
+    )
 
 
 def match_valid(
